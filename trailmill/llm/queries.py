@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailmill.llm.embed_dedup import embedding_components
 from trailmill.llm.jaccard import jaccard_components
 from trailmill.llm.langid import held_out, identify
 from trailmill.llm.packing import pack_documents
 from trailmill.llm.pii import KINDS, pseudonymise_documents
+from trailmill.llm.sharding import shard_documents
+from trailmill.llm.topk_search import top_k
+from trailmill.llm.url_filter import judge_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +31,58 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(_table(spark, sf_dir, "embeddings"), 0.95)
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = shard_documents(_table(spark, sf_dir, "documents"), 40)
+    return done.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+#: verdict, host and path of the rules (fixed values).
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    return judge_urls(_table(spark, sf_dir, "pages"), rules, ["page_id"])
+
+
+OP6_SQL = """
+with parts as (
+  select page_id, case when url like '%://%' then substr(url, strpos(url, '://') + 3) else '' end as rest from pages
+), split as (
+  select page_id,
+    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+  from parts
+), judged as (
+  select *, case
+    when ('.' || host) like '%.example.org' and path like '/en/1%' then 'example.org/en/1'
+    when ('.' || host) like '%.example.org' and path like '/es/%' then 'example.org/es/'
+    when ('.' || host) like '%.com' and path like '/fr/%' then 'com/fr/'
+    when ('.' || host) like '%.com' and path like '/de/%' then 'com/de/'
+    when ('.' || host) like '%.org' and path like '/%' then 'org/'
+  end as rule from split
+)
+select page_id, host, path, rule,
+  case when rule in ('example.org/en/1', 'example.org/es/', 'com/de/') then 'block' else 'allow' end as verdict
+from judged
+"""
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = identify(_table(spark, sf_dir, "documents"), ["doc_id"])
     return done.select("doc_id", held_out(5).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
@@ -39,8 +95,12 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_topk_search": op3_topk_search,
+    "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_sharding": op5_sharding,
+    "op6_url_filter": op6_url_filter,
     "op8_language_id": op8_language_id,
     "op9_ngram_jaccard": op9_ngram_jaccard,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_url_filter": OP6_SQL}
