@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trailmill.llm.embed_dedup import embedding_components
 from trailmill.llm.jaccard import jaccard_components
+from trailmill.llm.katz import score_documents
 from trailmill.llm.langid import held_out, identify
 from trailmill.llm.packing import pack_documents
 from trailmill.llm.pii import KINDS, pseudonymise_documents
@@ -92,6 +93,12 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = score_documents(docs, ~held_out(10))
+    return done.select("doc_id", held_out(10).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -101,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filter": op6_url_filter,
     "op8_language_id": op8_language_id,
     "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_url_filter": OP6_SQL}
