@@ -54,3 +54,15 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of frames that nothing refers to any more.
+
+    Spark deletes them when the driver collects the garbage, which a small heap may not do
+    before a long job ends.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
