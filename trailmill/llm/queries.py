@@ -14,6 +14,7 @@ from trailmill.llm.langid import held_out, identify
 from trailmill.llm.packing import pack_documents
 from trailmill.llm.pii import KINDS, pseudonymise_documents
 from trailmill.llm.sharding import shard_documents
+from trailmill.llm.sp_lattice import sample_segmentations
 from trailmill.llm.topk_search import top_k
 from trailmill.llm.url_filter import judge_urls
 
@@ -84,6 +85,12 @@ from judged
 """
 
 
+def op7_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = sample_segmentations(docs, k=2)
+    return done.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), "ids", "log_probability", "perturbed", "log_inclusion", "decoded_crc32")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = identify(_table(spark, sf_dir, "documents"), ["doc_id"])
     return done.select("doc_id", held_out(5).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
@@ -106,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_sharding": op5_sharding,
     "op6_url_filter": op6_url_filter,
+    "op7_sentencepiece_sampling": op7_sentencepiece_sampling,
     "op8_language_id": op8_language_id,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_lm_scoring": op10_lm_scoring,
