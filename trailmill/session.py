@@ -53,7 +53,27 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._trailmill_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a frame that `cut` returned, once nothing reads it any more."""
+    spark = df.sparkSession
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(df._trailmill_path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
+    """Hand texts to Python workers in smaller Arrow batches than by default.
+
+    A batch is held several times over (JVM, pipe, worker), so the default of 10,000 rows or
+    64 MB is much for a column of whole documents.  Smaller settings of the session stay.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def release(spark: SparkSession) -> None:
