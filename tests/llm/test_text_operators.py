@@ -1,0 +1,230 @@
+import datetime
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from trailmill.llm import pii, queries
+from trailmill.llm.langid import identify
+from trailmill.llm.packing import RankEncoder, WordEncoder, byte_bpe_encoder, fullest, pack_documents, plan_packing
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, piece int, pii string"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, g, "s", len(t or ""), 1, "x") for i, t, g in rows], DOCS)
+
+
+# --- pii ------------------------------------------------------------------
+
+
+def test_permutation_is_one_to_one():
+    p = pii.Permuter(b"k")
+    for size in (1, 2, 10, 1000, 4097):
+        assert sorted(p(v, size, "t") for v in range(size)) == list(range(size))
+    even = [p(v, 1000, "e", lambda x: x % 2 == 0) for v in range(0, 1000, 2)]
+    assert sorted(even) == list(range(0, 1000, 2))
+    assert pii.Permuter(b"other")(5, 10**9, "t") != p(5, 10**9, "t")
+
+
+def test_values_keep_their_format():
+    p = pii.Permuter(b"k")
+    cases = {
+        "card": "4539 1488 0343 6467", "iban": "DE89 3704 0044 0532 0130 00", "ssn": "078-05-1120", "phone": "+1 (976) 555-0029", "ip": "89.189.210.185",
+        "date": "2021-03-14", "email": "jane.doe+x@mail.example.co.uk", "secret": "password=02b4b8775f67a7c75d",
+    }
+    for kind, value in cases.items():
+        new, counts = pii.pseudonymise(f"See {value}, or {value}.", p)
+        assert counts == {kind: 2}
+        a, b = re.fullmatch(r"See (.*), or (.*)\.", new).groups()
+        assert a == b != value
+        shape = lambda s: re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d+", "9", s)))
+        assert shape(a) == shape(value) or kind == "secret"
+        assert pii.pseudonymise(f"({value})", p)[0] == f"({a})"
+        assert pii.pseudonymise(new, p)[1] == counts, kind  # still valid
+    digits = re.sub(r"\D", "", pii.card("4539 1488 0343 6467", p))
+    assert pii.luhn_digit(digits[:-1]) == digits[-1]
+    day = datetime.date.fromisoformat(pii.date("2021-03-14", p))
+    month, d, y = pii.date("03/14/2021", p).split("/")
+    assert datetime.date(int(y), int(month), int(d)) == day  # linked across formats
+    assert pii.pseudonymise("on 4 March 2021", p)[1] == {"date": 1} and pii.ip("10.1.2.3", p).startswith("10.")
+
+
+def test_what_is_not_valid_stays():
+    text = "License, Version 2.0, CC BY-NC 4.0, 4539148803436468, 999-12-3456, 300.1.1.1, v1.2.3.4, 2021-02-30, 127.0.0.1, +1 (111) 555-0029, DE00370400440532013000, a@b, 12345"
+    assert pii.pseudonymise(text, pii.Permuter(b"k")) == (text, {})
+
+
+def test_pii_query(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    out = queries.op1_pii(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in out) == sorted(docs)
+    permute, changed = pii.Permuter(b"trailmill"), 0
+    for r in out:
+        text, counts = pii.pseudonymise(docs[r.doc_id], permute)
+        assert r.text == text and {k: r[f"n_{k}"] for k in pii.KINDS if r[f"n_{k}"]} == counts
+        changed += r.text != docs[r.doc_id]
+        assert not set(re.findall(r"[\w.]+@mail\d\.example\.com|AKIA\w{16}|\(\d{3}\) 555-\d{4}", docs[r.doc_id])) & set(re.findall(r"\S+", r.text))
+    assert 0 < changed < len(docs)
+
+
+def test_pii_edges(spark):
+    rows = [(1, None, None), (2, "", None), (None, "a@b.com", None), (3, "x 4539148803436467 " * 5000, None), (3, "no numbers", None)]
+    out = pii.pseudonymise_documents(frame(spark, rows)).collect()
+    assert len(out) == 5 and {r.pii.get("card") for r in out if r.text and "x 4" in r.text} == {5000}
+    assert {(r.text, str(r.pii)) for r in out if r.doc_id in (1, 2)} == {(None, "{}"), ("", "{}")}
+    assert pii.pseudonymise_documents(frame(spark, [])).count() == 0
+
+
+# --- packing --------------------------------------------------------------
+
+
+def test_words_are_encoded_as_whole_texts_are(sf_dir):
+    import pyarrow.parquet as pq
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    whole.encode_special_tokens = True
+    texts = pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"])["text"].to_pylist()[:60]
+    texts += ["", " ", "a  b\t\t c\n\n\nd \n", "don't  we'll", "x\xa0 y  z　w", "<|endoftext|> ok", "é日本 \U0001F600!!\x1c\x1d?", " \t x"]
+    for encoder in (byte_bpe_encoder(), WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))):
+        for t in texts:
+            assert np.frombuffer(encoder.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+    assert isinstance(byte_bpe_encoder(), RankEncoder)
+
+
+def test_fullest_combination():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        counts = {int(k): int(n) for k, n in zip(rng.integers(1, 30, 6), rng.integers(1, 4, 6))}
+        room = int(rng.integers(0, 60))
+        sums = {0}
+        for k, n in counts.items():
+            sums = {s + j * k for s in sums for j in range(n + 1) if s + j * k <= room}
+        got = fullest(counts, sorted(counts, reverse=True), room)
+        assert sum(k * n for k, n in got.items()) == max(sums) and all(n <= counts[k] for k, n in got.items())
+
+
+def test_plan_uses_every_piece_once():
+    rng = np.random.default_rng(4)
+    histogram = Counter(rng.integers(1, 65, 3000).tolist())
+    plan = plan_packing(histogram, 64)
+    used = Counter()
+    for times, chosen in plan.combinations:
+        assert sum(k * n for k, n in chosen.items()) <= 64
+        for k, n in chosen.items():
+            used[k] += times * n
+    assert used == histogram
+    assert plan.sequences <= 1.02 * sum(k * n for k, n in histogram.items()) / 64
+    assert plan_packing({}, 64).sequences == 0
+
+
+def check_packing(rows, texts):
+    encoder = byte_bpe_encoder()
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    assert set(by_doc) == set(texts)
+    for doc, pieces in by_doc.items():
+        ids = encoder.encode(texts[doc] or "") + b"\x02\0\0\0"
+        pieces.sort(key=lambda r: r.piece)
+        at = 0
+        for k, r in enumerate(pieces):
+            assert (r.piece, r.start) == (k, at) and (r.length == 1024 or k == 0)
+            assert r.ids_crc32 == zlib.crc32(ids[4 * at : 4 * (at + r.length)])
+            at += r.length
+        assert at == len(ids) // 4 and (len(pieces) == 1) == (at <= 1024)
+    total = 0
+    for places in by_sequence.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 1024
+        total += at
+    return len(by_sequence), -(-total // 1024)
+
+
+def test_packing_query(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    used, least = check_packing(queries.op2_best_fit_packing(spark, sf_dir).collect(), texts)
+    assert used <= 1.02 * least + 1
+
+
+def test_packing_edges(spark):
+    rows = [(k, "same text here", None) for k in range(300)] + [(1000, None, None), (1001, "", None), (1002, "word " * 40_000, None)]
+    out = pack_documents(frame(spark, rows), with_ids=True)
+    got = out.collect()
+    check_packing(got, {i: t for i, t, _ in rows})
+    assert all(len(r.ids) == r.length for r in got)
+    assert pack_documents(frame(spark, [])).count() == 0
+    twice = pack_documents(frame(spark, [(7, "a", None), (7, "a", None), (None, "b", None)])).collect()
+    assert sorted((r.offset, r.length) for r in twice) == [(0, 2), (2, 2), (4, 2)] and len({r.sequence_id for r in twice}) == 1
+
+
+# --- language -------------------------------------------------------------
+
+
+def test_language_held_out_accuracy(spark, sf_dir):
+    langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang").collect()}
+    out = queries.op8_language_id(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in out) == sorted(langs)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in out)
+    held = [r for r in out if r.held_out]
+    assert sum(r.lang_pred == langs[r.doc_id] for r in held) >= 0.95 * len(held)
+
+
+def test_language_edges(spark):
+    english, german = "the cat and the dog of the house " * 3, "der Hund und die Katze auf dem Haus " * 3
+    rows = [(k, english if k % 2 else german, "en" if k % 2 else "de") for k in range(40)]
+    rows += [(100, None, "en"), (101, "", None), (102, "123 !?", "en"), (103, english * 3000, None), (None, german, None), (3, german, None), (104, "Ж", None)]
+    out = identify(frame(spark, rows), ["doc_id", "text", "piece"]).collect()
+    assert len(out) == len(rows)
+    by = {(r.doc_id, r.text): (r.lang_pred, r.lang_score) for r in out}
+    assert by[100, None] == by[101, ""] == by[102, "123 !?"] == ("und", 0.0)
+    assert by[103, english * 3000][0] == "en" and by[None, german][0] == by[3, german][0] == "de" and by[104, "Ж"][0] in ("en", "de")
+    assert identify(frame(spark, []), ["doc_id"]).count() == 0
+    unlabelled = identify(frame(spark, [(1, "abc", None)]), ["doc_id"]).collect()
+    assert [tuple(r) for r in unlabelled] == [(1, "und", 0.0)]
+
+
+# --- pipeline -------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def stages(spark, sf_dir, tmp_path_factory):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    made = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path_factory.mktemp(name) / "out")
+        stage(spark, made[-1], sf_dir).write.parquet(path)
+        made.append(spark.read.parquet(path))
+    return made
+
+
+def test_pipeline_stages(spark, stages):
+    from test_jaccard import brute_components, brute_sets
+
+    docs, language, near, private, packed = ({r.doc_id: r for r in s.collect()} for s in stages)
+    assert [s.columns for s in stages[:4]] == [list(corpus_pipeline.COLUMNS)] * 4
+    assert set(language) == {i for i, r in docs.items() if r.text and re.search(r"[^\W\d_]", r.text)}
+    ids = sorted(language)
+    want = brute_components(ids, brute_sets([language[i].text for i in ids], 5), 80)
+    assert set(near) == {i for i in ids if want[i] == i}
+    permute = pii.Permuter(b"trailmill")
+    assert set(private) == set(near)
+    assert all(r.text == pii.pseudonymise(near[i].text, permute)[0] and r.n_chars == len(r.text) for i, r in private.items())
+    check_packing(stages[4].collect(), {i: r.text for i, r in private.items()})
+    assert set(packed) == set(private)
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, extra int")
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trailmill.session import bounded_batches
+
 KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "email", "secret")
 ROUNDS = 8
 
@@ -81,19 +83,20 @@ def fill(pattern: str, digits: str) -> str:
     return re.sub(r"\d", lambda _: next(it), pattern)
 
 
+CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+HEX = "0123456789abcdef"
+
+
 def spelled(text: str, permute: Permuter, tweak: str) -> str:
     """A string moved within the strings of the same character classes, place by place."""
-    classes = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    if re.fullmatch(r"[0-9a-f]+", text):
-        classes = ("0123456789abcdef",)
-    used = [next((c for c in classes if ch in c), "") for ch in text]
+    used = [next((c for c in CLASSES if ch in c), "") for ch in text]
     rank, size = 0, 1
     for ch, c in zip(text, used):
         if c:
             rank, size = rank * len(c) + c.index(ch), size * len(c)
     if size == 1:
         return text
-    shape = re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", text))) if len(classes) > 1 else "hex"
+    shape = re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", text)))
     rank, out = permute(rank, size, f"{tweak}:{shape}"), []
     for ch, c in zip(reversed(text), reversed(used)):
         if c:
@@ -103,6 +106,12 @@ def spelled(text: str, permute: Permuter, tweak: str) -> str:
     return "".join(reversed(out))
 
 
+def hexadecimal(text: str, permute: Permuter, tweak: str) -> str:
+    """The same within lower-case hexadecimal strings that have both digits and letters."""
+    mixed = lambda n: not (s := f"{n:0{len(text)}x}").isdigit() and not s.isalpha()
+    return f"{permute(int(text, 16), 16 ** len(text), f'{tweak}:hex', mixed):0{len(text)}x}"
+
+
 def card(text: str, permute: Permuter) -> str | None:
     digits = re.sub(r"\D", "", text)
     if not 13 <= len(digits) <= 19 or digits[0] not in "23456" or luhn_digit(digits[:-1]) != digits[-1]:
@@ -226,7 +235,10 @@ def email(text: str, permute: Permuter) -> str | None:
 def secret(text: str, permute: Permuter) -> str | None:
     head = re.match(r"(?:AKIA|ASIA|ghp_|gho_|sk-|xox[bp]-)", text)
     keep = head[0] if head else ""
-    return keep + spelled(text[len(keep) :], permute, f"secret{keep}")
+    rest = text[len(keep) :]
+    if not set(rest) - set(HEX) and not rest.isdigit() and not rest.isalpha():
+        return keep + hexadecimal(rest, permute, f"secret{keep}")
+    return keep + spelled(rest, permute, f"secret{keep}")
 
 
 _MONTH = "(?:" + "|".join(sorted((re.escape(m) for m in MONTHS), key=len, reverse=True)) + ")"
@@ -298,6 +310,7 @@ def pseudonymise_documents(docs: DataFrame, key: bytes = b"trailmill") -> DataFr
     A null text stays null with an empty map; a column named `pii` or `_look` in the input
     is replaced.  Work is by row, so nothing is shuffled.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.drop("pii", "_look")
     ready = docs.withColumn("_look", F.coalesce(F.col("text").rlike(SIGN), F.lit(False)))
     schema = T.StructType([*docs.schema.fields, T.StructField("pii", T.MapType(T.StringType(), T.IntegerType()))])
