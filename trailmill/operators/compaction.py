@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmill.functions import fixed
@@ -175,3 +175,52 @@ def simulate(calls: DataFrame, lengths=(0.8, 1.0, 1.2, 1.5), trigger: float = 0.
         return pd.DataFrame(out, columns=["session", "length", "compactions", "peak_fill", "chars"])
 
     return numbers.groupBy("session").applyInPandas(run, "session string, length double, compactions int, peak_fill double, chars long")
+
+
+def pooled_lines(calls: DataFrame, tier: int = 2) -> DataFrame:
+    """Lines of each reduced result under one budget for the whole session.
+
+    The room that the results' value picks take one by one is pooled and given to the
+    best units of any of them; what the session's whole results already show is covered.
+    Returns session, tool_use_id and lines in text order.
+    """
+    rows = tiers(calls, [tier]).join(calls.select("session", "tool_use_id", "result_text"), ["session", "tool_use_id"])
+    values = budget.token_values(calls).groupBy("session", "tool_use_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "p"))).alias("p"))
+    rows = rows.join(values, ["session", "tool_use_id"], "left").select("session", "k", "tool_use_id", "text", "result_text", "lines", "p")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("k")
+        covered: set[str] = set()
+        room, units, members = 0, [], []
+        prices: dict[str, float] = {}
+        for r in part.itertuples(index=False):
+            if r.text == r.result_text:
+                covered |= budget.tokens_of(r.text)
+                continue
+            room += sum(len(u) + 1 for u in r.lines)
+            for u in budget.units_of(r.result_text):
+                members.append((r.tool_use_id, u))
+                units.append((len(u), budget.tokens_of(u)))
+            for token, p in (dict(r.p) if r.p is not None else {}).items():
+                prices[token] = max(prices.get(token, 0.0), p)
+        picked = sorted(budget.cover(units, prices, covered, room))
+        lines = {i: [] for i in part["tool_use_id"]}
+        for n in picked:
+            lines[members[n][0]].append(members[n][1])
+        return pd.DataFrame([(part["session"].iloc[0], i, x) for i, x in lines.items()], columns=["session", "tool_use_id", "lines"])
+
+    return rows.groupBy("session").applyInPandas(run, "session string, tool_use_id string, lines array<string>")
+
+
+def evicted(sizes: DataFrame, hard: float = HARD, note: int = 60) -> DataFrame:
+    """Results to replace by a one-line note, oldest first, until the session meets the hard line.
+
+    `sizes` has session, k, tool_use_id, pinned, chars_before and chars_after; what a
+    result's eviction saves does not depend on the others', so a running sum decides.
+    """
+    saved = F.when(~F.col("pinned") & (F.col("chars_after") > note), F.col("chars_after") - note).otherwise(0)
+    whole = Window.partitionBy("session")
+    before = F.coalesce(F.sum("saved").over(whole.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    need = F.sum("chars_after").over(whole) - F.sum("chars_before").over(whole) * (1 - hard)
+    out = sizes.withColumn("saved", saved).withColumns({"before": before, "need": need})
+    return out.where((F.col("saved") > 0) & (F.col("before") < F.col("need")) & (F.lit(hard) > 0)).select("session", "tool_use_id")

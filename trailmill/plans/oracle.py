@@ -135,6 +135,23 @@ SQL: dict[str, str] = {
     "gate_check": f"""with {JUDGED}, d as (select *, {DECISION} as reason from judged), t as (select cast(sum(input_chars + result_chars) as double) as before, cast(sum(case when reason in ('pinned', 'kept') then input_chars + result_chars else input_chars + least(result_chars, 200) end) as double) as after from d)
       select round((before - after) / before, 9) as reduction, (before - after) / before >= 0.3 - 0.005 as pass from t""",
     "tier_fact_loss": f"with {CALLS} select tool_use_id, cast(len(list_filter({tokens('result_text')}, lambda t: not list_contains({tokens('left(result_text, 200)')}, t))) as bigint) as lost from calls where event_id % 10 = 0".replace(" where event_id % 10 = 0", ""),
+    "scope_grid": """with g as (select event_id as id, case when event_id % 5 = 0 then '' when event_id % 5 = 1 then 'agent' end as agent, case when event_id % 3 = 0 then 'precompute' else 'auto' end as trigger, case when event_id % 2 = 0 then 'answer' else 'tool' end as reason from events)
+      select id, case when coalesce(agent, '') <> '' then 'subagent' when trigger = 'precompute' then 'precompute' else 'main' end as scope, coalesce(agent, '') = '' and reason = 'answer' as may_trigger from g""",
+    "expired_keys": """with k as (select user_id, concat(case when event_id % 2 = 0 then 'taint:' when event_id % 3 = 0 then 'baseline:' else 'other:' end, cast(event_id as varchar)) as key, case when event_id % 13 = 0 then null else event_id * 1000 end as seen_at from events)
+      select key from k where (key like 'taint:%' or key like 'baseline:%') and (seen_at is null or 9000000 - seen_at > 5000000)""",
+    "judge_probability": "select event_id, round(1 / (1 + exp(cast(event_id % 7 as double) - cast(event_id % 11 as double) / 2)), 9) as p from events",
+    "metadata_shape": f"""with {CALLS} select tool_use_id, concat('{{"kind":"object","keys":["', array_to_string(list_sort(json_keys(input_json)), '","'), '"],"chars":', cast(length(input_json) as varchar), '}}') as shape from calls""",
+    "first_taint": f"with {CALLS} select session, min(k) as first_k, arg_min(tool_use_id, k) as first_call from calls where tool = 'Grep' and event_id % 53 = 0 group by session",
+    "stub_layouts": f"""with {CALLS}, s as (select tool_use_id, result_text as t, length(result_text) as n, case when is_error then 2000 else 200 end as head from calls),
+      c as (select *, head - strpos(reverse(left(t, head + 1)), chr(10)) + 1 as nl, strpos(reverse(left(t, head + 1)), chr(10)) > 0 as has_nl, strpos(substr(t, n - 119), chr(10)) as next_nl from s where n > head + 240)
+      select tool_use_id, cast(case when has_nl and nl * 2 > head then nl else head end as bigint) as head_end,
+        cast(case when next_nl > 0 and n - 120 + next_nl < n then n - 120 + next_nl else n - 120 end as bigint) as tail_start, cast(greatest(360, floor(n * 0.1::double)) as bigint) as budget from c""",
+    "evictions": f"""with {JUDGED}, z as (select session, k, tool_use_id, pinned, result_chars as before, case when reduced then least(result_chars, 1000) else result_chars end as after from judged),
+      w as (select *, case when not pinned and after > 60 then after - 60 else 0 end as saved from z),
+      r as (select *, coalesce(sum(saved) over (partition by session order by k rows between unbounded preceding and 1 preceding), 0) as sofar, sum(after) over (partition by session) - sum(before) over (partition by session) * (1 - 0.3::double) as need from w)
+      select session, tool_use_id from r where saved > 0 and sofar < need""",
+    "questions": f"""with {CALLS}, p as (select session, concat('t', cast(row_number() over (partition by session order by k) as varchar)) as id, tool from calls)
+      select session, id, concat(kind, '_', id) as name, concat('The ', kind, ' of ', id, ' (', tool, ') is still needed to finish the task.') as instructions from p, (values ('call'), ('result')) v(kind)""",
     "event_windows": "select time_bucket(interval 10 minutes, ts) as start, event_type, count(*) as n from events group by 1, 2",
 }
 for _name, _pattern, _ignore, _label in fixed.FAMILIES:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trailmill.functions import fixed
 from trailmill.functions import text as tx
-from trailmill.operators import budget, compaction, sessions
+from trailmill.operators import budget, compaction, prompts, sessions
 from trailmill.plans.oracle import CALLS, SQL
 from trailmill.sources.calls import calls, table
 from trailmill.streaming import state
@@ -338,3 +338,82 @@ def retention_totals(spark, sf_dir):
 @query
 def sticky_taint_stream(spark, sf_dir):
     return state.sticky_taint(spark, sf_dir)
+
+
+@query
+def scope_grid(spark, sf_dir):
+    e = F.col("event_id")
+    g = table(spark, sf_dir, "events").select(
+        e.alias("id"), F.coalesce(F.when(e % 5 == 0, "").when(e % 5 == 1, "agent"), F.lit("")).alias("agent"), F.when(e % 3 == 0, "precompute").otherwise("auto").alias("trigger"),
+        F.when(e % 2 == 0, "answer").otherwise("tool").alias("reason"),
+    )
+    scope = F.when(F.col("agent") != "", "subagent").when(F.col("trigger") == "precompute", "precompute").otherwise("main")
+    return g.select("id", scope.alias("scope"), F.expr("agent = '' and reason = 'answer'").alias("may_trigger"))
+
+
+@query
+def expired_keys(spark, sf_dir):
+    e = F.col("event_id")
+    kind = F.when(e % 2 == 0, "taint:").when(e % 3 == 0, "baseline:").otherwise("other:")
+    k = table(spark, sf_dir, "events").select(F.concat(kind, e.cast("string")).alias("key"), F.when(e % 13 != 0, e * 1000).alias("at"))
+    return k.where("key rlike '^(taint|baseline):' and (at is null or 9000000 - at > 5000000)").select("key")
+
+
+@query
+def judge_probability(spark, sf_dir):
+    yes, no = (F.col("event_id") % 11).cast("double") / 2, (F.col("event_id") % 7).cast("double")
+    return table(spark, sf_dir, "events").select("event_id", F.round(1 / (1 + F.exp(no - yes)), 9).alias("p"))
+
+
+@query
+def metadata_shape(spark, sf_dir):
+    shape = F.struct(F.lit("object").alias("kind"), F.array_sort(F.json_object_keys("input_json")).alias("keys"), F.length("input_json").alias("chars"))
+    return calls(spark, sf_dir).select("tool_use_id", F.to_json(shape).alias("shape"))
+
+
+@query
+def first_taint(spark, sf_dir):
+    hits = calls(spark, sf_dir).where(FENCED)
+    return hits.groupBy("session").agg(F.min("k").alias("first_k"), F.min_by("tool_use_id", "k").alias("first_call"))
+
+
+@query
+def stub_layouts(spark, sf_dir):
+    """Where the strictest tier cuts each long result."""
+    c = calls(spark, sf_dir).select("tool_use_id", F.col("result_text").alias("t"), F.length("result_text").alias("n"), F.when(F.col("is_error"), fixed.ERROR_HEAD).otherwise(fixed.HEAD_CHARS).alias("head"))
+    c = c.where(F.col("n") > F.col("head") + fixed.TAIL_CHARS + 120)
+    last = F.instr(F.reverse(F.left("t", F.col("head") + 1)), "\n")
+    newline = F.col("head") + 1 - last
+    after = F.locate("\n", F.substr("t", F.col("n") - fixed.TAIL_CHARS + 1))
+    start = F.col("n") - fixed.TAIL_CHARS
+    return c.select(
+        "tool_use_id", F.when((last > 0) & (newline * 2 > F.col("head")), newline).otherwise(F.col("head")).cast("long").alias("head_end"),
+        F.when((after > 0) & (start + after < F.col("n")), start + after).otherwise(start).cast("long").alias("tail_start"),
+        F.greatest(F.lit(fixed.LEAST_BUDGET), F.floor(F.col("n") * F.lit(fixed.TIERS[3][1]))).cast("long").alias("budget"),
+    )
+
+
+@query
+def evictions(spark, sf_dir):
+    after = F.when(F.col("reduced"), F.least("result_chars", F.lit(1000))).otherwise(F.col("result_chars"))
+    return compaction.evicted(judged(spark, sf_dir).select("session", "k", "tool_use_id", "pinned", F.col("result_chars").alias("chars_before"), after.alias("chars_after")))
+
+
+@query
+def questions(spark, sf_dir):
+    return prompts.questions(sessions.paired(calls(spark, sf_dir))).drop("cost")
+
+
+@query
+def question_batches(spark, sf_dir):
+    return prompts.batched(prompts.questions(sessions.paired(calls(spark, sf_dir))), 300).select("session", "id", "name", "request")
+
+
+@query
+def fitted_states(spark, sf_dir):
+    return prompts.fitted_state(prompts.entries(sessions.paired(calls(spark, sf_dir))), 1500)
+
+
+@query
+def pooled_lines(spark, sf_dir):
+    return compaction.pooled_lines(calls(spark, sf_dir)).select("session", "tool_use_id", F.array_join("lines", "\n").alias("lines"))
