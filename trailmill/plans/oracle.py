@@ -152,6 +152,18 @@ SQL: dict[str, str] = {
       select session, tool_use_id from r where saved > 0 and sofar < need""",
     "questions": f"""with {CALLS}, p as (select session, concat('t', cast(row_number() over (partition by session order by k) as varchar)) as id, tool from calls)
       select session, id, concat(kind, '_', id) as name, concat('The ', kind, ' of ', id, ' (', tool, ') is still needed to finish the task.') as instructions from p, (values ('call'), ('result')) v(kind)""",
+    "policy_options": """with g as (select event_id as id, case event_id % 8 when 0 then ' ON ' when 1 then 'disable' when 2 then '' when 3 then 'status' when 4 then 'what' when 5 then ' Full' when 6 then null else '0' end as word,
+        case when event_id % 3 = 0 then null else event_id % 3 = 1 end as stored, case when event_id % 4 = 0 then null else event_id % 5 * 100 end as explicit, event_id % 2 as limits, event_id % 7 < 3 as has_key,
+        case when event_id % 6 = 0 then null else event_id * 37 % 900 end as tokens, case when event_id % 5 = 0 then null else event_id * 11 % 700 end as baseline,
+        case event_id % 5 when 0 then ' 12.5 ' when 1 then 'inf' when 2 then 'x' when 3 then 'NaN' else cast(event_id as varchar) end as number from events),
+      k as (select *, nullif(lower(trim(word)), '') as w from g)
+      select id, case when w in ('on', 'enable', '1', 'true') then 'on' when w in ('off', 'disable', '0', 'false') then 'off' when w is null or w = 'status' then 'status' else 'help' end as switch,
+        case when w = 'full' then 'full' else 'metadata' end as egress,
+        coalesce(stored, case when w in ('on', 'enable', '1', 'true') then true when w in ('off', 'disable', '0', 'false') then false end, true) as enabled,
+        case when explicit > 0 then cast(explicit as double) when limits > 0 then 3600.0::double when has_key then 300.0::double else 3600.0::double end as ttl,
+        coalesce(tokens >= 300 and (case when baseline > 0 then tokens >= baseline + 50 else true end), false) as nudge,
+        case when try_cast(trim(number) as double) is not null and isfinite(try_cast(trim(number) as double)) then try_cast(trim(number) as double) end as n from k""",
+    "health_urls": "select page_id, case when regexp_matches(url, '^[a-z]+://[^/?#]+') then concat(regexp_extract(url, '^([a-z]+://[^/?#]+)', 1), '/health') end as health from pages",
     "event_windows": "select time_bucket(interval 10 minutes, ts) as start, event_type, count(*) as n from events group by 1, 2",
 }
 for _name, _pattern, _ignore, _label in fixed.FAMILIES:

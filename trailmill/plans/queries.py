@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailmill.functions import fixed
+from trailmill.functions import policy
 from trailmill.functions import text as tx
 from trailmill.operators import budget, compaction, prompts, sessions
 from trailmill.plans.oracle import CALLS, SQL
@@ -417,3 +418,30 @@ def fitted_states(spark, sf_dir):
 @query
 def pooled_lines(spark, sf_dir):
     return compaction.pooled_lines(calls(spark, sf_dir)).select("session", "tool_use_id", F.array_join("lines", "\n").alias("lines"))
+
+
+@query
+def policy_options(spark, sf_dir):
+    e = F.col("event_id")
+
+    def pick(n: int, values: list, other):
+        out = None
+        for k, v in enumerate(values):
+            out = F.when(e % n == k, F.lit(v)) if out is None else out.when(e % n == k, F.lit(v))
+        return out.otherwise(other)
+
+    g = table(spark, sf_dir, "events").select(
+        e.alias("id"), pick(8, [" ON ", "disable", "", "status", "what", " Full", None], "0").alias("word"), F.when(e % 3 != 0, e % 3 == 1).alias("stored"),
+        F.when(e % 4 != 0, e % 5 * 100).alias("explicit"), (e % 2).alias("limits"), (e % 7 < 3).alias("has_key"), F.when(e % 6 != 0, e * 37 % 900).alias("tokens"),
+        F.when(e % 5 != 0, e * 11 % 700).alias("baseline"), pick(5, [" 12.5 ", "inf", "x", "NaN"], e.cast("string")).alias("number"),
+    )
+    return g.select(
+        "id", policy.switch("word").alias("switch"), policy.egress("word").alias("egress"), policy.enabled(F.col("stored"), "word").alias("enabled"),
+        policy.cache_seconds(F.col("explicit"), F.col("limits"), F.col("has_key")).alias("ttl"),
+        policy.may_nudge(F.col("tokens"), F.lit(300), F.col("baseline"), F.lit(50)).alias("nudge"), policy.finite_number("number").alias("n"),
+    )
+
+
+@query
+def health_urls(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", policy.health_url("url").alias("health"))

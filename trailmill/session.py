@@ -83,6 +83,9 @@ def release(spark: SparkSession) -> None:
     before a long job ends.
     """
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first finds free may hold what the second then finds
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
