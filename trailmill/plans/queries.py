@@ -445,3 +445,8 @@ def policy_options(spark, sf_dir):
 @query
 def health_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", policy.health_url("url").alias("health"))
+
+
+@query
+def turn_verdicts(spark, sf_dir):
+    return state.turn_verdicts(spark, sf_dir)
