@@ -28,9 +28,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from trailmill.llm.textkeys import U, mix, slices, words
-from trailmill.session import cut, release
+from trailmill.session import bounded_batches, cut, discard, release
 
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 #: Tokens whose counts are brought together in one task, about.
 RANGE_TOKENS = 2_000_000
 KATZ_K = 5
@@ -147,13 +147,13 @@ class Block:
         ranks = _unplaned(ranks, np.uint32)
         n = len(keys)
         self.keys = np.concatenate([keys, [END, START]])
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes + 1)
+        self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes + 1)
         last = np.cumsum(self.sizes + 1) - 1
-        self.word = np.full(len(self.doc), n, np.int64)
+        self.word = np.full(len(self.doc), n, np.int32)
         inner = np.ones(len(self.doc), bool)
         inner[last] = False
         self.word[inner] = ranks
-        self.history = np.empty(len(self.doc), np.int64)
+        self.history = np.empty(len(self.doc), np.int32)
         self.history[1:] = self.word[:-1]
         self.history[last - self.sizes] = n + 1
         self.train = (self.fold == 1)[self.doc]
@@ -166,7 +166,7 @@ class Block:
 
     def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(histories, words, keys) of the distinct bigrams in key order, and each token's bigram."""
-        code, inverse = np.unique(self.history * len(self.keys) + self.word, return_inverse=True)
+        code, inverse = np.unique(self.history.astype(np.int64) * len(self.keys) + self.word, return_inverse=True)
         history, word = np.divmod(code, len(self.keys))
         keys = mix(self.keys[history] * U(0x9E3779B97F4A7C15) + mix(self.keys[word]))
         order = np.argsort(keys, kind="stable")
@@ -306,7 +306,7 @@ def _score(model, parts: int, kept: pa.Schema):
             yield batch(1, len(h), history=block.keys[h].view(np.int64), mass=np.bincount(at, reduced[mine], len(h)), lower=np.bincount(at, below[word[mine]], len(h)), total=before[h])
         miss = ~seen[token] & (before[block.history] > 0)
         if miss.any():
-            code, n = np.unique(block.doc[miss] * len(block.keys) + block.history[miss], return_counts=True)
+            code, n = np.unique(block.doc[miss].astype(np.int64) * len(block.keys) + block.history[miss], return_counts=True)
             doc, h = np.divmod(code, len(block.keys))
             yield batch(2, len(n), row=ids[doc], history=block.keys[h].view(np.int64), total=n)
 
@@ -339,6 +339,7 @@ def score_documents(docs: DataFrame, train: Column) -> DataFrame:
     """
     spark = docs.sparkSession
     own = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    bounded_batches(docs.sparkSession)
     columns = [c for c in docs.columns if c not in (*own, "text")]
     fold = F.coalesce(train, F.lit(False)).cast("int").alias("fold")
     ready = docs.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(columns)], fold, F.col("text").cast("string").alias("text"))
@@ -349,6 +350,7 @@ def score_documents(docs: DataFrame, train: Column) -> DataFrame:
     parts = max(1, -(-n // RANGE_TOKENS))
     asked = tokens.mapInArrow(_requests(parts), REQUEST).repartition(2 * parts, "part").sortWithinPartitions("part", "block")
     answers = cut(asked.mapInArrow(_answers, ANSWER), "counts")
+    del asked
     release(spark)
     totals = answers.where("block is null").select((F.col("part") >= parts).cast("int").alias("kind"), "histogram", "total")
     histogram = totals.select("kind", F.posexplode("histogram").alias("r", "n")).groupBy("kind", "r").agg(F.sum("n").alias("n")).collect()
@@ -367,6 +369,9 @@ def score_documents(docs: DataFrame, train: Column) -> DataFrame:
     blocks = both.repartition("block").sortWithinPartitions("block", "part")
     schema = T.StructType([*T._parse_datatype_string(SCORED).fields, *fields])
     scored = cut(blocks.mapInArrow(_score(model, parts, kept), schema), "scored")
+    del both, blocks
+    for table in (tokens, answers):
+        discard(table)
     release(spark)
     backoff = (
         scored.where("kind = 1").groupBy("history").agg(F.sum("mass").alias("mass"), F.sum("lower").alias("lower"), F.max("total").alias("total"))
