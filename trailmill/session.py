@@ -65,7 +65,7 @@ def discard(df: DataFrame) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
     """Hand texts to Python workers in smaller Arrow batches than by default.
 
     A batch is held several times over (JVM, pipe, worker), so the default of 10,000 rows or
