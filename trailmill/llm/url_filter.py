@@ -157,9 +157,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, keep: list[str], default: str
     `rules` has verdict (allow or block), host and path.  A rule fits its host and all its
     subdomains where the path starts with the rule's; the longest wins (then the longer
     host), and block wins over allow for the same rule.  What no rule fits is not listed,
-    and gets `default`.  A null url has an empty host and path.
+    and gets `default`.  A null url has an empty host and path.  Columns of these names in
+    `keep` are replaced.
     """
     spark = pages.sparkSession
+    keep = [c for c in keep if c not in ("host", "path", "rule", "verdict", "_keys")]
     rules = cut(rules.select("verdict", F.concat("host", "path").alias("key"), F.char_length("path").alias("n")).where("key is not null"), "rules")
     lengths = sorted(r.n for r in rules.select("n").distinct().collect())
     host, path = url_parts()
