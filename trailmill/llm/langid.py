@@ -18,11 +18,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmill.llm.textkeys import slices, text_bytes
+from trailmill.llm.textkeys import lean, slices, text_bytes
+from trailmill.session import bounded_batches
 
 TRAIN_PER_LANGUAGE = 600
 LANDMARKS_PER_LANGUAGE = 48
@@ -31,7 +33,7 @@ RIDGE = 1e-2
 SIZES = (1, 2, 3)
 UNDETERMINED = "und"
 #: Rows of one presence matrix.
-ROWS = 256
+ROWS = 128
 
 
 @dataclass
@@ -71,8 +73,9 @@ def presence(raw: np.ndarray, ends: np.ndarray, table: np.ndarray, size: int, n:
 def _tables(grams: list[np.ndarray]) -> list[np.ndarray]:
     tables = []
     for n, known in zip(SIZES, grams):
-        table = np.full(1 << (8 * n), -1, np.int32)
-        table[known] = np.arange(len(known), dtype=np.int32)
+        kind = np.int16 if len(known) < 1 << 15 else np.int32
+        table = np.full(1 << (8 * n), -1, kind)
+        table[known] = np.arange(len(known), dtype=kind)
         tables.append(table)
     return tables
 
@@ -88,13 +91,14 @@ def fit_language_model(labelled: DataFrame) -> LanguageModel:
     hash threshold from the language's row count, so it needs no sort of the table.
     """
     rows = labelled.where("text is not null and lang is not null").where(F.octet_length("text") <= TRAIN_BYTES)
-    rows = rows.select("doc_id", F.lower("text").alias("text"), "lang", F.shiftrightunsigned(F.xxhash64("doc_id"), 11).alias("place"))
+    rows = rows.select("doc_id", "text", "lang", F.shiftrightunsigned(F.xxhash64("doc_id"), 11).alias("place"))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return LanguageModel([], [np.zeros(0, np.int64) for _ in SIZES], [np.zeros((0, 0)) for _ in SIZES], np.zeros(0))
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.5 * TRAIN_PER_LANGUAGE / n)))])
     picked = rows.where(F.col("place") < share[F.col("lang")] * float(1 << 53)).select("lang", "place", "text").toPandas()
     picked = picked.sort_values(["lang", "place", "text"]).groupby("lang").head(TRAIN_PER_LANGUAGE)
+    picked["text"] = pc.utf8_lower(pa.array(picked["text"], pa.string())).to_pylist()
     languages = sorted(counts)
     texts = [t.encode() for t in picked["text"]]
     raw, ends = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
@@ -129,7 +133,7 @@ def _score(model):
         tables = _tables(m.grams)
         weights = [w.astype(np.float32) for w in m.weights]
         for batch in batches:
-            column = batch.column("folded")
+            column = pc.utf8_lower(batch.column("text" if "text" in batch.schema.names else "_text"))
             best, score = [], []
             for a, b in slices(column, 1 << 20):
                 for x in range(a, b, ROWS):
@@ -143,11 +147,11 @@ def _score(model):
                     score.append(np.clip((total.max(1) + 1) / 2, 0, 1))
             best = np.concatenate(best) if best else np.zeros(0, np.int64)
             score = np.concatenate(score) if score else np.zeros(0)
-            letters = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)
+            letters = batch.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
             names = np.array(m.languages, object)[best]
             names[~letters] = UNDETERMINED
             score[~letters] = 0.0
-            keep = [c for c in batch.schema.names if c not in ("folded", "letters")]
+            keep = [c for c in batch.schema.names if c not in ("_text", "_letters")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "lang_score"])
 
     return run
@@ -161,15 +165,18 @@ def predict_language(docs: DataFrame, model: LanguageModel, keep: list[str]) ->
     """Columns `keep` of `docs` with lang_pred and lang_score (0 to 1).
 
     A text that is null or without any letter is `und` with score 0, as is every text
-    when there was nothing to learn from; ties go to the first language in order.
+    when there was nothing to learn from; ties go to the first language in order.  Columns of
+    these names in `keep` are replaced.
     """
+    keep = [c for c in keep if c not in ("lang_pred", "lang_score", "_text", "_letters")]
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if not model.languages:
         return docs.select(*keep, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("lang_score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    ready = docs.select(*keep, F.lower("text").alias("folded"), letters.alias("letters"))
+    bounded_batches(docs.sparkSession)
+    ready = docs.select(*keep, *([] if "text" in keep else [F.col("text").alias("_text")]), letters.alias("_letters"))
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
-    return ready.mapInArrow(_score(shared), schema)
+    return ready.mapInArrow(lean(_score(shared)), schema)
 
 
 def identify(docs: DataFrame, keep: list[str], fold: int = 5) -> DataFrame:

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmill.session import cut
+from trailmill.llm.textkeys import lean
+from trailmill.session import bounded_batches, cut
 
 #: Pieces of one (length, bucket) pair that one task ranks, about.
 RANK_ROWS = 20_000
@@ -123,7 +124,7 @@ def place(plan: PackingPlan, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np
 #: White space as the tokenizers' pattern has it (fixed values).
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words kept with their ids by one worker: a cache of work, emptied when full.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 
 
 class WordEncoder(dict):
@@ -218,8 +219,9 @@ def tokenise_pieces(docs: DataFrame, length: int = 1024, tokenizer: str = "byte_
 
     A null text is empty and has the end id alone; an empty table has no pieces.
     """
+    bounded_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pieces(tokenizer, length, end, with_ids), schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_pieces(tokenizer, length, end, with_ids)), schema)
 
 
 def pack_pieces(pieces: DataFrame, length: int = 1024) -> DataFrame:

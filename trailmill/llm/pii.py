@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trailmill.llm.textkeys import lean
 from trailmill.session import bounded_batches
 
 KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "email", "secret")
@@ -314,4 +315,4 @@ def pseudonymise_documents(docs: DataFrame, key: bytes = b"trailmill") -> DataFr
     docs = docs.drop("pii", "_look")
     ready = docs.withColumn("_look", F.coalesce(F.col("text").rlike(SIGN), F.lit(False)))
     schema = T.StructType([*docs.schema.fields, T.StructField("pii", T.MapType(T.StringType(), T.IntegerType()))])
-    return ready.mapInArrow(_replace(key), schema)
+    return ready.mapInArrow(lean(_replace(key)), schema)

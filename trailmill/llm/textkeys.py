@@ -8,6 +8,9 @@ probability about n^2 / 2^65.  Nulls count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 
@@ -21,6 +24,27 @@ _LOWER[65:91] += 32
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 
+def lean(run):
+    """`run` (batches -> batches), giving freed memory back to the system when it ends.
+
+    Workers are reused from task to task, and what their allocator keeps adds up beside the
+    executor's heap.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, so low and high bits are both usable."""
     x = x ^ (x >> U(30))
@@ -33,7 +57,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power_tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, _BASE_INV)):
-            table = np.full(max(n, 1 << 20), base, U)
+            table = np.full(max(n, 5 << 18), base, U)
             table[0] = 1
             _powers[k] = np.cumprod(table)
     return _powers
@@ -58,7 +82,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
-def slices(column: pa.Array, most: int = 4 << 20):
+def slices(column: pa.Array, most: int = 1 << 20):
     """Row ranges of at most about `most` bytes of text (always one row at least)."""
     _, ends = text_bytes(column)
     at = 0
