@@ -86,7 +86,7 @@ def good_turing(counts: dict[int, int]) -> Discount:
 
 def _planes(x: np.ndarray) -> bytes:
     """Bytes of integers plane by plane, so that their empty upper bytes compress away."""
-    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
+    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes(), 1)
 
 
 def _unplaned(data: bytes, dtype) -> np.ndarray:
