@@ -135,7 +135,7 @@ class Lattice:
 def build_lattice(chars: np.ndarray, starts: np.ndarray, vocabulary: Vocabulary) -> Lattice:
     """Lattice of the units that begin at `starts` in `chars` (the last ends with it)."""
     n = len(chars)
-    ends = np.append(starts[1:], n)
+    ends = np.append(starts[1:], n)[: len(starts)]
     left = np.repeat(ends, ends - starts) - np.arange(n)  # characters to the unit's end
     at, node = np.arange(n), np.zeros(n, np.int64)
     froms, lengths, pieces = [], [], []
