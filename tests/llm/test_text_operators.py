@@ -59,6 +59,36 @@ def test_what_is_not_valid_stays():
     assert pii.pseudonymise(text, pii.Permuter(b"k")) == (text, {})
 
 
+def test_phones_and_addresses_of_any_digits_are_moved():
+    p = pii.Permuter(b"k")
+    phones = ["+1 (017) 555-7713", "+1 (136) 555-7479", "+1 (111) 555-0029", "(976) 055-0029", "+1 000-000-0000", "+1 (999) 955-0029"]
+    ips = ["235.58.234.215", "248.40.198.62", "0.1.2.3", "169.254.7.9", "255.255.255.255", "172.16.0.0"]
+    for kind, values in (("phone", phones), ("ip", ips)):
+        for value in values:
+            new, counts = pii.pseudonymise(f"See {value}.", p)
+            assert counts == {kind: 1} and value not in new
+            assert pii.pseudonymise(new, p)[1] == counts
+            if kind == "phone":
+                plan = [pii._valid_phone(int(re.sub(r"\D", "", v)[-10:])) for v in (value, new)]
+                assert plan[0] == plan[1] and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", f"See {value}.")
+            else:
+                block = [pii._ip_block(int.from_bytes(bytes(map(int, v.split("."))), "big")) for v in (value, new[4:-1])]
+                assert block[0] == block[1]
+    plain = "4539148803436468, 999-12-3456, 300.1.1.1, v1.2.3.4, 127.0.0.1, 127.9.8.7, 0.0.0.0, 111 555-0029, 111-555-0029, 12345"
+    assert pii.pseudonymise(plain, p) == (plain, {})
+
+
+def test_pii_query_leaves_no_phone_or_address(spark, sf_dir):
+    shapes = re.compile(r"\(\d{3}\) 555-\d{4}|(?<![\w.])(?!127\.|0\.0\.0\.0)(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)")
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    out, seen = {r.doc_id: r.text for r in queries.op1_pii(spark, sf_dir).collect()}, 0
+    for i, text in docs.items():
+        for value in shapes.findall(text or ""):
+            seen += 1
+            assert value not in out[i], value
+    assert seen
+
+
 def test_pii_query(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
     out = queries.op1_pii(spark, sf_dir).collect()

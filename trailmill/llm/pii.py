@@ -8,7 +8,9 @@ stay different; the separators, the length and the validity of a value are kept.
 
 Kinds: payment card, IBAN, US social security number, phone number, IPv4 address, date,
 e-mail address, and credential-shaped strings (access keys, assigned secrets).  Numbers
-that fail their check, version numbers and other text are left alone.
+that fail their check, version numbers and other text are left alone; but what is written
+`+1 (ddd) ddd-dddd`, with the `+1` or the brackets, is a phone number whether the number
+plan has it or not, and every address but 0.0.0.0 and loopback (127/8) is moved.
 """
 
 from __future__ import annotations
@@ -149,7 +151,8 @@ def _valid_phone(n: int) -> bool:
 
 
 def phone(text: str, permute: Permuter) -> str | None:
-    """North American numbers by their number plan; other international ones keep the first two digits."""
+    """North American numbers, those of the number plan among themselves and the others among
+    themselves; other international ones keep the first two digits."""
     digits = re.sub(r"\D", "", text)
     if text.startswith("+") and not digits.startswith("1"):
         if not 8 <= len(digits) <= 15:
@@ -157,30 +160,37 @@ def phone(text: str, permute: Permuter) -> str | None:
         rest = digits[2:]
         return fill(text, digits[:2] + str(permute(int(rest), 10 ** len(rest), f"phone{digits[:2]}{len(rest)}")).zfill(len(rest)))
     lead, local = digits[:-10], digits[-10:]
-    if lead not in ("", "1") or len(local) != 10 or not _valid_phone(int(local)):
+    if lead not in ("", "1") or len(local) != 10:
         return None
-    return fill(text, lead + str(permute(int(local), 10**10, "phone", _valid_phone)))
+    if _valid_phone(int(local)):
+        return fill(text, lead + str(permute(int(local), 10**10, "phone", _valid_phone)))
+    return fill(text, lead + str(permute(int(local), 10**10, "phone-other", lambda n: not _valid_phone(n))).zfill(10))
 
 
-def _ip_class(n: int) -> int:
-    a, b = n >> 24, n >> 16 & 255
-    return 1 if a == 10 or (a, b) == (192, 168) or (a == 172 and 16 <= b < 32) else 2 if a in (0, 127) or a >= 224 or (a, b) == (169, 254) else 0
+#: Blocks whose addresses stay within the block: its first address and the bits that vary.
+BLOCKS = [
+    (int.from_bytes(bytes(net), "big"), bits)
+    for net, bits in [((10, 0, 0, 0), 24), ((172, 16, 0, 0), 20), ((192, 168, 0, 0), 16), ((169, 254, 0, 0), 16), ((0, 0, 0, 0), 24), ((127, 0, 0, 0), 24), ((224, 0, 0, 0), 28), ((240, 0, 0, 0), 28)]
+]
+
+
+def _ip_block(n: int) -> tuple[int, int] | None:
+    return next((x for x in BLOCKS if n >> x[1] == x[0] >> x[1]), None)
 
 
 def ip(text: str, permute: Permuter) -> str | None:
-    """Public addresses stay public and private ones private; loopback and the like are left alone."""
+    """Public addresses stay public, others in their block; loopback and 0.0.0.0 are left alone."""
     parts = [int(p) for p in text.split(".")]
     if max(parts) > 255 or any(p != str(int(p)) for p in text.split(".")):
         return None
     value = int.from_bytes(bytes(parts), "big")
-    kind = _ip_class(value)
-    if kind == 2:
+    if value == 0 or parts[0] == 127:
         return None
-    if kind == 1:  # walking through all addresses would be long: the private part alone
-        bits = 24 if parts[0] == 10 else 16 if parts[0] == 192 else 20
-        low = permute(value & ((1 << bits) - 1), 1 << bits, f"ip{bits}")
-        return ".".join(str(x) for x in ((value >> bits << bits) | low).to_bytes(4, "big"))
-    new = permute(value, 1 << 32, "ip", lambda n: _ip_class(n) == 0)
+    if block := _ip_block(value):  # walking through all addresses would be long: the block's part alone
+        first, bits = block
+        low = permute(value - first, 1 << bits, f"ip{bits}") if first else permute(value, 1 << bits, "ip0", lambda n: n > 0)
+        return ".".join(str(x) for x in (first | low).to_bytes(4, "big"))
+    new = permute(value, 1 << 32, "ip", lambda n: _ip_block(n) is None)
     return ".".join(str(x) for x in new.to_bytes(4, "big"))
 
 
@@ -253,7 +263,7 @@ RULES: list[tuple[str, re.Pattern, Callable[[str, Permuter], str | None]]] = [
     ("date", re.compile(rf"(?<!\w)(?:\d{{1,2}} {_MONTH} \d{{4}}|{_MONTH} \d{{1,2}}, \d{{4}})(?!\w)", re.I), named_date),
     ("card", re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}(?:([ -])\d{4})(?:\1\d{4}){2}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{5})(?![\w-])"), card),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), ssn),
-    ("phone", re.compile(r"(?<![\w.+-])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?![\w-])"), phone),
+    ("phone", re.compile(r"(?<![\w.+-])(?:(?:\+?1[ .-]?)?\(\d{3}\) ?\d{3}|\+1[ .-]?\d{3}[ .-]\d{3}|(?:1[ .-]?)?[2-9]\d{2}[ .-][2-9]\d{2})[ .-]\d{4}(?![\w-])"), phone),
     ("phone", re.compile(r"(?<![\w+])\+[2-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?![\w-])"), phone),
     ("ip", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"), ip),
 ]
