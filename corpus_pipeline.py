@@ -6,10 +6,10 @@ result as Parquet into the session's shared folder and reads it back for the nex
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailmill.llm.jaccard import jaccard_components
+from trailmill.llm.jaccard import judged_rows
 from trailmill.llm.langid import UNDETERMINED, identify
 from trailmill.llm.packing import pack_documents
 from trailmill.llm.pii import pseudonymise_documents
@@ -24,10 +24,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
-    groups = jaccard_components(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each group of near-duplicates stays: one with the smallest doc_id.
+
+    Rows are judged by their own text, not by their id: a row with a null doc_id links with
+    nothing and stays, a row that repeats a doc_id with an unlike text stays where that text
+    would, and of rows equal in doc_id and set of shingles one stays.
+    """
+    docs = docs.select(*COLUMNS).withColumn("text_key", F.xxhash64(F.col("text").cast("string")))
+    rows = judged_rows(docs).where("doc_id = component_id")
+    kept = cut(rows.groupBy("doc_id", "node").agg(F.min("text_key").alias("text_key"), F.count("*").alias("rows")), "kept")
+    named = docs.join(kept.select("doc_id", "text_key"), ["doc_id", "text_key"], "left_semi")
+    if not kept.where("rows > 1").isEmpty():
+        repeat = F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("lang", "source", "n_chars"))
+        named = named.withColumn("repeat", repeat).where("repeat = 1")
+    return named.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -258,3 +258,15 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, extra int")
     empty.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_are_judged_by_row(spark):
+    words = lambda k: [f"{k}w{j}" for j in range(60)]
+    a, b, c, d = (" ".join(words(k)) for k in "abcd")
+    near = lambda k: " ".join([*words(k)[:-1], "x"])
+    rows = [(None, a), (None, a), (1, a), (1, a), (1, a.upper()), (2, a), (3, b), (3, near("a")), (4, c), (4, near("c")), (5, d), (6, near("d")), (7, ""), (7, "")]
+    out = corpus_pipeline.near_duplicates(spark, frame(spark, [(i, t, "en") for i, t in rows]), "")
+    assert out.columns == list(corpus_pipeline.COLUMNS)
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert Counter(i for i, _ in got) == Counter({None: 2, 1: 1, 3: 1, 4: 1, 5: 1, 7: 1})
+    assert (3, b) in got and (5, d) in got and got.count((None, a)) == 2
