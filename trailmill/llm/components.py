@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmill.session import cut
+from trailmill.session import cut, discard
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -33,18 +33,25 @@ def connected_components(edges: DataFrame) -> DataFrame:
             jumped = parent.join(up, "root").select("id", "root", "above")
             if jumped.where("root <> above").isEmpty():
                 break
-            parent = cut(jumped.select("id", F.col("above").alias("root")), "parent")
+            further = cut(jumped.select("id", F.col("above").alias("root")), "parent")
+            discard(parent)
+            parent = further
         if labels is None:
-            labels = parent.select("id", F.col("root").alias("component"))
+            labels = cut(parent.select("id", F.col("root").alias("component")), "labels")
         else:
             step = parent.select(F.col("id").alias("component"), "root")
-            labels = labels.join(step, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
-        labels = cut(labels, "labels")
+            done = cut(labels.join(step, "component", "left").select("id", F.coalesce("root", "component").alias("component")), "labels")
+            discard(labels)
+            labels = done
         one = parent.select(F.col("id").alias("src"), F.col("root").alias("a"))
         two = parent.select(F.col("id").alias("dst"), F.col("root").alias("b"))
-        links = cut(
+        left = cut(
             links.join(one, "src").join(two, "dst").where("a <> b")
             .select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")).distinct(),
             "links",
         )
+        discard(links)
+        discard(parent)
+        links = left
+    discard(links)
     return labels
