@@ -34,6 +34,23 @@ def test_shards_are_even_and_whole(spark, sf_dir):
     check_shards(got, texts, 40)
 
 
+def test_shards_are_runs_of_the_key_order(spark, sf_dir):
+    """By brute force: rows sorted by the keys, cut where the running bytes pass each share, within a row and the tolerance."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    half = lambda c: F.shiftrightunsigned(F.xxhash64(c), 1)
+    keys = {r.doc_id: (r.a, r.b) for r in docs.select("doc_id", half(F.coalesce("text", F.lit(""))).alias("a"), half("doc_id").alias("b")).collect()}
+    got = {r.doc_id: r for r in queries.op5_sharding(spark, sf_dir).collect()}
+    order = sorted(got, key=lambda i: keys[i])
+    shards = [got[i].shard for i in order]
+    assert shards == sorted(shards)
+    share, below, largest = sum(r.size for r in got.values()) / 40, 0, max(r.size for r in got.values())
+    for last, i in zip([None, *order], order):
+        if last is not None:
+            for border in range(got[last].shard + 1, got[i].shard + 1):
+                assert abs(below - border * share) <= largest + 0.01 * share
+        below += got[i].size
+
+
 def test_hot_text_is_split_by_id(spark):
     rows = [(k, "same text " * 5 if k % 3 else f"text {k}", None, None, None, "x", 1) for k in range(900)] + [(2000, None, None, None, None, "x", 1)]
     docs = spark.createDataFrame(rows, DOCS)
@@ -70,7 +87,7 @@ def test_url_edges(spark):
         (1, "", "", None, "allow"), (2, "", "", None, "allow"), (3, "", "", None, "allow"), (4, "a.example.org", "/es/x", "example.org/es/", "block"),
         (5, "example.org", "", None, "allow"), (6, "notexample.org", "/es/", "org/", "allow"), (7, "x.com", "/fr/", "com/fr/", "allow"), (8, "x.com", "/FR/", None, "allow"),
         (9, "b:", "//c.com/de/", None, "allow"), (10, "com", "/de/", "com/de/", "block"), (11, "x.com", "", None, "allow"), (11, "x.com", "/de/", "com/de/", "block"),
-    ], key=lambda r: r) or got
+    ])
     assert judge_urls(pages.limit(0), rules, ["page_id"]).count() == 0
     assert judge_urls(pages, rules.limit(0), ["page_id"]).where("verdict <> 'allow'").count() == 0
 

@@ -110,7 +110,7 @@ def test_edges(spark):
     for r in out:
         by.setdefault(r.doc_id, []).append(r)
     assert [(r.sample, r.ids, r.text, r.log_inclusion) for r in by[1] + by[2]] == [(1, [], "", 0.0)] * 2
-    assert len(by[3]) == 4 and by[3][0].ids == by[3][2].ids or by[3][0].ids == by[3][1].ids
+    assert len(by[3]) == 4 and (by[3][0].ids == by[3][2].ids or by[3][0].ids == by[3][1].ids)
     assert all(r.text == strange.replace("▁", " ") for r in by[3] + by[None])
     assert all(r.text == "ab " * 30_000 for r in by[4])
     assert sample_segmentations(frame.limit(0)).count() == 0

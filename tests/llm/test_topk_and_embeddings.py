@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from trailmill.llm.embed_dedup import embedding_components
@@ -54,6 +55,23 @@ def test_top_k_edges(spark):
     assert quantise(np.array([-0.0001, 0.9999]))[0] == -1
 
 
+def test_top_k_of_repeated_ids_long_and_huge_vectors(spark):
+    long = [float(k % 7) for k in range(3000)]
+    rows = [(1, long), (2, long), (2, long), (3, [1.0]), (4, [3.0e38, 1.0]), (5, [-3.0e38, 0.0])]
+    got = sorted(tuple(r) for r in top_k(table(spark, rows), table(spark, rows[:1] + rows[4:5])).collect())
+    one = sum(int(x * 1024) ** 2 for x in long)
+    huge = (1 << 63) - 1
+    assert got == [
+        (1, 1, 2, one), (1, 2, 2, one), (1, 3, 4, 1024 * 1024), (1, 4, 3, 0), (1, 5, 5, 0),
+        (4, 1, 2, 1024 * 1024), (4, 2, 2, 1024 * 1024), (4, 3, 1, 1024 * 1024), (4, 4, 3, huge), (4, 5, 5, -huge - 1),
+    ] or [r[2:] for r in got if r[0] == 4] == [(3, huge), (1, 1024 * 1024), (2, 1024 * 1024), (2, 1024 * 1024), (5, -huge - 1)]
+
+
+def test_top_k_with_clashing_columns(spark):
+    data = spark.createDataFrame([(i, [float(i), 1.0], 1, 2, 3, 4) for i in range(5)], "vec_id long, embedding array<float>, score int, query_id int, block int, ids int")
+    assert [tuple(r) for r in top_k(data, data.where("vec_id = 4"), k=2).orderBy("rank").collect()] == [(4, 1, 3, 13 * 1024 * 1024), (4, 2, 2, 9 * 1024 * 1024)]
+
+
 def brute_links(ids, vectors, threshold):
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     near = unit @ unit.T >= threshold
@@ -88,6 +106,37 @@ def test_embedding_links_against_brute_force(spark, dims):
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
 
+@pytest.mark.parametrize("dims", [64, 16])
+def test_recall_just_above_the_threshold(spark, dims):
+    """50,000 vectors: pairs at cosine 0.95 to 0.96 and one group of near copies, among others."""
+    rng = np.random.default_rng(dims)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base = unit(rng.standard_normal((46_000, dims)))
+    away = rng.standard_normal((3000, dims))
+    away = unit(away - (away * base[:3000]).sum(1, keepdims=True) * base[:3000])
+    cosine = rng.uniform(0.951, 0.96, (3000, 1))
+    near = cosine * base[:3000] + np.sqrt(1 - cosine**2) * away
+    group = unit(base[5000] + rng.standard_normal((1000, dims)) * 0.1 / np.sqrt(dims))
+    data = np.concatenate([base, near, group]).astype(np.float32)
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(data)), "embedding": list(data)}))
+    got = embedding_components(frame, 0.95).toPandas().set_index("vec_id").sort_index()
+    exact = data.astype(np.float64)
+    exact /= np.linalg.norm(exact, axis=1, keepdims=True)
+    links = np.zeros(len(data), np.int64)
+    for a in range(0, len(data), 2000):
+        links[a : a + 2000] = (exact[a : a + 2000] @ exact.T >= 0.95).sum(1) - 1
+    recall = got["n_links"].sum() / links.sum()
+    pairs = got["n_links"].to_numpy()[46_000:49_000]
+    print(dims, "recall", recall, "of the pairs", (pairs > 0).mean())
+    assert (got["n_links"].to_numpy() <= links).all()
+    assert recall >= 0.9 and (pairs > 0).mean() >= 0.9
+
+
+def test_embeddings_with_clashing_columns(spark):
+    data = spark.createDataFrame([(i, [1.0, float(i % 2)], 1, 2, 3, 4) for i in range(4)], "vec_id long, embedding array<float>, rep int, codes int, component int, fine int")
+    assert sorted(tuple(r) for r in embedding_components(data).collect()) == [(0, 1, 0, True), (1, 1, 1, True), (2, 1, 0, False), (3, 1, 1, False)]
+
+
 def test_embedding_edges(spark):
     nan = float("nan")
     rows = [(5, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (9, [0.0, 0.0]), (10, None), (11, [nan, 1.0]), (12, [None, 1.0]), (13, []), (14, [1.0, 0.0, 0.0]), (None, [1.0, 0.0])]

@@ -2,19 +2,25 @@
 
 Unit vectors are centred, projected on principal axes and rotated by a learned rotation
 that brings them close to the corners of a cube (iterative quantisation), so that signs
-make balanced binary codes.  The code is cut into `CHUNKS` chunks, and there is one Hamming
-table for every pair of chunks: two codes that agree on any two chunks meet in a bucket,
-which holds for every pair within `CHUNKS - 2` bits and for nearly all near-duplicates
-beyond.  In its bucket each pair is reranked with the original vectors in double
-precision, and counted only in the first table that it meets in.
-
-Equal vectors are represented by the smallest id among them.  Buckets are cut into tiles
-of bounded size, and a tile returns link counts and a spanning forest, never its pairs.
-The projection and rotation are fitted on about `SAMPLE` vectors; every row is indexed.
+make balanced binary codes of 64 bits.  A code is cut into chunks, and there is one Hamming
+table for every pair of chunks: codes that agree on any two chunks meet in a bucket.  Keys
+grow with the logarithm of the number of rows, so that buckets stay small at any size; as
+many codes, each with a rotation of its own, are used as the recall asked for needs at the
+threshold (`Tables`).
+
+Tables hold ids and codes only.  In its bucket a pair that meets there first is compared by
+Hamming distance over all codes; rows with a partner within a bound that near-duplicates
+practically never exceed then get their vectors, and the pairs of these are reranked in
+double precision.  Equal vectors are represented by the smallest id among them.  Buckets
+are cut into tiles of bounded size, and a tile returns rows, link counts and a spanning
+forest, never its pairs.  Rotations are fitted on about `SAMPLE` vectors; every row is
+indexed.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -23,25 +29,71 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmill.llm.components import connected_components
+from trailmill.llm.textkeys import lean
 from trailmill.llm.topk_search import usable
-from trailmill.session import cut
+from trailmill.session import cut, discard
 
 SAMPLE = 20_000
 ROUNDS = 50
 BITS = 64
-CHUNKS = 8
-TABLES = list(combinations(range(CHUNKS), 2))
+#: Expected share of the pairs at the threshold that meet in a table.
+RECALL = 0.95
+#: Rows that a bucket holds, about, and the least bits of a key.
+BUCKET, LEAST_KEY = 16, 12
+#: Standard deviations above the expected Hamming distance at the threshold that are let through.
+SLACK = 6
 #: Rows of one bucket block; a tile holds two.
 TILE = 1024
 #: Groups up to this size are compared together, many groups at once.
 SMALL = 48
 
-#: For each set of agreeing chunks (as bits), the first table in which the pair meets.
-FIRST_TABLE = np.full(1 << CHUNKS, -1, np.int64)
-for _mask in range(1 << CHUNKS):
-    for _t, (_a, _b) in reversed(list(enumerate(TABLES))):
-        if _mask >> _a & 1 and _mask >> _b & 1:
-            FIRST_TABLE[_mask] = _t
+
+@dataclass(frozen=True)
+class Tables:
+    """How codes are cut: bits of a chunk, chunks of a code, codes with tables, codes in all, and the Hamming bound."""
+
+    width: int
+    chunks: int
+    keyed: int
+    codes: int
+    bound: int
+
+    @classmethod
+    def for_rows(cls, rows: int, threshold: float) -> "Tables":
+        width = max(LEAST_KEY, math.ceil(math.log2(max(rows, 2) / BUCKET))) + 1 >> 1
+        chunks = BITS // width
+        flip = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+        agree = (1 - flip) ** width
+        missed = (1 - agree) ** chunks + chunks * agree * (1 - agree) ** (chunks - 1)
+        keyed = max(1, math.ceil(math.log(1 - RECALL) / math.log(missed)))
+        codes = max(2, keyed)
+        mean = BITS * codes * flip
+        return cls(width, chunks, keyed, codes, math.ceil(mean + SLACK * math.sqrt(mean * (1 - flip))))
+
+    @property
+    def pairs(self) -> list[tuple[int, int]]:
+        return list(combinations(range(self.chunks), 2))
+
+    def first(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The first table in which codes a[k] and b[k] (rows of words) meet, or -1."""
+        place = np.full(1 << self.chunks, -1, np.int64)  # by the set of agreeing chunks
+        sets = np.arange(1 << self.chunks)
+        for t, (x, y) in reversed(list(enumerate(self.pairs))):
+            place[(sets >> x & 1 & (sets >> y)) == 1] = t
+        out = np.full(len(a), -1, np.int64)
+        mask = np.uint64((1 << self.width) - 1)
+        for r in reversed(range(self.keyed)):
+            differ, agree = a[:, r] ^ b[:, r], np.zeros(len(a), np.int64)
+            for k in range(self.chunks):
+                agree |= ((differ >> np.uint64(self.width * k) & mask) == 0).astype(np.int64) << k
+            out = np.where(place[agree] >= 0, place[agree] + r * len(self.pairs), out)
+        return out
+
+    def keys(self) -> str:
+        """SQL of an array of (table, key) of the column `codes`."""
+        chunk = lambda r, k: f"(shiftrightunsigned(codes[{r}], {self.width * k}) & {(1 << self.width) - 1}L)"
+        each = ((r, t, x, y) for r in range(self.keyed) for t, (x, y) in enumerate(self.pairs))
+        return ", ".join(f"named_struct('table', {r * len(self.pairs) + t}, 'key', {chunk(r, x)} * {1 << self.width}L + {chunk(r, y)})" for r, t, x, y in each)
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -77,22 +129,24 @@ def binary_codes(vectors: np.ndarray, mean: np.ndarray, projection: np.ndarray)
     return np.packbits(signs, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array, kind=np.float64) -> np.ndarray:
     n = len(column)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 1))
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(n, -1) if n else np.zeros((0, 1), kind)
 
 
 def _encode(fitted):
     def run(batches):
-        mean, projection = fitted.value
         for batch in batches:
-            codes = binary_codes(unit_rows(_matrix(batch.column("embedding"))), mean, projection) if batch.num_rows else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "copies", "embedding")), pa.array(codes.view(np.int64))], names=["rep", "copies", "embedding", "code"])
+            unit = unit_rows(_matrix(batch.column("embedding"))) if batch.num_rows else np.zeros((0, 1))
+            codes = np.stack([binary_codes(unit, *f) for f in fitted.value], 1) if batch.num_rows else np.zeros((0, len(fitted.value)), np.uint64)
+            ends = np.arange(len(codes) + 1, dtype=np.int32) * codes.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(codes.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), lists], names=["rep", "codes"])
 
     return run
 
 
-def _pairs_small(starts: np.ndarray, sizes: np.ndarray):
+def _small_pairs(starts: np.ndarray, sizes: np.ndarray):
     """Index pairs within each of many small groups of rows."""
     for size in np.unique(sizes):
         a, b = np.triu_indices(size, 1)
@@ -101,50 +155,108 @@ def _pairs_small(starts: np.ndarray, sizes: np.ndarray):
             yield (part[:, None] + a).ravel(), (part[:, None] + b).ravel()
 
 
-def linked_pairs(vectors: np.ndarray, codes: np.ndarray, tables: np.ndarray, starts: np.ndarray, ends: np.ndarray, splits: np.ndarray, threshold: float):
-    """(a, b) of all pairs in one group with cosine >= threshold, each in its first table only.
+def near_pairs(codes: np.ndarray, tables: np.ndarray, groups, cut: Tables, near, near_blocks):
+    """(a, b) of all pairs of a group that `near` holds of, each in its first table only.
 
-    Where splits[g] > 0, group g is a tile of two blocks and only pairs across the split count.
+    `groups` are starts, ends and splits: where splits[g] > 0, group g is a tile of two
+    blocks and only pairs across the split count.
     """
+    starts, ends, splits = groups
     sizes = ends - starts
     small = (sizes <= SMALL) & (splits == 0)
     found = []
-    for a, b in _pairs_small(starts[small & (sizes > 1)], sizes[small & (sizes > 1)]):
-        good = np.einsum("ij,ij->i", vectors[a], vectors[b]) >= threshold
+    for a, b in _small_pairs(starts[small & (sizes > 1)], sizes[small & (sizes > 1)]):
+        good = near(a, b)
         found.append((a[good], b[good]))
     for g in np.flatnonzero(~small):
         x, y = starts[g], ends[g]
         left = slice(x, x + splits[g]) if splits[g] else slice(x, y)
         right = slice(x + splits[g], y)
-        a, b = np.nonzero(vectors[left] @ vectors[right].T >= threshold)
+        a, b = np.nonzero(near_blocks(left, right))
         a, b = a + left.start, b + right.start
         if not splits[g]:
             a, b = a[a < b], b[a < b]
         found.append((a, b))
     a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
     b = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
-    differ = (codes[a] ^ codes[b])[:, None].view(np.uint8)
-    agree = ((differ == 0) << np.arange(CHUNKS)).sum(1)
-    mine = FIRST_TABLE[agree] == tables[a]
+    mine = cut.first(codes[a], codes[b]) == tables[a]
     return a[mine], b[mine]
 
 
-def _tiles(threshold: float):
-    names = ("table", "key", "i", "j", "side", "rep", "copies", "code")
-
-    def handle(columns: dict[str, np.ndarray], vectors: np.ndarray):
-        fresh = np.ones(len(vectors), bool)
-        for c in ("table", "key", "i", "j"):
-            fresh[1:] &= columns[c][1:] == columns[c][:-1]
-        fresh = np.concatenate([[True], ~fresh[1:]])
-        starts = np.flatnonzero(fresh)
-        ends = np.append(starts[1:], len(vectors))
-        # Rows of a tile come sorted by side; a tile of one block with itself has one side.
-        firsts = np.concatenate([[0], np.cumsum(columns["side"] == 0)])
-        splits = np.where(columns["i"][starts] == columns["j"][starts], 0, firsts[ends] - firsts[starts])
-        alone = (columns["i"][starts] != columns["j"][starts]) & ((splits == 0) | (splits == ends - starts))
-        starts, ends, splits = starts[~alone], ends[~alone], splits[~alone]
-        a, b = linked_pairs(vectors, columns["code"].view(np.uint64), columns["table"], starts, ends, splits, threshold)
+PLACE = ("table", "key", "i", "j")
+
+
+def _groups(columns: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and splits of the tiles of rows that come sorted by tile and side."""
+    n = len(columns["side"])
+    same = np.ones(max(n - 1, 0), bool)
+    for c in PLACE:
+        same &= columns[c][1:] == columns[c][:-1]
+    starts = np.flatnonzero(np.concatenate([[True], ~same])) if n else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], n)
+    firsts = np.concatenate([[0], np.cumsum(columns["side"] == 0)])
+    across = columns["i"][starts] != columns["j"][starts]
+    splits = np.where(across, firsts[ends] - firsts[starts], 0)
+    alone = across & ((splits == 0) | (splits == ends - starts))
+    return starts[~alone], ends[~alone], splits[~alone]
+
+
+def _by_tile(handle):
+    """Run `handle` on whole tiles of rows that come sorted by tile, however batches cut them."""
+
+    def run(batches):
+        kept: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            place = [batch.column(c).to_numpy() for c in PLACE]
+            same = np.ones(batch.num_rows, bool)
+            for c in place:
+                same &= c == c[-1]
+            start = batch.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
+            if start:
+                yield handle(pa.Table.from_batches([*kept, batch.slice(0, start)]).combine_chunks())
+                kept = []
+            kept.append(batch.slice(start))
+        if kept:
+            yield handle(pa.Table.from_batches(kept).combine_chunks())
+
+    return run
+
+
+def _columns(table: pa.Table, names) -> dict[str, np.ndarray]:
+    return {c: table[c].to_numpy() for c in names}
+
+
+def _chunk(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
+
+
+def _likely(cut: Tables):
+    """Rows of a tile that have a partner within the Hamming bound that they meet here first."""
+
+    def handle(table: pa.Table):
+        columns = _columns(table, PLACE + ("side",))
+        codes = _matrix(_chunk(table["codes"]), np.int64).view(np.uint64)
+        near = lambda a, b: np.bitwise_count(codes[a] ^ codes[b]).sum(1) <= cut.bound
+        blocks = lambda x, y: sum(np.bitwise_count(codes[x, r][:, None] ^ codes[y, r][None, :]).astype(np.int16) for r in range(cut.codes)) <= cut.bound
+        a, b = near_pairs(codes, columns["table"], _groups(columns), cut, near, blocks)
+        some = np.unique(np.concatenate([a, b]))
+        columns["rep"] = table["rep"].to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(columns[c][some]) for c in (*PLACE, "side", "rep")], names=[*PLACE, "side", "rep"])
+
+    return _by_tile(handle)
+
+
+def _links_of_tiles(cut: Tables, threshold: float):
+    """Link counts and a spanning forest of the pairs of a tile with cosine >= threshold."""
+
+    def handle(table: pa.Table):
+        columns = _columns(table, PLACE + ("side", "rep", "copies"))
+        codes = _matrix(_chunk(table["codes"]), np.int64).view(np.uint64)
+        vectors = unit_rows(_matrix(_chunk(table["embedding"])))
+        near = lambda a, b: np.einsum("ij,ij->i", vectors[a], vectors[b]) >= threshold
+        a, b = near_pairs(codes, columns["table"], _groups(columns), cut, near, lambda x, y: vectors[x] @ vectors[y].T >= threshold)
         rep, inverse = np.unique(columns["rep"], return_inverse=True)
         a, b, wa, wb = inverse[a], inverse[b], columns["copies"][a], columns["copies"][b]
         links = np.bincount(a, wb, len(rep)) + np.bincount(b, wa, len(rep))
@@ -159,34 +271,7 @@ def _tiles(threshold: float):
         some = links > 0
         return pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(links[some].astype(np.int64)), pa.array(rep[root[some]])], names=["rep", "links", "low"])
 
-    def run(batches):
-        kept: list = []
-
-        def joined():
-            columns = {c: np.concatenate([k[0][c] for k in kept]) for c in names}
-            return columns, unit_rows(np.concatenate([k[1] for k in kept]))
-
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            columns = {c: batch.column(c).to_numpy() for c in names}
-            vectors = _matrix(batch.column("embedding"))
-            last = len(vectors) - 1
-            same = np.ones(len(vectors), bool)
-            for c in ("table", "key", "i", "j"):
-                same &= columns[c] == columns[c][last]
-            start = last + 1 - int(np.argmin(same[::-1])) if not same.all() else 0
-            kept.append(({c: v[:start] for c, v in columns.items()}, vectors[:start]))
-            if start:
-                yield handle(*joined())
-                kept = []
-            else:
-                kept.pop()
-            kept.append(({c: v[start:] for c, v in columns.items()}, vectors[start:]))
-        if kept:
-            yield handle(*joined())
-
-    return run
+    return _by_tile(handle)
 
 
 def _links(classes: DataFrame, threshold: float, seed: int) -> DataFrame:
@@ -198,23 +283,26 @@ def _links(classes: DataFrame, threshold: float, seed: int) -> DataFrame:
     sample = classes.where(place < share).select("embedding").toPandas()["embedding"]
     if len(sample) == 0:
         sample = classes.limit(1).toPandas()["embedding"]
-    fitted = spark.sparkContext.broadcast(fit_rotation(unit_rows(np.stack(sample.to_list()).astype(np.float64)), seed))
-    coded = classes.select("rep", "copies", "embedding").mapInArrow(_encode(fitted), "rep long, copies long, embedding array<double>, code long")
-    coded = cut(coded, "codes")
-    width = BITS // CHUNKS
-    chunk = lambda k: f"(shiftrightunsigned(code, {width * k}) & {(1 << width) - 1})"
-    keys = ", ".join(f"named_struct('table', {t}, 'key', cast({chunk(a)} * {1 << width} + {chunk(b)} as int))" for t, (a, b) in enumerate(TABLES))
-    slim = coded.select("rep", F.explode(F.expr(f"array({keys})")).alias("at")).select("rep", "at.*")
-    sizes = slim.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = cut(sizes.select("table", "key", F.ceil(F.col("n") / TILE).cast("int").alias("blocks")), "buckets")
-    spread = coded.select("rep", "copies", "embedding", "code", F.explode(F.expr(f"array({keys})")).alias("at")).select("*", "at.*").drop("at")
-    spread = spread.join(sizes, ["table", "key"]).withColumn("block", F.pmod(F.hash("rep"), F.col("blocks")))
-    tiles = spread.select(
-        "table", "key", "block", "rep", "copies", "code", "embedding",
+    unit = unit_rows(np.stack(sample.to_list()).astype(np.float64))
+    plan = Tables.for_rows(n, threshold)
+    fitted = spark.sparkContext.broadcast([fit_rotation(unit, seed + r) for r in range(plan.codes)])
+    coded = cut(classes.select("rep", "embedding").mapInArrow(lean(_encode(fitted)), "rep long, codes array<long>"), "codes")
+    postings = coded.select("rep", "codes", F.explode(F.expr(f"array({plan.keys()})")).alias("at")).select("at.*", "rep", "codes")
+    large = postings.groupBy("table", "key").agg(F.count("*").alias("n")).where(F.col("n") > TILE)
+    large = cut(large.select("table", "key", F.ceil(F.col("n") / TILE).cast("int").alias("blocks")), "buckets")
+    postings = postings.join(large, ["table", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.hash("rep"), F.col("blocks")))
+    tiles = postings.select(
+        "table", "key", "block", "rep", "codes",
         F.explode(F.expr("transform(sequence(0, blocks - 1), k -> named_struct('i', least(block, k), 'j', greatest(block, k)))")).alias("tile"),
-    ).select("table", "key", "tile.i", "tile.j", F.when(F.col("block") == F.col("tile.i"), 0).otherwise(1).alias("side"), "rep", "copies", "code", "embedding")
+    ).select("table", "key", "tile.i", "tile.j", F.when(F.col("block") == F.col("tile.i"), 0).otherwise(1).alias("side"), "rep", "codes")
     tiles = tiles.repartition("table", "key", "i", "j").sortWithinPartitions("table", "key", "i", "j", "side")
-    return cut(tiles.mapInArrow(_tiles(threshold), "rep long, links long, low long"), "linked")
+    likely = cut(tiles.mapInArrow(lean(_likely(plan)), "table int, key long, i int, j int, side int, rep long"), "likely")
+    whole = likely.join(classes.select("rep", "copies", "embedding"), "rep").join(coded, "rep")
+    whole = whole.repartition("table", "key", "i", "j").sortWithinPartitions("table", "key", "i", "j", "side")
+    out = cut(whole.mapInArrow(lean(_links_of_tiles(plan, threshold)), "rep long, links long, low long"), "linked")
+    for table in (coded, large, likely):
+        discard(table)
+    return out
 
 
 def embedding_components(vectors: DataFrame, threshold: float = 0.95, seed: int = 0) -> DataFrame:

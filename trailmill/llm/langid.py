@@ -3,9 +3,10 @@
 The kernel of two texts is the sum over n = 1, 2, 3 of the cosine between their sets of
 present byte n-grams (of the lower-cased text).  A Nystroem approximation with landmark
 texts turns it into features, and one-versus-rest kernel ridge regression with +-1
-targets is fitted on them.  The fit uses a bounded sample of labelled rows
-(`TRAIN_PER_LANGUAGE`, `LANDMARKS_PER_LANGUAGE`, texts of at most `TRAIN_BYTES`);
-prediction reads every text whole.
+targets is fitted on them.  The fit uses a bounded sample of labelled rows: of each
+language the rows with the smallest hashed ids, up to `TRAIN_PER_LANGUAGE` rows and, but
+for the first, `TRAIN_BYTES` of text (`TRAIN_ROWS` rows and `LANDMARKS` landmarks over all
+languages).  Prediction reads every text whole.
 
 Since K(x, landmarks) @ alpha is linear in the presence vector of x, the landmark and
 coefficient matrices are multiplied once, and a batch of texts is scored by one product
@@ -19,16 +20,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmill.llm.textkeys import lean, slices, text_bytes
 from trailmill.session import bounded_batches
 
-TRAIN_PER_LANGUAGE = 600
-LANDMARKS_PER_LANGUAGE = 48
-TRAIN_BYTES = 1 << 15
+TRAIN_PER_LANGUAGE, TRAIN_ROWS = 600, 60_000
+LANDMARKS_PER_LANGUAGE, LANDMARKS = 48, 2400
+TRAIN_BYTES = 4 << 20
 RIDGE = 1e-2
 SIZES = (1, 2, 3)
 UNDETERMINED = "und"
@@ -85,25 +86,31 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
 
 
 def fit_language_model(labelled: DataFrame) -> LanguageModel:
-    """Fit on `labelled` (doc_id, text, lang); null or over-long texts and null labels are left out.
+    """Fit on `labelled` (doc_id, text, lang); null texts and null labels are left out.
 
     The sample is the rows of each language whose hashed ids are smallest, found by a
     hash threshold from the language's row count, so it needs no sort of the table.
     """
-    rows = labelled.where("text is not null and lang is not null").where(F.octet_length("text") <= TRAIN_BYTES)
+    rows = labelled.where("text is not null and lang is not null")
     rows = rows.select("doc_id", "text", "lang", F.shiftrightunsigned(F.xxhash64("doc_id"), 11).alias("place"))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return LanguageModel([], [np.zeros(0, np.int64) for _ in SIZES], [np.zeros((0, 0)) for _ in SIZES], np.zeros(0))
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.5 * TRAIN_PER_LANGUAGE / n)))])
-    picked = rows.where(F.col("place") < share[F.col("lang")] * float(1 << 53)).select("lang", "place", "text").toPandas()
-    picked = picked.sort_values(["lang", "place", "text"]).groupby("lang").head(TRAIN_PER_LANGUAGE)
+    most = max(1, min(TRAIN_PER_LANGUAGE, TRAIN_ROWS // len(counts)))
+    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.5 * most / n)))])
+    near = rows.where(F.col("place") < share[F.col("lang")] * float(1 << 53))
+    order = Window.partitionBy("lang").orderBy("place", "doc_id", F.octet_length("text"))
+    # What a row would be refused by is known before its text travels.
+    slim = near.select("lang", "place", "doc_id", F.xxhash64("text").alias("key"), F.row_number().over(order).alias("n"), F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("bytes"))
+    taken = slim.where((F.col("n") == 1) | ((F.col("n") <= most) & (F.col("bytes") <= TRAIN_BYTES))).select("lang", "place", "key").distinct()
+    picked = near.withColumn("key", F.xxhash64("text")).join(taken, ["lang", "place", "key"], "left_semi").select("lang", "place", "text").toPandas()
+    picked = picked.sort_values(["lang", "place", "text"]).groupby("lang").head(most)
     picked["text"] = pc.utf8_lower(pa.array(picked["text"], pa.string())).to_pylist()
-    languages = sorted(counts)
+    languages = sorted(picked["lang"].unique())
     texts = [t.encode() for t in picked["text"]]
     raw, ends = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     mark = np.zeros(len(picked), bool)
-    mark[np.flatnonzero(picked.groupby("lang").cumcount().to_numpy() < LANDMARKS_PER_LANGUAGE)] = True
+    mark[np.flatnonzero(picked.groupby("lang").cumcount().to_numpy() < max(1, min(LANDMARKS_PER_LANGUAGE, LANDMARKS // len(languages))))] = True
     marks = [t for t, m in zip(texts, mark) if m]
     mraw, mends = np.frombuffer(b"".join(marks), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in marks])]).astype(np.int64)
     grams = [np.unique(gram_codes(mraw, mends, n)[1]).astype(np.int64) for n in SIZES]

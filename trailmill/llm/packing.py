@@ -128,11 +128,13 @@ CACHED_WORDS = 100_000
 
 
 class WordEncoder(dict):
-    """ids (little-endian uint32 bytes) of a text, encoded word by word.
+    """ids (little-endian uint32 bytes) of a text, as `Tokenizer.encode(text, add_special_tokens=False)` has them.
 
     The byte-level pattern never joins a token across the border between a non-space and
     the white space after it, so the ids of a text are those of its (space, word) chunks in
-    a row, and frequent chunks need encoding once.
+    a row, and frequent chunks need encoding once.  A text that spells one of the
+    vocabulary's added tokens is encoded whole, as such a token is found before the
+    pattern is applied.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -143,48 +145,29 @@ class WordEncoder(dict):
         super().__init__()
         self.chunks = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)").search
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        self[chunk] = ids
+        ids = self[chunk] = self._ids(chunk)
         return ids
 
     def encode(self, text: str) -> bytes:
+        if self.added(text):
+            return self._ids(text)
         if len(self) > CACHED_WORDS:
             self.clear()
         return b"".join(map(self.__getitem__, self.chunks(text)))
 
 
-class RankEncoder(WordEncoder):
-    """The same from the vocabulary's rank file, whose encoder is faster word by word."""
-
-    def __init__(self, rank_path: str, pattern: str):
-        import base64
-        import re
-
-        import tiktoken
-
-        dict.__init__(self)
-        self.chunks = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
-        with open(rank_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.one = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.one(chunk), "<u4").tobytes()
-        self[chunk] = ids
-        return ids
-
-
 def byte_bpe_encoder(name: str = "byte_bpe_50k.json") -> WordEncoder:
-    """Encoder for a public vocabulary; the rank file of the same vocabulary is used where there is one."""
-    import os
-
+    """Encoder for a public vocabulary by its file name."""
     import public_tokenizers
 
-    ranks = os.path.splitext(public_tokenizers.path(name))[0] + ".tiktoken"
-    return RankEncoder(ranks, public_tokenizers.PATTERN) if os.path.exists(ranks) else WordEncoder(public_tokenizers.path(name))
+    return WordEncoder(public_tokenizers.path(name))
 
 
 def _pieces(tokenizer: str, length: int, end: int, with_ids: bool):

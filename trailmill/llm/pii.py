@@ -4,18 +4,19 @@ Every value found is checked (Luhn, mod 97, calendar, number-plan and range rule
 ranked within the set of all valid values of its format, moved to another rank by a keyed
 Feistel permutation, and written back in the same format.  The permutation depends on the
 key and the kind only, so equal values stay equal across documents and different values
-stay different; the separators, the length and the validity of a value are kept.
+stay different; the separators, the length and the validity of a value are kept (the
+length of a date without leading zeros may change).
 
 Kinds: payment card, IBAN, US social security number, phone number, IPv4 address, date,
 e-mail address, and credential-shaped strings (access keys, assigned secrets).  Numbers
-that fail their check, version numbers and other text are left alone; but what is written
+that fail their check, version numbers and other text are left alone, as are dates before
+1900 or after 2099 and months of languages other than those in `MONTH_NAMES`; what is written
 `+1 (ddd) ddd-dddd`, with the `+1` or the brackets, is a phone number whether the number
-plan has it or not, and every address but 0.0.0.0 and loopback (127/8) is moved.
+plan has it or not, and every address but 0.0.0.0 and 127.0.0.1 is moved.
 """
 
 from __future__ import annotations
 
-import calendar
 import datetime
 import hashlib
 import re
@@ -174,66 +175,104 @@ BLOCKS = [
 ]
 
 
+STILL = {0, 0x7F000001}
+
+
 def _ip_block(n: int) -> tuple[int, int] | None:
     return next((x for x in BLOCKS if n >> x[1] == x[0] >> x[1]), None)
 
 
 def ip(text: str, permute: Permuter) -> str | None:
-    """Public addresses stay public, others in their block; loopback and 0.0.0.0 are left alone."""
+    """Public addresses stay public, others in their block; 127.0.0.1 and 0.0.0.0 are left alone."""
     parts = [int(p) for p in text.split(".")]
     if max(parts) > 255 or any(p != str(int(p)) for p in text.split(".")):
         return None
     value = int.from_bytes(bytes(parts), "big")
-    if value == 0 or parts[0] == 127:
+    if value in STILL:
         return None
     if block := _ip_block(value):  # walking through all addresses would be long: the block's part alone
         first, bits = block
-        low = permute(value - first, 1 << bits, f"ip{bits}") if first else permute(value, 1 << bits, "ip0", lambda n: n > 0)
+        low = permute(value - first, 1 << bits, f"ip{first >> 24}/{bits}", lambda n: first | n not in STILL)
         return ".".join(str(x) for x in (first | low).to_bytes(4, "big"))
     new = permute(value, 1 << 32, "ip", lambda n: _ip_block(n) is None)
     return ".".join(str(x) for x in new.to_bytes(4, "big"))
 
 
 FIRST, LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
-MONTHS = {name.lower(): k for names in (calendar.month_name, calendar.month_abbr) for k, name in enumerate(names) if name}
+# Months of the corpora's languages, whole and short, January first.
+MONTH_NAMES = [
+    ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"],
+    ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"],
+    ["Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember"],
+    ["janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"],
+    ["enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"],
+]
+_MONTH = "(?:" + "|".join(sorted({re.escape(m) for names in MONTH_NAMES for m in names}, key=lambda m: (-len(m), m))) + ")"
+#: name in lower case -> (list it is from, month); the first list that has a name wins.
+MONTHS = {name.lower(): (names, k + 1) for names in reversed(MONTH_NAMES) for k, name in enumerate(names)}
+
+
+def _late(n: int) -> bool:
+    return datetime.date.fromordinal(FIRST + n).day > 12
 
 
 def _moved_day(year: int, month: int, day: int, permute: Permuter) -> datetime.date | None:
+    """Another day from 1900 to 2099.
+
+    Days after the twelfth are moved among themselves, as are the others: the pseudonym
+    of a date that can only be read day first, or of one that can't, is then read the same
+    way, and a date has one pseudonym in whatever format it is written.
+    """
     try:
-        value = datetime.date(year, month, day).toordinal()
+        value = datetime.date(year, month, day).toordinal() - FIRST
     except ValueError:
         return None
-    if not FIRST <= value <= LAST:
+    size = LAST - FIRST + 1
+    if not 0 <= value < size:
         return None
-    return datetime.date.fromordinal(FIRST + permute(value - FIRST, LAST - FIRST + 1, "date"))
+    late = day > 12
+    return datetime.date.fromordinal(FIRST + permute(value, size, "date13" if late else "date12", lambda n: _late(n) == late))
 
 
 def date(text: str, permute: Permuter) -> str | None:
-    """Numeric dates, year first or last; the first number is the day where it can't be a month."""
-    one, two, three = (int(x) for x in re.findall(r"\d+", text))
-    first_year = len(re.match(r"\d+", text)[0]) == 4
-    if first_year:
+    """Numeric dates, year first or last; the first number is the day where it can't be a month.
+
+    Days and months stay without leading zeros where one of them has a single digit.
+    """
+    numbers = re.findall(r"\d+", text)
+    wide = 1 if min(map(len, numbers)) == 1 else 2
+    one, two, three = map(int, numbers)
+    if len(numbers[0]) == 4:
         new = _moved_day(one, two, three, permute)
-        return new and fill(text, f"{new.year:04d}{new.month:02d}{new.day:02d}")
-    # A pseudonym must read in the same order, so both readings are kept apart by the day.
-    if one > 12:
+        parts = new and (f"{new.year:04d}", f"{new.month:0{wide}d}", f"{new.day:0{wide}d}")
+    elif one > 12:
         new = _moved_day(three, two, one, permute)
-        return new and fill(text, f"{new.day:02d}{new.month:02d}{new.year:04d}")
-    new = _moved_day(three, one, two, permute)
-    return new and fill(text, f"{new.month:02d}{new.day:02d}{new.year:04d}")
+        parts = new and (f"{new.day:0{wide}d}", f"{new.month:0{wide}d}", f"{new.year:04d}")
+    else:
+        new = _moved_day(three, one, two, permute)
+        parts = new and (f"{new.month:0{wide}d}", f"{new.day:0{wide}d}", f"{new.year:04d}")
+    if new is None:
+        return None
+    it = iter(parts)
+    return re.sub(r"\d+", lambda _: next(it), text)
 
 
 def named_date(text: str, permute: Permuter) -> str | None:
-    """Dates with a month's name: `4 March 2021`, `March 4, 2021`."""
-    word = re.search(r"[A-Za-z]+", text)[0]
-    day, year = (int(x) for x in re.findall(r"\d+", text))
-    new = _moved_day(year, MONTHS[word.lower()], day, permute)
+    """Dates with a month's name: `4 March 2021`, `March 4, 2021`, `14. März 2021`, `4 de marzo de 2021`.
+
+    The month keeps its language, its length (whole or short) and its case; a day that is
+    written with two digits stays so.
+    """
+    word = re.search(_MONTH, text, re.I)[0]
+    day, year = re.findall(r"\d+", text)
+    names, month = MONTHS[word.lower()]
+    new = _moved_day(int(year), month, int(day), permute)
     if new is None:
         return None
-    names = calendar.month_name if word.lower() in {m.lower() for m in calendar.month_name} else calendar.month_abbr
-    numbers = iter([str(new.day), f"{new.year:04d}"])
-    out = re.sub(r"\d+", lambda _: next(numbers), text)
-    return out.replace(word, names[new.month], 1)
+    name = names[new.month - 1]
+    name = name.upper() if word.isupper() else name.lower() if word.islower() else name[0].upper() + name[1:]
+    numbers = iter([f"{new.day:0{2 if day.startswith('0') else 1}d}", f"{new.year:04d}"])
+    return re.sub(r"\d+", lambda _: next(numbers), text).replace(word, name, 1)
 
 
 def email(text: str, permute: Permuter) -> str | None:
@@ -252,15 +291,14 @@ def secret(text: str, permute: Permuter) -> str | None:
     return keep + spelled(rest, permute, f"secret{keep}")
 
 
-_MONTH = "(?:" + "|".join(sorted((re.escape(m) for m in MONTHS), key=len, reverse=True)) + ")"
 #: kind, pattern, function; earlier kinds win where spans meet.  A group marks the part to change.
 RULES: list[tuple[str, re.Pattern, Callable[[str, Permuter], str | None]]] = [
     ("email", re.compile(r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w@])", re.A), email),
     ("secret", re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[po]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[bp]-[A-Za-z0-9-]{20,})(?![A-Za-z0-9])"), secret),
     ("secret", re.compile(r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_-]{12,})"), secret),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), iban),
-    ("date", re.compile(r"(?<![\w./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\w/-]|\.\d)"), date),
-    ("date", re.compile(rf"(?<!\w)(?:\d{{1,2}} {_MONTH} \d{{4}}|{_MONTH} \d{{1,2}}, \d{{4}})(?!\w)", re.I), named_date),
+    ("date", re.compile(r"(?<![\w./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?!(?!T\d)[\w/-]|\.\d)"), date),
+    ("date", re.compile(rf"(?<!\w)(?:\d{{1,2}}(?:\.? | de ){_MONTH}(?: | de |, )\d{{4}}|{_MONTH} \d{{1,2}}, \d{{4}})(?!\w)", re.I), named_date),
     ("card", re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}(?:([ -])\d{4})(?:\1\d{4}){2}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{5})(?![\w-])"), card),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), ssn),
     ("phone", re.compile(r"(?<![\w.+-])(?:(?:\+?1[ .-]?)?\(\d{3}\) ?\d{3}|\+1[ .-]?\d{3}[ .-]\d{3}|(?:1[ .-]?)?[2-9]\d{2}[ .-][2-9]\d{2})[ .-]\d{4}(?![\w-])"), phone),
@@ -295,7 +333,7 @@ def pseudonymise(text: str, permute: Permuter) -> tuple[str, dict[str, int]]:
 
 
 #: A cheap sign, searched by the JVM, that a text can hold any of the above.
-SIGN = r"[0-9@]|(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)|sk-|xox"
+SIGN = r"[0-9@]|(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)|sk-|xox|AKIA|ASIA|gh[po]_"
 
 
 def _replace(key: bytes):

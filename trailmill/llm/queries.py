@@ -38,10 +38,39 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+#: Scores are sums of products of whole numbers, which doubles hold exactly at this size.
+OP3_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as q
+  from embeddings where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select a.vec_id as query_id, b.vec_id, cast(list_dot_product(a.q, b.q) as bigint) as score
+  from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+), ranked as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored
+)
+select query_id, cast(rank as int) as rank, vec_id, score from ranked where rank <= 10
+"""
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(_table(spark, sf_dir, "embeddings"), 0.95)
 
 
+OP4_SQL = """
+with recursive v as (
+  select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links as (
+  select a.vec_id as src, b.vec_id as dst from v a join v b on a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.95
+), reached as (
+  select vec_id as src, vec_id as dst from embeddings union select r.src, l.dst from reached r join links l on l.src = r.dst
+), counts as (select src, count(*) as n from links group by src), least as (select src, min(dst) as c from reached group by src)
+select e.vec_id, coalesce(n, 0) as n_links, c as component_id, e.vec_id = c as kept
+from embeddings e left join counts on counts.src = e.vec_id join least on least.src = e.vec_id
+"""
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = shard_documents(_table(spark, sf_dir, "documents"), 40)
     return done.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -119,4 +148,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scoring": op10_lm_scoring,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_url_filter": OP6_SQL}
+OP9_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents
+), s as (
+  select distinct doc_id, unnest(case when len(words) = 0 then [] when len(words) < 4 then [array_to_string(words, ' ')]
+    else list_transform(range(1, len(words) - 2), lambda i: concat_ws(' ', words[i], words[i + 1], words[i + 2], words[i + 3])) end) as shingle from w
+), n as (select doc_id, count(*) as n from s group by doc_id),
+common as (select a.doc_id as src, b.doc_id as dst, count(*) as k from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by 1, 2),
+links as (select src, dst from common join n x on x.doc_id = src join n y on y.doc_id = dst where 100 * k >= 85 * (x.n + y.n - k)),
+reached as (select doc_id as src, doc_id as dst from documents union select r.src, l.dst from reached r join links l on l.src = r.dst),
+least as (select src, min(dst) as c from reached group by src)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, c as component_id from documents d left join n using (doc_id) join least on least.src = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_topk_search": OP3_SQL, "op4_embedding_dedup": OP4_SQL, "op6_url_filter": OP6_SQL, "op9_ngram_jaccard": OP9_SQL}

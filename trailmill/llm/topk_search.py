@@ -8,27 +8,39 @@ from the most significant score slice downward: rows that have the bit set are k
 they fit, the others stay at the boundary; ties that are left at the end are resolved
 exactly, by the smaller id.
 
-Blocks of queries meet blocks of rows once each; a task holds one of either, whatever the
-size of the table, and returns k rows a query.
+The slices of a block are built once, where its rows are read.  A block then goes to one
+task, and the queries are sent to it in groups: a copy of the queries per block of up to
+`ROWS` rows travels, never the rows, and k rows a query and block come back.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailmill.llm.textkeys import lean
 from trailmill.session import cut
 
-ROWS = 16_384
+#: Rows of one block at most, and queries of one group.
+ROWS = 131_072
 QUERIES = 128
+#: Rows that are worth a block of their own, where cores would be idle otherwise.
+LEAST_ROWS = 2048
+LONG = (1 << 63) - 1
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def quantise(vector: np.ndarray, scale: int = 1024) -> np.ndarray:
-    """floor(scale * x) in double precision."""
-    return np.floor(vector.astype(np.float64) * scale).astype(np.int64)
+    """floor(scale * x) in double precision; Python integers where one is beyond 2^60."""
+    whole = np.floor(vector.astype(np.float64) * scale)
+    if whole.size and np.abs(whole).max() >= 1 << 60:
+        return np.vectorize(int, otypes=[object])(whole)
+    return whole.astype(np.int64)
 
 
 class SlicedBlock:
@@ -36,24 +48,39 @@ class SlicedBlock:
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids = ids[order]
         values = values[order]
         n, dims = values.shape
-        self.words = -(-n // 64)
-        padded = np.zeros((self.words * 64, dims), np.int64)
-        padded[:n] = values
-        low, high = padded.min(0), padded.max(0)
-        bits = [max(int(a).bit_length() if a >= 0 else int(~a).bit_length(), int(b).bit_length() if b >= 0 else int(~b).bit_length()) + 1 for a, b in zip(low, high)]
-        self.start = np.concatenate([[0], np.cumsum(bits)])
-        self.slices = np.zeros((self.start[-1], self.words), np.uint64)
-        self.weight = np.concatenate([np.arange(b) for b in bits]) if dims else np.zeros(0, np.int64)
-        self.top = np.zeros(len(self.weight), bool)  # the sign slice counts as -2^weight
-        self.top[self.start[1:] - 1] = True
+        words = -(-n // 64)
+        wide = lambda x: int(x if x >= 0 else ~x).bit_length() + 1
+        bits = [max(wide(a), wide(b)) for a, b in zip(values.min(0), values.max(0))]
+        slices = np.zeros((sum(bits), words), np.uint64)
+        flags = np.zeros(words * 64, np.uint8)
+        at = 0
         for d in range(dims):
             for i in range(bits[d]):
-                flags = (padded[:, d] >> i & 1).astype(np.uint8)
-                self.slices[self.start[d] + i] = np.packbits(flags, bitorder="little").view(np.uint64)
-        self.rows = np.packbits(np.arange(self.words * 64) < n, bitorder="little").view(np.uint64)
+                flags[:n] = values[:, d] >> i & 1
+                slices[at] = np.packbits(flags, bitorder="little").view(np.uint64)
+                at += 1
+        self._set(ids[order], np.array(bits, np.int64), slices)
+
+    def _set(self, ids: np.ndarray, bits: np.ndarray, slices: np.ndarray):
+        self.ids, self.bits, self.slices = ids, bits, slices
+        self.words = slices.shape[1] if len(slices) else -(-len(ids) // 64)
+        self.start = np.concatenate([[0], np.cumsum(bits)]).astype(np.int64)
+        self.weight = np.concatenate([np.arange(b) for b in bits]) if len(bits) else np.zeros(0, np.int64)
+        self.top = np.zeros(len(self.weight), bool)  # the sign slice counts as -2^weight
+        self.top[self.start[1:] - 1] = True
+        self.rows = np.packbits(np.arange(self.words * 64) < len(ids), bitorder="little").view(np.uint64)
+
+    def pack(self) -> tuple[bytes, bytes, bytes]:
+        return self.ids.tobytes(), self.bits.tobytes(), self.slices.tobytes()
+
+    @classmethod
+    def unpack(cls, ids: bytes, bits: bytes, slices: bytes) -> "SlicedBlock":
+        block = cls.__new__(cls)
+        ids, bits = np.frombuffer(ids, np.int64), np.frombuffer(bits, np.int64)
+        block._set(ids, bits, np.frombuffer(slices, np.uint64).reshape(int(bits.sum()), -1))
+        return block
 
     def score(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
         """(bitmaps of score + offset from the least significant one, offset)."""
@@ -124,10 +151,14 @@ class SlicedBlock:
             rows[own >> 6] &= ~(np.uint64(1) << np.uint64(own & 63))
         scores, offset = self.score(query)
         found = self.top_rows(scores, rows, k)
-        value = np.full(len(found), -offset, np.int64)
-        for w, bitmap in enumerate(scores):
-            value += (bitmap[found >> 6] >> (found & 63).astype(np.uint64) & np.uint64(1)).astype(np.int64) << w
-        return list(zip(self.ids[found].tolist(), value.tolist()))
+        bits = lambda bitmap: bitmap[found >> 6] >> (found & 63).astype(np.uint64) & np.uint64(1)
+        if len(scores) < 62:
+            value = np.full(len(found), -offset, np.int64)
+            for w, bitmap in enumerate(scores):
+                value += bits(bitmap).astype(np.int64) << w
+            return list(zip(self.ids[found].tolist(), value.tolist()))
+        exact = [sum(1 << w for w, b in enumerate(row) if b) - offset for row in np.stack([bits(x) for x in scores], 1).tolist()]
+        return list(zip(self.ids[found].tolist(), exact))
 
 
 def usable(vector: str = "embedding") -> F.Column:
@@ -151,30 +182,57 @@ def _dense(column: pa.Array, dims: int) -> np.ndarray:
 
 
 def _blocks(dims: int, scale: int):
-    def run(table: pa.Table) -> pa.Table:
-        values = quantise(_dense(table["embedding"], dims), scale)
-        ids = table["vec_id"].to_numpy()
-        return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([values.tobytes()], pa.binary())})
+    """One row for the partition, whose rows are one block: its number, ids, bits per attribute, and slices."""
+
+    def run(batches):
+        kept = [(b.column("vec_id").to_numpy(), quantise(_dense(b.column("embedding"), dims), scale)) for b in batches if b.num_rows]
+        if kept:
+            done = SlicedBlock(*(np.concatenate(x) for x in zip(*kept))).pack()
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), *(pa.array([x], pa.binary()) for x in done)], names=["block", "ids", "bits", "slices"])
+
+    return run
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Integers as 64-bit ones, or as text where one needs more."""
+    return b"t" + json.dumps(values.tolist()).encode() if values.dtype == object else b"b" + values.tobytes()
+
+
+def _unpacked(data: bytes, rows: int) -> np.ndarray:
+    return np.array(json.loads(data[1:]), object) if data[:1] == b"t" else np.frombuffer(data[1:], np.int64).reshape(rows, -1)
+
+
+def _groups(dims: int, scale: int):
+    """Groups of queries: their ids and quantised vectors."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, QUERIES):
+                part = batch.slice(at, QUERIES)
+                values = quantise(_dense(part.column("embedding"), dims), scale)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column("vec_id").to_numpy().tobytes()], pa.binary()), pa.array([_packed(values)], pa.binary())], names=["ids", "vectors"])
 
     return run
 
 
-def _search(dims: int, k: int):
-    def read(ids, vectors):
-        ids = np.frombuffer(ids, np.int64)
-        return ids, np.frombuffer(vectors, np.int64).reshape(len(ids), dims)
+def _search(k: int):
+    """Rows come by block: the block first, then the groups of queries."""
 
     def run(batches):
+        index, at = None, None
         for batch in batches:
             query, vec, score = [], [], []
-            for row in zip(*(batch.column(c) for c in ("ids", "vectors", "query_ids", "query_vectors"))):
-                ids, values, query_ids, queries = (x.as_py() for x in row)
-                index = SlicedBlock(*read(ids, values))
-                for q, v in zip(*read(query_ids, queries)):
-                    found = index.search(int(q), v, k)
-                    query += [int(q)] * len(found)
-                    vec += [x for x, _ in found]
-                    score += [s for _, s in found]
+            for i in range(batch.num_rows):
+                block, ids, bits, payload = (batch.column(c)[i].as_py() for c in ("block", "ids", "bits", "payload"))
+                if bits is not None:
+                    index, at = SlicedBlock.unpack(ids, bits, payload), block
+                elif block == at:  # a number without rows has no block
+                    ids = np.frombuffer(ids, np.int64)
+                    for q, v in zip(ids, _unpacked(payload, len(ids))):
+                        found = index.search(int(q), v, k)
+                        query += [int(q)] * len(found)
+                        vec += [x for x, _ in found]
+                        score += [max(-LONG - 1, min(LONG, s)) for _, s in found]
             yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.int64())], names=["query_id", "vec_id", "score"])
 
     return run
@@ -184,24 +242,26 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     """query_id, rank (from 1), vec_id and score of each query's k best rows but its own.
 
     Both tables have vec_id and embedding; rows with a null id or an unusable vector take
-    no part.  Scores are inner products of the quantised vectors; ties go to the smaller
-    vec_id, and a query with fewer other rows returns them all.
+    no part, and shorter vectors count as filled up with zeros.  Scores are inner products
+    of the quantised vectors; ties go to the smaller vec_id, and a query with fewer other
+    rows returns them all.  Rows that repeat an id are candidates of their own; a query id
+    with several vectors has the best rows of all of them.  Components of any finite size
+    are quantised exactly; a score beyond 64 bits is returned as the nearest long, and such
+    scores of different blocks are ranked as ties.  Other columns are ignored.
     """
-    ready = [t.where(usable() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding") for t in (vectors, queries)]
-    sizes = [t.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dims")).first() for t in ready]
+    spark = vectors.sparkSession
+    vector = F.col("embedding").cast("array<double>").alias("embedding")
+    rows, asked = (t.where(usable() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), vector) for t in (vectors, queries))
+    asked = asked.dropDuplicates()
+    sizes = [t.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dims")).first() for t in (rows, asked)]
     dims = max((s.dims or 1) for s in sizes)
-    blocks, groups = (max(1, -(-s.n // size)) for s, size in zip(sizes, (ROWS, QUERIES)))
-    built = []
-    for table, parts in zip(ready, (blocks, groups)):
-        dealt = table.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(parts)))
-        built.append(cut(dealt.groupBy("block").applyInArrow(_blocks(dims, scale), "block long, ids binary, vectors binary"), "blocks"))
-    # Every block of rows with every block of queries, by a key that each pair has alone.
-    left = built[0].select("ids", "vectors", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "block")
-    left = left.select("ids", "vectors", (F.col("block") * groups + F.col("g")).alias("pair"))
-    right = built[1].select(F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), "block")
-    right = right.select("query_ids", "query_vectors", (F.col("b") * groups + F.col("block")).alias("pair"))
-    pairs = left.repartition(blocks * groups, "pair").join(right, "pair").select("ids", "vectors", "query_ids", "query_vectors")
-    found = pairs.mapInArrow(_search(dims, k), "query_id long, vec_id long, score long")
+    blocks = max(1, -(-sizes[0].n // ROWS), min(spark.sparkContext.defaultParallelism, sizes[0].n // LEAST_ROWS))
+    index = cut(rows.repartition(blocks).mapInArrow(_blocks(dims, scale), "block int, ids binary, bits binary, slices binary"), "index")
+    groups = cut(asked.mapInArrow(_groups(dims, scale), "ids binary, vectors binary"), "queries")
+    rows = index.select("block", F.lit(0).alias("place"), "ids", "bits", F.col("slices").alias("payload"))
+    sent = groups.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("place"), "ids", F.lit(None).cast("binary").alias("bits"), F.col("vectors").alias("payload"))
+    met = rows.unionByName(sent).repartition(2 * blocks, "block").sortWithinPartitions("block", "place").select("block", "ids", "bits", "payload")
+    found = met.mapInArrow(lean(_search(k)), "query_id long, vec_id long, score long")
     # Spark keeps k rows a query in each task before it exchanges them.
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
