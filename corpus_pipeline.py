@@ -15,12 +15,22 @@ from trailmill.llm.packing import pack_documents
 from trailmill.llm.pii import pseudonymise_documents
 from trailmill.session import cut
 
+#: Score of a text on the border of the best one-versus-rest classifier.
+ACCEPTED = 0.5
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (no text, no letters) go; the rest are as they were."""
-    return identify(docs.select(*COLUMNS), list(COLUMNS)).where(F.col("lang_pred") != UNDETERMINED).select(*COLUMNS)
+    """Documents whose language nothing vouches for go, and a missing `lang` becomes the predicted one.
+
+    These are documents without text or letters (`und`), and those that no one-versus-rest
+    classifier accepts (a score below `ACCEPTED`) while their label is another or missing.
+    The rest are as they were.
+    """
+    found = identify(docs.select(*COLUMNS), list(COLUMNS)).where(F.col("lang_pred") != UNDETERMINED)
+    named = F.coalesce(F.col("lang") == F.col("lang_pred"), F.lit(False))
+    kept = found.where((F.col("lang_score") >= ACCEPTED) | named)
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,11 +33,14 @@ def build_session(app: str = "trailmill", cores: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where a session names none (tests, one machine) a folder of this process is used.
+    Where a local session names none (tests, one machine) a folder of this process is used;
+    a cluster must name one, as its executors don't share a local folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = os.environ.get("TRAILMILL_SHARED_DIR") or os.path.join(tempfile.gettempdir(), f"trailmill-{os.getpid()}")
     return f"file://{own}"
 
@@ -69,7 +72,8 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") ->
     """Hand texts to Python workers in smaller Arrow batches than by default.
 
     A batch is held several times over (JVM, pipe, worker), so the default of 10,000 rows or
-    64 MB is much for a column of whole documents.  Smaller settings of the session stay.
+    64 MB is much for a column of whole documents.  The session's settings are lowered, since
+    Spark reads them when a returned frame is planned; smaller ones stay.
     """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
