@@ -364,8 +364,8 @@ def test_pipeline_stages(spark, stages):
 
 
 def test_language_stage_uses_its_prediction(spark):
-    english, german = "the cat and the dog of the house " * 4, "der Hund und die Katze auf dem Haus " * 4
-    rows = [(k, english if k % 2 else german, "en" if k % 2 else "de") for k in range(60)]
+    english, german, third = "the cat and the dog of the house " * 4, "der Hund und die Katze auf dem Haus " * 4, "un gato y un perro en la casa " * 4
+    rows = [(k, (english, german, third)[k % 3], ("en", "de", "es")[k % 3]) for k in range(60)]
     rows += [(100, english, None), (101, "zzqx", "de"), (102, "zzqx", None), (103, "12 34", "en"), (104, german, "en")]
     out = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, frame(spark, rows), "").collect()}
     assert out[100] == "en" and out[104] == "en" and 102 not in out and 103 not in out and set(range(60)) <= set(out)
