@@ -363,12 +363,20 @@ def test_pipeline_stages(spark, stages):
     assert set(packed) == set(private)
 
 
-def test_language_stage_uses_its_prediction(spark):
-    english, german, third = "the cat and the dog of the house " * 4, "der Hund und die Katze auf dem Haus " * 4, "un gato y un perro en la casa " * 4
-    rows = [(k, (english, german, third)[k % 3], ("en", "de", "es")[k % 3]) for k in range(60)]
-    rows += [(100, english, None), (101, "zzqx", "de"), (102, "zzqx", None), (103, "12 34", "en"), (104, german, "en")]
-    out = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, frame(spark, rows), "").collect()}
-    assert out[100] == "en" and out[104] == "en" and 102 not in out and 103 not in out and set(range(60)) <= set(out)
+def test_language_stage_uses_its_prediction(spark, sf_dir):
+    """Texts that no classifier accepts go unless their label agrees; missing labels are filled in."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    known = docs.where("lang = 'de' and n_chars > 200").first()
+    base = 10**7
+    rows = [(base, known.text, None, "s", 1), (base + 1, "Qq.", None, "s", 1), (base + 2, "Qq.", "zz", "s", 1), (base + 3, "12 34", "en", "s", 1), (base + 4, None, "en", "s", 1)]
+    both = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    found = {r.doc_id: r for r in identify(both, ["doc_id", "lang"]).collect()}
+    assert found[base + 1].lang_score < 0.5
+    out = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, both, sf_dir).collect()}
+    assert out[base] == "de" and not {base + 1, base + 2, base + 3, base + 4} & set(out)
+    for i, r in found.items():
+        kept = r.lang_pred != "und" and (r.lang_score >= 0.5 or r.lang == r.lang_pred)
+        assert (i in out) == kept and (not kept or out[i] == (r.lang or r.lang_pred))
 
 
 def test_pipeline_on_an_empty_table(spark, tmp_path):
