@@ -14,11 +14,14 @@ gathered in one task.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,8 +126,13 @@ def place(plan: PackingPlan, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np
 
 #: White space as the tokenizers' pattern has it (fixed values).
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Words kept with their ids by one worker: a cache of work, emptied when full.
-CACHED_WORDS = 100_000
+#: Chunks and pieces kept with their ids by one worker: a cache of work, emptied when full.
+CACHED = 400_000
+#: What byte-level tokenizers cut a text into before they merge.
+PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Bytes as the characters that byte-level vocabularies write them with.
+BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
 class WordEncoder(dict):
@@ -132,34 +140,42 @@ class WordEncoder(dict):
 
     The byte-level pattern never joins a token across the border between a non-space and
     the white space after it, so the ids of a text are those of its (space, word) chunks in
-    a row, and frequent chunks need encoding once.  A text that spells one of the
-    vocabulary's added tokens is encoded whole, as such a token is found before the
-    pattern is applied.
+    a row, and frequent chunks need encoding once.  A chunk is cut as the tokenizer cuts
+    it, and each piece is merged by the tokenizer's own model.  A text that spells one of
+    the vocabulary's added tokens is encoded whole, as such a token is found before the
+    pattern is applied; so is every text of a vocabulary that is not plainly byte-level.
     """
 
     def __init__(self, tokenizer_path: str):
-        import re
-
         from tokenizers import Tokenizer
 
         super().__init__()
         self.chunks = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.merge, self.merged = self.tokenizer.model.tokenize, {}
+        plan = json.loads(self.tokenizer.to_str())
+        before = plan["pre_tokenizer"] or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and plan["normalizer"] is None
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)").search
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.whole = re.compile("|".join(map(re.escape, added)) or r"(?!)").search if plain else lambda text: True
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self[chunk] = self._ids(chunk)
+        out = []
+        for piece in PIECES.findall(chunk):
+            ids = self.merged.get(piece)
+            if ids is None:
+                spelled = piece.encode().decode("latin-1").translate(BYTE_CHARS)
+                ids = self.merged[piece] = np.array([t.id for t in self.merge(spelled)], "<u4").tobytes()
+            out.append(ids)
+        ids = self[chunk] = b"".join(out)
         return ids
 
     def encode(self, text: str) -> bytes:
-        if self.added(text):
-            return self._ids(text)
-        if len(self) > CACHED_WORDS:
-            self.clear()
+        if self.whole(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        for cache in (self, self.merged):
+            if len(cache) > CACHED:
+                cache.clear()
         return b"".join(map(self.__getitem__, self.chunks(text)))
 
 
