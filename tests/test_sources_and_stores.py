@@ -85,8 +85,5 @@ def test_stores(spark, tmp_path):
     assert sorted(tuple(r) for r in stores.merged_answers(old, new, 2).collect()) == [("s", "a", 9, 0.9), ("s", "c", 3, 0.3)]
     kept = stores.unexpired(spark.createDataFrame([("x", 10), ("y", None), ("z", 4)], "k string, at long"), 15, 5)
     assert [r.k for r in kept.collect()] == ["x"]
-    labels = spark.createDataFrame([(f"s{i}", 4, "a", i % 2 == 0, True) for i in range(40)], "session string, cut long, tool_use_id string, keep_result boolean, keep_call boolean")
-    counts = stores.write_dataset(stores.training_records(labels), str(tmp_path / "set")).collect()
-    assert sum(r.records for r in counts) == 80 and sum(r.sessions for r in counts) == 40 and all(r.ids == r.records for r in counts)
     compacted = spark.createDataFrame([("s", "a", "short [mark]"), ("s", "b", "plain")], "session string, tool_use_id string, text string")
     assert [r.tool_use_id for r in stores.offloaded(compacted, results, "[mark]").collect()] == ["a"]

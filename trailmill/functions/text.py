@@ -46,6 +46,56 @@ def fact_tokens(text: str | Column) -> Column:
     return F.array_union(digits, F.transform(words, bare))
 
 
+def char_slice(text: str | Column, start: int, end: int) -> Column:
+    """Characters from `start` (from 0) up to `end`."""
+    return F.substring(col(text), start + 1, max(end - start, 0))
+
+
+#: How a text says that it was condensed; further spellings can be given.
+CONDENSED = r"\[condensed: (?:omitted|truncated) "
+
+
+def is_condensed(text: str | Column, patterns: tuple[str, ...] = (CONDENSED,)) -> Column:
+    return col(text).rlike("|".join(f"(?:{p})" for p in patterns))
+
+
+def named_values(text: str | Column) -> Column:
+    """Distinct paths, hexadecimal runs and numbers of a text."""
+    return F.array_distinct(F.regexp_extract_all(col(text), F.lit(f"(?iU)({fixed.FACT_TOKEN})"), F.lit(1)))
+
+
+def occurs_apart(text: str | Column, token: Column) -> Column:
+    """Whether the token occurs without a letter or digit on either side."""
+    apart = r"[\p{IsAlphabetic}\p{N}]"
+    quoted = F.concat(F.lit("\\Q"), F.replace(token, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    return F.rlike(col(text), F.concat(F.lit(f"(?<!{apart})"), quoted, F.lit(f"(?!{apart})")))
+
+
+def kept_note(tool_use_id: str | Column) -> Column:
+    return F.concat(F.lit("the full output stays in the transcript under `"), col(tool_use_id), F.lit("`"))
+
+
+def saved_note(path: str | Column) -> Column:
+    return F.concat(F.lit("the full output is saved at "), col(path), F.lit("; read it for what is not kept here"))
+
+
+def share_text(part: Column, whole: Column) -> Column:
+    """A share in whole per cent; of nothing, 0 %."""
+    return F.concat(F.coalesce(F.round(F.try_divide(100.0 * part, whole)), F.lit(0.0)).cast("long").cast("string"), F.lit("%"))
+
+
+def age_text(ms: Column) -> Column:
+    """An age in the largest unit that it fills."""
+    for_unit = lambda size, name: F.concat(F.floor(ms / size).cast("string"), F.lit(name))
+    return F.when(ms >= 86_400_000, for_unit(86_400_000, "d")).when(ms >= 3_600_000, for_unit(3_600_000, "h")).when(ms >= 60_000, for_unit(60_000, "m")).otherwise(for_unit(1000, "s"))
+
+
+def as_object(value: str | Column) -> Column:
+    """JSON of a call's arguments: an object as it is, a text as {"raw": text}, nothing as {}."""
+    value = col(value)
+    return F.when(F.coalesce(F.trim(value), F.lit("")) == "", "{}").when(F.json_object_keys(value).isNotNull() & F.trim(value).startswith("{"), value).otherwise(F.to_json(F.struct(value.alias("raw"))))
+
+
 def truncated(text: str | Column, limit: int) -> Column:
     text = col(text)
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.left(text, F.lit(limit - 1)), F.lit("…")))
@@ -69,6 +119,13 @@ def short_hash(text: str | Column) -> Column:
     return F.left(F.sha2(col(text).cast("string"), 256), F.lit(12))
 
 
+def _command(source: Column, name: str) -> Column:
+    """A command of a call's arguments: a text, or an array of words."""
+    whole = F.get_json_object(source, f"$.{name}")
+    words = F.from_json(F.concat(F.lit('{"x":'), whole, F.lit("}")), "x array<string>").x
+    return F.when(F.trim(whole).startswith("["), F.coalesce(F.array_join(words, " "), whole)).otherwise(whole)
+
+
 def writes_file(command: str | Column) -> Column:
     return col(command).rlike(fixed.FILE_REDIRECT)
 
@@ -76,7 +133,7 @@ def writes_file(command: str | Column) -> Column:
 def reproducible(tool: str | Column, input_json: str | Column) -> Column:
     """Whether running the call again gives its result back: a read of files, not of the world."""
     tool, source = col(tool), col(input_json)
-    command = F.coalesce(F.get_json_object(source, "$.command"), F.get_json_object(source, "$.cmd"), F.lit(""))
+    command = F.coalesce(_command(source, "command"), _command(source, "cmd"), F.lit(""))
     quiet = F.regexp_replace(command, fixed.REDIRECT_NOISE, "")
 
     def reads(segment: Column) -> Column:

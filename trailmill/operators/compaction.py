@@ -1,35 +1,95 @@
-"""Compaction of sessions under a character target.
+"""Compaction of transcripts under a character target.
 
-The texts are reduced wide: one row per (result, tier), with its length and the fact
-tokens it loses.  Choosing tiers is a small numeric loop per session over those rows, and
-the chosen texts are joined back; texts never enter the loop.
+Each result can be shown at one of four tiers.  What a tier costs and loses is worked out
+result by result; which results are raised to which tier is then a sort and a running sum
+per session, as are evictions, so that no session is held by a task.  Only pooling the
+room of a session's lines is greedy over the whole session, and sees numbers alone.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmill.functions import fixed
-from trailmill.functions.text import reproducible
-from trailmill.operators import budget, sessions
+from trailmill.functions.text import fact_tokens, matches, reproducible
+from trailmill.operators import budget
+from trailmill.operators import transcripts as ts
+from trailmill.operators.transcripts import Transcript
+from trailmill.session import cut, discard
 
 MARK = "[condensed: omitted "
 TARGET, HARD = 0.3, 0.3
+LAST_RESORT = len(fixed.TIERS)
 
 
-def layout(text: str, is_error: bool, tier: int) -> tuple[int, int, int] | None:
+class Options(NamedTuple):
+    """Kept messages at the end, characters of a stub's head, the judge's threshold; whether lines are
+    chosen by value, pooled over the session, and credited with every token they contain."""
+
+    recent: int = 6
+    head: int = fixed.HEAD_CHARS
+    threshold: float = 0.5
+    value: bool = True
+    pool: bool = True
+    contain: bool = True
+
+
+# --- decisions ------------------------------------------------------------
+
+
+def decided(t: Transcript, answers: DataFrame | None = None, options: Options = Options(), floor: DataFrame | None = None) -> DataFrame:
+    """Answered calls with reduced, answer (keep_call, keep_result), reason and action.
+
+    Without `answers` the rules decide: every call that is neither pinned nor reduced is.
+    With them (session, tool_use_id, keep_call, keep_result) the judge's word stands, a
+    call of `floor` (session, tool_use_id) is left to the rules, and one without an answer
+    is kept.
+    """
+    calls = ts.tool_calls(t, options.recent)
+    calls = calls.join(ts.reduced_calls(t).withColumn("reduced", F.lit(True)), ["session", "tool_use_id"], "left").withColumn("reduced", F.coalesce("reduced", F.lit(False)))
+    if answers is None:
+        calls = calls.withColumns({"keep_call": F.lit(None).cast("double"), "keep_result": F.lit(None).cast("double")})
+        rest = F.lit("rules")
+    else:
+        calls = calls.join(answers.select("session", "tool_use_id", "keep_call", "keep_result"), ["session", "tool_use_id"], "left")
+        left = F.lit(False)
+        if floor is not None:
+            calls = calls.join(floor.select("session", "tool_use_id", F.lit(True).alias("floor")), ["session", "tool_use_id"], "left")
+            left = F.coalesce("floor", F.lit(False))
+        rest = F.when(left, "rules").otherwise("kept")
+    judged = F.col("keep_result").isNotNull() & F.col("keep_call").isNotNull()
+    reason = (
+        F.when(F.col("pinned"), "pinned").when(F.col("reduced"), "reduced").when(judged & (F.col("keep_result") >= options.threshold), "kept")
+        .when(judged & (F.col("keep_call") >= options.threshold), "result_dropped").when(judged, "call_dropped").otherwise(rest)
+    )
+    action = F.when(F.col("reason").isin("pinned", "kept"), "keep").when(F.col("reason") == "call_dropped", "drop_call").otherwise("drop_result")
+    return calls.withColumn("reason", reason).withColumn("action", action).drop("floor")
+
+
+def counts(decisions: DataFrame) -> DataFrame:
+    """Per session: calls, and how many of them each reason decided."""
+    reasons = ("kept", "result_dropped", "call_dropped", "pinned", "rules", "reduced")
+    return decisions.groupBy("session").agg(F.count("*").alias("calls"), *[F.count_if(F.col("reason") == r).alias(r) for r in reasons])
+
+
+# --- one result -----------------------------------------------------------
+
+
+def layout(text: str, is_error: bool, tier: int, head: int = fixed.HEAD_CHARS, dense_chars=None) -> tuple[int, int, int] | None:
     """(end of head, start of tail, budget), or nothing where the text stays whole."""
     small, share, _, dense, dense_share = fixed.TIERS[tier]
-    n, head = len(text), max(fixed.HEAD_CHARS, fixed.ERROR_HEAD) if is_error else fixed.HEAD_CHARS
+    n, head = len(text), max(head, fixed.ERROR_HEAD) if is_error else head
     if n <= max(small, head + fixed.TAIL_CHARS + 120):
         return None
     if n <= dense:
-        units = budget.units_of(text)
-        if sum(len(units[i]) + 1 for i in budget.fact_line_numbers(units, n * 2)) >= n * dense_share:
+        found = dense_chars() if dense_chars else budget.Pieces.of(text).cost(budget.Pieces.of(text).fact_lines(2 * n))
+        if found >= n * dense_share:
             return None
     at = text.rfind("\n", 0, head + 1)
     end = at if at * 2 > head else head
@@ -38,189 +98,334 @@ def layout(text: str, is_error: bool, tier: int) -> tuple[int, int, int] | None:
     return end, start, max(fixed.LEAST_BUDGET, int(n * share))
 
 
-def reduced(text: str, is_error: bool, again: bool, tier: int, values: dict[str, float]) -> tuple[str, list[str]]:
-    """The text at a tier and the lines kept of its middle; `again` is a read that can be repeated."""
-    if MARK in text:
-        return text, []
-    if again and not is_error and len(text) > max(fixed.TIERS[tier][2], 160):
-        return f"{MARK}{len(text)} chars: a read, run it again to see them]", []
-    place = layout(text, is_error, tier)
-    if place is None:
-        return text, []
-    end, start, room = place
-    lines = budget.kept_units(text, room, values)
-    note = f"\n{MARK}{start - end} chars of this result{' (error)' if is_error else ''}; kept {len(lines)} lines]\n"
-    middle = "\n".join(lines) + "\n…\n" if lines else ""
-    new = text[:end] + note + middle + text[start:]
-    return (new, lines) if len(new) < len(text) else (text, [])
-
-
-def tiers(calls: DataFrame, only: list[int] | None = None) -> DataFrame:
-    """One row per call and tier: session, k, tool_use_id, tier, chars, lost, text, lines."""
-    chosen = only if only is not None else list(range(len(fixed.TIERS)))
-    values = budget.token_values(calls).groupBy("session", "tool_use_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "p"))).alias("p"))
-    ready = calls.select("session", "k", "tool_use_id", "result_text", "is_error", reproducible("tool", "input_json").alias("again"))
-    ready = ready.join(values, ["session", "tool_use_id"], "left").select("session", "k", "tool_use_id", "result_text", "is_error", "again", "p")
+def note_of(tool_use_id: str) -> str:
+    return f"the full output stays in the transcript under `{tool_use_id}`"
+
+
+class Result:
+    """A result's text at each tier; pieces, scores and tokens are worked out once for all tiers."""
+
+    def __init__(self, text: str, is_error: bool, again: bool, tool_use_id: str, values: dict[str, float], options: Options):
+        self.text, self.is_error, self.again, self.id, self.values, self.options = text, is_error, again, tool_use_id, values, options
+        self.final = MARK in text  # reduced already
+        self._middle: dict[tuple[int, int], budget.Pieces] = {}
+        self._dense = None
+
+    def _dense_chars(self) -> int:
+        if self._dense is None:
+            pieces = budget.Pieces.of(self.text)
+            self._dense = pieces.cost(pieces.fact_lines(2 * len(self.text)))
+        return self._dense
+
+    def place(self, tier: int) -> tuple[int, int, int] | None:
+        if self.final or self.again and not self.is_error and len(self.text) > fixed.TIERS[tier][2]:
+            return None
+        return layout(self.text, self.is_error, tier, self.options.head, self._dense_chars)
+
+    def pieces(self, place: tuple[int, int, int]) -> budget.Pieces:
+        if place[:2] not in self._middle:
+            self._middle[place[:2]] = budget.Pieces.of(self.text[place[0] : place[1]])
+        return self._middle[place[:2]]
+
+    def chosen(self, place: tuple[int, int, int]) -> tuple[list[int], list[int]]:
+        pieces = self.pieces(place)
+        return pieces.chosen(place[2], self.values) if self.options.value else (pieces.fact_lines(place[2]), [])
+
+    def shown(self, tier: int, rows: list[int] | None = None) -> str:
+        """The text at a tier; `rows` are the pieces kept, where they are chosen already."""
+        if self.final:
+            return self.text
+        if self.again and not self.is_error and len(self.text) > fixed.TIERS[tier][2]:
+            if len(self.text) <= 160:
+                return self.text
+            return f"{MARK}{len(self.text)} chars: a read, run it again to see them; {note_of(self.id)}]"
+        place = self.place(tier)
+        if place is None:
+            return self.text
+        end, start, _ = place
+        lines = self.pieces(place).lines(sum(self.chosen(place), []) if rows is None else rows)
+        kept = f"; kept {len(lines)} fact lines" if lines else ""
+        note = f"\n{MARK}{start - end} chars of this result{' (error)' if self.is_error else ''}{kept}; {note_of(self.id)}]\n"
+        return self.text[:end] + note + ("\n".join(lines) + "\n…\n" if lines else "") + self.text[start:]
+
+
+def useful_steps(texts: list[str]) -> list[tuple[int, int, float, float]]:
+    """(tier, characters saved, worth, least worth so far) of the steps a result can be raised by.
+
+    A step goes to the first higher tier that saves anything; its worth is what it saves
+    per path, hexadecimal run or number that the text then no longer names.
+    """
+    out, at, least = [], 0, float("inf")
+    names = [budget.named_values(x) for x in texts]
+    for tier in range(1, len(texts)):
+        if (saved := len(texts[at]) - len(texts[tier])) > 0:
+            worth = saved / (1 + len(names[at] - names[tier]))
+            least = min(least, worth)
+            out.append((tier, saved, worth, least))
+            at = tier
+    return out
+
+
+def last_texts(text: str, tool_use_id: str) -> tuple[str, str]:
+    """What is left of a shown result under pressure: its fact lines in a quarter, or one note alone."""
+    notes = [x for x in text.split("\n") if MARK in x] or [f"{MARK}{len(text)} chars: only fact lines kept under pressure; {note_of(tool_use_id)}]"]
+    pieces = budget.Pieces.of(text)
+    lines = "\n".join([*pieces.lines(pieces.fact_lines(len(text) // 4)), *notes])
+    first = lines if len(lines) < len(text) else text
+    note = f"{MARK}{len(first)} chars: evicted under pressure, oldest first; {note_of(tool_use_id)}]"
+    return first, note if len(note) < len(first) else first
+
+
+def _each(rows: DataFrame, function, schema: str, options: Options) -> DataFrame:
+    """`function(row, Result)` of every row, batch by batch."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
-            for r in part.itertuples(index=False):
-                own = budget.tokens_of(r.result_text)
-                p = dict(r.p) if r.p is not None else {}
-                for tier in chosen:
-                    text, lines = reduced(r.result_text, r.is_error, r.again, tier, p)
-                    lost = 0 if text == r.result_text else len(own - budget.tokens_of(text))
-                    out.append((r.session, r.k, r.tool_use_id, tier, len(text), lost, text, lines))
-            yield pd.DataFrame(out, columns=["session", "k", "tool_use_id", "tier", "chars", "lost", "text", "lines"])
+            for row in part.itertuples(index=False):
+                values = {v["token"]: v["p"] for v in row.values} if row.values is not None else {}
+                out += function(row, Result(row.text, row.is_error, row.again, row.tool_use_id, values, options))
+            yield pd.DataFrame(out, columns=names)
 
-    return ready.mapInPandas(run, "session string, k long, tool_use_id string, tier int, chars long, lost long, text string, lines array<string>")
+    return rows.mapInPandas(run, schema)
 
 
-def tier_lines(calls: DataFrame, tier: int) -> DataFrame:
-    return tiers(calls, [tier]).select("session", "tool_use_id", "lines")
+# --- a session ------------------------------------------------------------
 
 
-def escalate(sizes: list[list[int]], lost: list[list[int]], before: int, target: float) -> list[int]:
-    """Tier of each result: raise, one at a time, the one that saves most per lost token until the target is met.
+def taken_steps(steps: DataFrame, sizes: DataFrame) -> DataFrame:
+    """session, tool_use_id, tier: the steps taken until each session meets its target.
 
-    Each result offers its first higher tier that saves anything; the earliest wins ties.
+    The best step on offer is taken first, the earlier result winning ties.  A result's
+    next step is only offered once the last is taken, so a step can't come before the
+    worst of those that lead to it: in the order of that least worth, result and step,
+    a step is taken as long as those before it don't save enough.
+    `sizes` has session, before, after (all results at the loosest tier) and target.
+    """
+    order = Window.partitionBy("session").orderBy(F.desc("least"), "place", "tier")
+    saved = F.coalesce(F.sum("saved").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = steps.withColumn("sofar", saved).join(sizes, "session").where("before > 0 and after - sofar > before * (1 - target)")
+    return out.groupBy("session", "tool_use_id").agg(F.max("tier").alias("tier"))
+
+
+def _pool_session(part: pd.DataFrame) -> pd.DataFrame:
+    """Greedy coverage over the pieces of a session: rows are pieces with the tokens not yet covered."""
+    part = part.sort_values(["place", "piece"])
+    room, covered, used, picked = int(part["room"].iloc[0]), set(), 0, []
+    tokens, values, chars = part["tokens"].to_list(), part["values"].to_list(), part["chars"].to_list()
+
+    def gain(n: int) -> float:
+        return sum(p for t, p in zip(tokens[n], values[n]) if t not in covered) / (chars[n] + 1)
+
+    heap = [(-gain(n), n) for n in range(len(part))]
+    heapq.heapify(heap)
+    while heap:
+        _, n = heapq.heappop(heap)
+        now = gain(n)
+        if now <= 0:
+            continue
+        if heap and now < -heap[0][0] - 1e-12:
+            heapq.heappush(heap, (-now, n))
+        elif used + chars[n] + 1 <= room:
+            picked.append(n)
+            used += chars[n] + 1
+            covered.update(tokens[n])
+    return part.iloc[picked][["session", "tool_use_id", "piece"]]
+
+
+def pooled(rows: DataFrame, others: DataFrame, options: Options) -> DataFrame:
+    """session, tool_use_id, rows: the pieces that each stub keeps under one room for its whole session.
+
+    `rows` are results with their tier, `others` (session, text) what else results show.
+    The room is what the stubs would spend on value one by one; what the session shows
+    beside those pieces is covered already, and a piece is credited with all tokens it
+    contains if the options say so.
     """
-    level = [0] * len(sizes)
-    after = before - sum(s[-1] - s[0] for s in sizes)
-    while after > before * (1 - target):
-        best, choice = 0.0, None
-        for i, s in enumerate(sizes):
-            for t in range(level[i] + 1, len(s) - 1):
-                if s[t] < s[level[i]]:
-                    worth = (s[level[i]] - s[t]) / (1 + lost[i][t] - lost[i][level[i]]) if lost[i][t] >= lost[i][level[i]] else float(s[level[i]] - s[t])
-                    if worth > best:
-                        best, choice = worth, (i, t)
-                    break
-        if choice is None:
-            break
-        i, t = choice
-        after -= sizes[i][level[i]] - sizes[i][t]
-        level[i] = t
-    return level
-
-
-def _choose(target: float):
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("k")
-        free = part[~part["pinned"]]
-        sizes = [[*map(int, s), int(n)] for s, n in zip(free["sizes"], free["chars_before"])]
-        before = int((part["chars_before"] + part["input_chars"]).sum())
-        level = dict(zip(free["tool_use_id"], escalate(sizes, [list(map(int, x)) for x in free["losses"]], before, target)))
-        tier = [level.get(i, -1) for i in part["tool_use_id"]]
-        return pd.DataFrame({"session": part["session"], "tool_use_id": part["tool_use_id"], "tier": tier, "chars_before": part["chars_before"]})
-
-    return run
-
-
-def compact(calls: DataFrame, target: float = TARGET) -> DataFrame:
-    """Every call's result after compaction by rules: tier (-1 for pinned calls), sizes and text."""
-    rows = tiers(calls)
-    wide = rows.groupBy("session", "tool_use_id").agg(F.array_sort(F.collect_list(F.struct("tier", "chars", "lost"))).alias("t"))
-    base = sessions.paired(calls).select("session", "k", "tool_use_id", "pinned", F.col("result_chars").alias("chars_before"), F.length("input_json").alias("input_chars"))
-    numbers = base.join(wide, ["session", "tool_use_id"]).select("session", "k", "tool_use_id", "pinned", "chars_before", "input_chars", F.col("t.chars").alias("sizes"), F.col("t.lost").alias("losses"))
-    chosen = numbers.groupBy("session").applyInPandas(_choose(target), "session string, tool_use_id string, tier int, chars_before long")
-    out = chosen.join(rows.drop("k", "lost", "lines"), ["session", "tool_use_id", "tier"], "left")
-    whole = calls.select("session", "tool_use_id", "result_text")
-    return out.join(whole, ["session", "tool_use_id"]).select(
-        "session", "tool_use_id", "tier", "chars_before", F.coalesce("chars", "chars_before").alias("chars_after"), F.coalesce("text", "result_text").alias("text")
+    schema = "session string, tool_use_id string, place long, room long, side string, pre array<int>, pieces array<int>, chars array<int>, tokens array<array<string>>, prices array<array<double>>"
+
+    def cut_up(row, result: Result):
+        where = result.place(row.tier)
+        if where is None:
+            return [(row.session, row.tool_use_id, row.place, 0, result.shown(row.tier), None, None, None, None, None)]
+        pieces, (pre, value) = result.pieces(where), result.chosen(where)
+        kept = {pieces.units[i] for i in value}
+        side = "\n".join(x for x in result.shown(row.tier).split("\n") if x not in kept)
+        first, rest = set(pre), [i for i in range(len(pieces.units)) if i not in set(pre)]
+        held = {i: pieces.of_unit(i) | ({x for x in result.values if budget.occurs(x, pieces.units[i])} if options.contain else set()) for i in rest}
+        rest = [i for i in rest if held[i]]
+        lists = [sorted(held[i]) for i in rest]
+        return [(row.session, row.tool_use_id, row.place, pieces.cost(value), side, sorted(first), rest, [len(pieces.units[i]) for i in rest], lists, [[result.values.get(x, 0.0) for x in xs] for xs in lists])]
+
+    stubs = cut(_each(rows, cut_up, schema, options), "pieces")
+    sides = stubs.select("session", F.col("side").alias("text")).unionByName(others)
+    # What is covered already: tokens of the sides, and tokens that occur in them by themselves.
+    each = F.explode(F.arrays_zip("piece", "chars", "tokens", "prices")).alias("x")
+    pieces = stubs.where("pieces is not null").withColumnRenamed("pieces", "piece").select("session", "tool_use_id", "place", each).select("session", "tool_use_id", "place", "x.*")
+    token = pieces.select("session", "tool_use_id", "place", "piece", "chars", F.explode(F.arrays_zip("tokens", "prices")).alias("x"))
+    token = token.select("session", "tool_use_id", "place", "piece", "chars", F.col("x.tokens").alias("token"), F.col("x.prices").alias("p"))
+    wanted = token.select("session", "token").distinct()
+    covered = sides.select("session", F.explode(fact_tokens("text")).alias("token")).distinct()
+    if options.contain:
+        covered = covered.unionByName(ts.shown(wanted, sides, apart=True)).distinct()
+    rest = token.join(covered, ["session", "token"], "left_anti").groupBy("session", "tool_use_id", "place", "piece", "chars").agg(F.array_sort(F.collect_list(F.struct("token", "p"))).alias("t"))
+    room = stubs.groupBy("session").agg(F.sum("room").alias("room"))
+    slim = rest.join(room, "session").where("room > 0").select(
+        "session", "tool_use_id", "place", "piece", "chars", "room", F.transform("t", lambda x: F.xxhash64(x.token)).alias("tokens"), F.transform("t", lambda x: x.p).alias("values")
     )
+    picked = slim.groupBy("session").applyInPandas(_pool_session, "session string, tool_use_id string, piece int")
+    picked = picked.groupBy("session", "tool_use_id").agg(F.collect_list("piece").alias("picked"))
+    stubs = stubs.where("pre is not null").select("session", "tool_use_id", "pre")
+    return stubs.join(picked, ["session", "tool_use_id"], "left").select("session", "tool_use_id", F.concat("pre", F.coalesce("picked", F.array().cast("array<int>"))).alias("rows"))
 
 
-def retention(calls: DataFrame, fractions=(0.5, 0.75)) -> DataFrame:
-    """Facts needed across each cut, and how many the compacted prefix still shows."""
-    valid = sessions.cuts(calls, fractions)
-    at_stake = sessions.facts(calls).join(valid, "session").where("introduced < cut and used >= cut").select("session", "cut", "token").distinct()
-    prefix = calls.join(valid, "session").where("2 * k < cut")
-    named = prefix.withColumn("session", F.concat_ws("#", "session", "cut"))
-    inputs = named.select("session", F.col("input_json").alias("text"))
-    shown = compact(named.drop("messages", "cut")).select("session", "text").unionByName(inputs)
-    facts = at_stake.select(F.concat_ws("#", "session", "cut").alias("session"), "token")
-    seen = facts.join(shown, "session").groupBy("session", "token").agg(F.bool_or(F.contains("text", "token")).alias("seen"))
-    return seen.agg(F.count("*").alias("at_stake"), F.count_if("seen").alias("kept"))
-
-
-def simulate(calls: DataFrame, lengths=(0.8, 1.0, 1.2, 1.5), trigger: float = 0.6) -> DataFrame:
-    """Repeated compaction in a window of total / length characters: compactions, peak fill and final size."""
-    wide = tiers(calls).groupBy("session", "tool_use_id").agg(F.array_sort(F.collect_list(F.struct("tier", "chars", "lost"))).alias("t"))
-    base = sessions.paired(calls).select("session", "k", "tool_use_id", F.col("result_chars").alias("chars_before"), F.length("input_json").alias("input_chars"))
-    numbers = base.join(wide, ["session", "tool_use_id"]).select("session", "k", "chars_before", "input_chars", F.col("t.chars").alias("sizes"), F.col("t.lost").alias("losses"))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("k")
-        total, out = int((part["chars_before"] + part["input_chars"]).sum()), []
-        for length in lengths:
-            window = total / length
-            line = rearm = trigger * window
-            held, inputs, runs, peak = [], 0, 0, 0.0
-            for r in part.itertuples(index=False):
-                inputs += int(r.input_chars)
-                held.append([[*map(int, r.sizes), int(r.chars_before)], list(map(int, r.losses)), int(r.chars_before)])
-                now = inputs + sum(h[2] for h in held)
-                if now > rearm:
-                    goal = min(max(1 - line * 5 / 6 / now, 0.05), 0.9)
-                    old = held[:-3]
-                    level = escalate([[*(min(x, h[2]) for x in h[0][:-1]), h[2]] for h in old], [h[1] for h in old], now, goal)
-                    for h, t in zip(old, level):
-                        h[2] = min(h[2], h[0][t])
-                    now = inputs + sum(h[2] for h in held)
-                    rearm, runs = max(line, now + line / 4), runs + 1
-                peak = max(peak, now / window)
-            out.append((part["session"].iloc[0], float(length), runs, round(peak, 6), inputs + sum(h[2] for h in held)))
-        return pd.DataFrame(out, columns=["session", "length", "compactions", "peak_fill", "chars"])
-
-    return numbers.groupBy("session").applyInPandas(run, "session string, length double, compactions int, peak_fill double, chars long")
-
-
-def pooled_lines(calls: DataFrame, tier: int = 2) -> DataFrame:
-    """Lines of each reduced result under one budget for the whole session.
-
-    The room that the results' value picks take one by one is pooled and given to the
-    best units of any of them; what the session's whole results already show is covered.
-    Returns session, tool_use_id and lines in text order.
-    """
-    rows = tiers(calls, [tier]).join(calls.select("session", "tool_use_id", "result_text"), ["session", "tool_use_id"])
-    values = budget.token_values(calls).groupBy("session", "tool_use_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "p"))).alias("p"))
-    rows = rows.join(values, ["session", "tool_use_id"], "left").select("session", "k", "tool_use_id", "text", "result_text", "lines", "p")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("k")
-        covered: set[str] = set()
-        room, units, members = 0, [], []
-        prices: dict[str, float] = {}
-        for r in part.itertuples(index=False):
-            if r.text == r.result_text:
-                covered |= budget.tokens_of(r.text)
-                continue
-            room += sum(len(u) + 1 for u in r.lines)
-            for u in budget.units_of(r.result_text):
-                members.append((r.tool_use_id, u))
-                units.append((len(u), budget.tokens_of(u)))
-            for token, p in (dict(r.p) if r.p is not None else {}).items():
-                prices[token] = max(prices.get(token, 0.0), p)
-        picked = sorted(budget.cover(units, prices, covered, room))
-        lines = {i: [] for i in part["tool_use_id"]}
-        for n in picked:
-            lines[members[n][0]].append(members[n][1])
-        return pd.DataFrame([(part["session"].iloc[0], i, x) for i, x in lines.items()], columns=["session", "tool_use_id", "lines"])
-
-    return rows.groupBy("session").applyInPandas(run, "session string, tool_use_id string, lines array<string>")
-
-
-def evicted(sizes: DataFrame, hard: float = HARD, note: int = 60) -> DataFrame:
-    """Results to replace by a one-line note, oldest first, until the session meets the hard line.
-
-    `sizes` has session, k, tool_use_id, pinned, chars_before and chars_after; what a
-    result's eviction saves does not depend on the others', so a running sum decides.
+def evicted(shown: DataFrame) -> DataFrame:
+    """Results to shorten, oldest first, until each session meets the hard line.
+
+    `shown` has session, place, tool_use_id, free (may be shortened), chars, first and second:
+    its length as it is, as fact lines, and as one note; and of its session total and need,
+    what it holds and may hold.  Returns `step` 1 or 2 for those to be shortened.  All are
+    offered as fact lines before any becomes a note.
     """
-    saved = F.when(~F.col("pinned") & (F.col("chars_after") > note), F.col("chars_after") - note).otherwise(0)
     whole = Window.partitionBy("session")
-    before = F.coalesce(F.sum("saved").over(whole.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    need = F.sum("chars_after").over(whole) - F.sum("chars_before").over(whole) * (1 - hard)
-    out = sizes.withColumn("saved", saved).withColumns({"before": before, "need": need})
-    return out.where((F.col("saved") > 0) & (F.col("before") < F.col("need")) & (F.lit(hard) > 0)).select("session", "tool_use_id")
+    sofar = whole.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    one = F.when(F.col("free"), F.greatest(F.col("chars") - F.col("first"), F.lit(0))).otherwise(0)
+    two = F.when(F.col("free"), F.greatest(F.col("first") - F.col("second"), F.lit(0))).otherwise(0)
+    before = lambda c: F.coalesce(F.sum(c).over(sofar), F.lit(0))
+    out = shown.withColumns({"one": one, "two": two})
+    out = out.withColumns({"before_one": before("one"), "before_two": before("two"), "all_one": F.sum("one").over(whole)})
+    step = F.when((F.col("two") > 0) & (F.col("total") - F.col("all_one") - F.col("before_two") > F.col("need")), 2).when((F.col("one") > 0) & (F.col("total") - F.col("before_one") > F.col("need")), 1)
+    return out.withColumn("step", step).where("step is not null").select("session", "tool_use_id", "step")
+
+
+class Compacted(NamedTuple):
+    """The transcript, and per result of a dropped call: session, tool_use_id, tier, chars_before, chars_after."""
+
+    transcript: Transcript
+    results: DataFrame
+    decisions: DataFrame
+
+
+def compact(t: Transcript, decisions: DataFrame | None = None, goals: DataFrame | None = None, options: Options = Options(), target: float = TARGET, hard: float = HARD) -> Compacted:
+    """Transcripts after compaction under `decisions` (of `decided`; by rules where not given).
+
+    `goals` (session, target, hard) override the two figures.  Results of calls that are
+    not kept are shown at the loosest tier and raised until the session is `target` shorter;
+    their lines are pooled; where the session is then not `hard` shorter, results that are
+    not pinned are shortened further, oldest first.  Arguments are never touched.
+    """
+    if decisions is None:
+        decisions = decided(t, options=options)
+    decisions = cut(decisions, "decisions")
+    rows = cut(reducible(t, decisions), "results")
+
+    def tiers(row, result: Result):
+        texts = [result.shown(k) for k in range(len(fixed.TIERS))]
+        return [(row.session, row.tool_use_id, row.place, len(result.text), len(texts[0]), useful_steps(texts))]
+
+    sized = _each(rows, tiers, "session string, tool_use_id string, place long, chars long, loosest long, steps array<struct<tier:int,saved:long,worth:double,least:double>>", options)
+    sized = cut(sized, "tiers")
+    goal = (t.messages.select("session").distinct().withColumns({"target": F.lit(target), "hard": F.lit(hard)}) if goals is None else goals).join(ts.session_chars(t).withColumnRenamed("chars", "before"), "session")
+    saved = sized.groupBy("session").agg(F.sum(F.col("chars") - F.col("loosest")).alias("loose"))
+    goal = cut(goal.join(saved, "session", "left").withColumn("after", F.col("before") - F.coalesce("loose", F.lit(0))), "goals")
+    steps = sized.select("session", "tool_use_id", "place", F.explode("steps").alias("s")).select("session", "tool_use_id", "place", "s.*")
+    level = taken_steps(steps, goal.select("session", "before", "after", "target"))
+    rows = rows.join(level, ["session", "tool_use_id"], "left").withColumn("tier", F.coalesce("tier", F.lit(0)))
+    if options.value and options.pool:
+        rows = cut(rows, "levels")
+        kept = t.results.join(rows.select("session", "tool_use_id"), ["session", "tool_use_id"], "left_anti").select("session", "text")
+        rows = rows.join(pooled(rows, kept, options), ["session", "tool_use_id"], "left")
+    else:
+        rows = rows.withColumn("rows", F.lit(None).cast("array<int>"))
+
+    def render(row, result: Result):
+        text = result.shown(row.tier, None if row.rows is None else list(row.rows))
+        first, second = last_texts(text, row.tool_use_id)
+        return [(row.session, row.tool_use_id, row.place, row.tier, bool(row.pinned), len(result.text), text, first, second)]
+
+    shown = cut(_each(rows, render, "session string, tool_use_id string, place long, tier int, pinned boolean, chars_before long, text string, first string, second string", options), "shown")
+    size = F.length("text").cast("long")
+    left = shown.groupBy("session").agg(F.sum(F.col("chars_before") - size).alias("gone"))
+    need = goal.join(left, "session").withColumns({"total": F.col("before") - F.col("gone"), "need": F.col("before") * (1 - F.col("hard"))}).where("before > 0 and hard > 0 and total > need")
+    pressed = shown.join(need.select("session", "total", "need"), "session").select(
+        "session", "place", "tool_use_id", (~F.col("pinned")).alias("free"), size.alias("chars"), F.length("first").alias("first"), F.length("second").alias("second"), "total", "need"
+    )
+    final = shown.join(evicted(pressed), ["session", "tool_use_id"], "left")
+    text = F.when(F.col("step") == 2, F.col("second")).when(F.col("step") == 1, F.col("first")).otherwise(F.col("text"))
+    final = final.select("session", "tool_use_id", F.when(F.col("step").isNotNull(), LAST_RESORT).otherwise(F.col("tier")).alias("tier"), "chars_before", text.alias("text"))
+    final = cut(final.withColumn("chars_after", F.length("text").cast("long")), "compacted")
+    for table in (shown, sized, goal):
+        discard(table)
+    return Compacted(rebuilt(t, final), final.drop("text"), decisions)
+
+
+def reducible(t: Transcript, decisions: DataFrame) -> DataFrame:
+    """session, tool_use_id, place, text, is_error, again, pinned, values of results (first of each id) of calls that are not kept."""
+    dropped = decisions.where("action <> 'keep'").select("session", "tool_use_id", "pinned", reproducible("tool", "input_json").alias("again"))
+    place = F.row_number().over(Window.partitionBy("session").orderBy("msg_idx", "res_idx")).cast("long")
+    nth = F.row_number().over(Window.partitionBy("session", "tool_use_id").orderBy("msg_idx", "res_idx"))
+    rows = ts.valued_results(t).withColumn("nth", nth).where("nth = 1").join(dropped, ["session", "tool_use_id"])
+    again = F.col("again") & ~matches("text", fixed.OBSERVATION, True)
+    return rows.select("session", "tool_use_id", place.alias("place"), "text", "is_error", again.alias("again"), "pinned", "values")
+
+
+def tier_lines(t: Transcript, tier: int, options: Options = Options()) -> DataFrame:
+    """session, tool_use_id, lines that each stub keeps by itself at a tier."""
+
+    def lines(row, result: Result):
+        where = result.place(tier)
+        return [(row.session, row.tool_use_id, result.pieces(where).lines(sum(result.chosen(where), [])) if where else [])]
+
+    return _each(reducible(t, decided(t, options=options)), lines, "session string, tool_use_id string, lines array<string>", options)
+
+
+def pooled_lines(t: Transcript, tier: int, options: Options = Options()) -> DataFrame:
+    """session, tool_use_id, lines that each stub keeps at a tier under one room for its session."""
+    rows = cut(reducible(t, decided(t, options=options)).withColumn("tier", F.lit(tier)), "levels")
+    others = t.results.join(rows.select("session", "tool_use_id"), ["session", "tool_use_id"], "left_anti").select("session", "text")
+    rows = rows.join(pooled(rows, others, options), ["session", "tool_use_id"], "left")
+
+    def lines(row, result: Result):
+        where = result.place(tier)
+        return [(row.session, row.tool_use_id, result.pieces(where).lines(row.rows) if where and row.rows is not None else [])]
+
+    return _each(rows, lines, "session string, tool_use_id string, lines array<string>", options)
+
+
+def rebuilt(t: Transcript, texts: DataFrame) -> Transcript:
+    """The transcript with the texts (session, tool_use_id, text) of results replaced; `touched` marks changed ones."""
+    new = texts.select("session", "tool_use_id", F.col("text").alias("new"))
+    rest = [c for c in t.results.columns if c not in ("text", "touched")]
+    results = t.results.join(new, ["session", "tool_use_id"], "left")
+    results = results.select(*rest, F.coalesce("new", "text").alias("text"), (F.col("new").isNotNull() & (F.col("new") != F.col("text"))).alias("touched"))
+    return Transcript(t.messages, t.uses, results)
+
+
+def keep_list(t: Transcript) -> DataFrame:
+    """session, msg_idx, entry: a reference for each untouched message of a rebuilt transcript, the whole of each changed one."""
+    changed = t.results.groupBy("session", "msg_idx").agg(F.bool_or("touched").alias("touched"), F.array_sort(F.collect_list(F.struct("res_idx", "tool_use_id", "text", "is_error"))).alias("results"))
+    whole = F.to_json(F.struct("role", "text", F.transform("results", lambda r: r.dropFields("res_idx")).alias("results")))
+    rows = t.messages.join(changed, ["session", "msg_idx"], "left")
+    return rows.select("session", "msg_idx", F.when(F.coalesce("touched", F.lit(False)), whole).otherwise(F.to_json(F.struct(F.col("msg_idx").alias("keep")))).alias("entry"))
+
+
+def whole_list(entries: DataFrame) -> DataFrame:
+    """session, valid: whether each message is referred to or given exactly once, all in range."""
+    at = F.coalesce(F.get_json_object("entry", "$.keep").cast("long"), F.col("msg_idx"))
+    return entries.withColumn("at", at).groupBy("session").agg(((F.count("*") == F.countDistinct("at")) & (F.min("at") == 0) & (F.max("at") == F.count("*") - 1)).alias("valid"))
+
+
+# --- the rule to compare with ---------------------------------------------
+
+
+def erased(t: Transcript, decisions: DataFrame, head: int = 300) -> Transcript:
+    """The baseline: dropped calls go with their results, dropped results keep their head, emptied messages go."""
+    action = decisions.select("session", "tool_use_id", "action")
+    n = F.length("text")
+    short = F.concat(F.left("text", F.lit(head)), F.lit("\n[condensed: truncated "), (n - head).cast("string"), F.lit(" chars of this tool result; run the tool again if needed]"))
+    uses = t.uses.join(action, ["session", "tool_use_id"], "left").where("action is null or action <> 'drop_call'").drop("action")
+    results = t.results.join(action, ["session", "tool_use_id"], "left").where("action is null or action <> 'drop_call'")
+    results = results.withColumn("text", F.when((F.col("action") == "drop_result") & (n > head + 120), short).otherwise(F.col("text"))).drop("action")
+    full = uses.select("session", "msg_idx").unionByName(results.select("session", "msg_idx")).distinct().withColumn("full", F.lit(True))
+    messages = t.messages.join(full, ["session", "msg_idx"], "left").where("full or trim(text) <> ''").drop("full")
+    return Transcript(messages, uses, results)

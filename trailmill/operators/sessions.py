@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailmill.functions.policy import finite_number, rearm_gap, sticky_tainted, taint_record, tool_taints
 from trailmill.functions.text import fact_tokens
 
 
@@ -63,17 +64,28 @@ def cuts(calls: DataFrame, fractions=(0.5, 0.75)) -> DataFrame:
     return message_counts(calls).select("session", "messages", at.alias("cut")).where("cut >= 2 and cut < messages")
 
 
-def labels(calls: DataFrame, fractions=(0.5, 0.75)) -> DataFrame:
-    """What hindsight says about each call before a cut: keep its result, keep the call."""
-    valid = cuts(calls, fractions)
-    source = calls.select("session", (2 * F.col("k")).alias("introduced"), "tool_use_id")
-    needed = facts(calls).join(source, ["session", "introduced"]).join(valid, "session").where("introduced < cut and used >= cut")
-    needed = needed.select("session", "cut", "tool_use_id", F.lit(True).alias("keep_result")).distinct()
-    later = calls.join(valid, "session").where("2 * k - 1 >= cut").select("session", "cut", "tool", "input_json", F.lit(True).alias("keep_call")).distinct()
-    prefix = calls.join(valid, "session").where("2 * k < cut")
-    out = prefix.join(needed, ["session", "cut", "tool_use_id"], "left").join(later, ["session", "cut", "tool", "input_json"], "left")
-    no = F.lit(False)
-    return out.select("session", "cut", "tool_use_id", F.coalesce("keep_result", no).alias("keep_result"), F.coalesce("keep_call", no).alias("keep_call"))
+def tainted(refs: DataFrame) -> DataFrame:
+    """session, hits, sample: calls (tool, skill, in order of k) that taint, and their first three distinct tools."""
+    hits = refs.where(tool_taints("tool", "skill"))
+    first = hits.groupBy("session", "tool").agg(F.min("k").alias("at"), F.count("*").alias("n"))
+    names = F.transform(F.array_sort(F.collect_list(F.struct("at", "tool"))), lambda x: x.tool)
+    return first.groupBy("session").agg(F.sum("n").alias("hits"), F.slice(names, 1, 3).alias("sample"))
+
+
+def merged_taint(stored: DataFrame, scans: DataFrame, now_ms: Column) -> DataFrame:
+    """session, tainted, count, sticky, write: the scan, or where it finds nothing what is stored (session, record).
+
+    A stored count is floored and at least one.  A record is written only where the scan
+    taints and none that does is stored yet, which keeps the first time.
+    """
+    both = stored.join(scans, "session", "full")
+    held = sticky_tainted("record")
+    kept = F.greatest(F.coalesce(F.floor(finite_number(F.get_json_object("record", "$.count"))).cast("long"), F.lit(1)), F.lit(1))
+    now = F.col("hits").isNotNull()
+    return both.select(
+        "session", (now | held).alias("tainted"), F.when(now, F.col("hits")).when(held, kept).otherwise(0).cast("long").alias("count"), (held & ~now).alias("sticky"),
+        F.when(now & ~held, taint_record(F.col("hits"), F.col("sample"), now_ms)).alias("write"),
+    )
 
 
 def decision_reason(threshold: float = 0.5) -> Column:
@@ -93,7 +105,7 @@ def trigger(tokens: Column, window: Column, baseline: Column, percent: Column, a
     by_percent = F.when((percent > 0) & (window > 0), F.floor(window * percent / 100).cast("double"))
     by_count = F.when(absolute > 0, absolute.cast("double"))
     threshold = F.least(by_percent, by_count)
-    gap = F.coalesce(F.ceil(threshold / 4).cast("double"), F.lit(0.0))
+    gap = rearm_gap(threshold, F.lit(None))
     need = F.when((baseline > 0) & threshold.isNotNull(), F.greatest(threshold, baseline + gap)).otherwise(threshold)
     reason = (
         F.when(tokens.isNull(), "no_usage").when(threshold.isNull() | (tokens < threshold), "below_threshold")

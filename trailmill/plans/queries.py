@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailmill.functions import fixed
-from trailmill.functions import policy
+from trailmill.functions import fixed, policy
 from trailmill.functions import text as tx
-from trailmill.operators import budget, compaction, prompts, sessions
-from trailmill.plans.oracle import CALLS, SQL
+from trailmill.operators import compaction, evaluation, prompts, sessions, stores
+from trailmill.operators import transcripts as ts
+from trailmill.plans.oracle import SQL
+from trailmill.session import cut
+from trailmill.sources import synthetic
 from trailmill.sources.calls import calls, table
+from trailmill.sources.calls import prompts as first_prompts
 from trailmill.streaming import state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +27,11 @@ def query(f: Query) -> Query:
     return f
 
 
+def transcript(spark: SparkSession, sf_dir: str) -> ts.Transcript:
+    """The call tables as transcripts; the view is written once, as most readers of it take several ways through it."""
+    return ts.from_calls(cut(calls(spark, sf_dir), "calls"), cut(first_prompts(spark, sf_dir), "prompts"))
+
+
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls with stand-in answers: bytes of the id's hash as probabilities."""
     h = F.md5(F.col("tool_use_id").cast("binary"))
@@ -47,7 +55,7 @@ def facts_at_cut(spark, sf_dir):
 
 @query
 def hindsight_labels(spark, sf_dir):
-    return sessions.labels(calls(spark, sf_dir))
+    return ts.labels(transcript(spark, sf_dir))
 
 
 @query
@@ -85,11 +93,10 @@ def fact_tokens(spark, sf_dir):
 
 @query
 def value_contexts(spark, sf_dir):
-    c = calls(spark, sf_dir)
-    reused = sessions.facts(c).select("session", "token").distinct().groupBy("session").agg(F.count("*").alias("reused"))
-    out = sessions.paired(c).join(reused, "session", "left")
-    last = F.last("input_json", ignorenulls=True).over(Window.partitionBy("session").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
-    return out.select("session", "tool_use_id", last.alias("last_input"), (F.col("messages") - F.col("result_index")).alias("distance"), F.coalesce("reused", F.lit(0)).alias("reused"))
+    t = transcript(spark, sf_dir)
+    reused = ts.facts(t).select("session", "token").distinct().groupBy("session").agg(F.count("*").alias("reused"))
+    out = ts.contexts(t).join(reused, "session", "left")
+    return out.select("session", "tool_use_id", "last_input", "prompt", F.col("distance").cast("long").alias("distance"), F.coalesce("reused", F.lit(0)).alias("reused"))
 
 
 @query
@@ -160,9 +167,9 @@ def trigger_grid(spark, sf_dir):
 
 @query
 def nudge_grid(spark, sf_dir):
-    ttl, margin = (F.col("c_custkey") * 37 % 4000).cast("double"), (F.col("c_custkey") * 11 % 2500).cast("double")
-    seconds = F.when(ttl > 2 * margin, ttl - margin).otherwise(ttl / 2)
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.round(seconds * 1000).cast("long").alias("delay_ms"))
+    key = F.col("c_custkey")
+    ttl = F.when(key % 17 == 0, F.lit(float("nan"))).when(key % 19 == 0, F.lit(-100.0)).otherwise((key * 37 % 4000).cast("double"))
+    return table(spark, sf_dir, "customer").select(key.alias("id"), policy.nudge_delay_ms(ttl, (key * 11 % 2500).cast("double")).alias("delay_ms"))
 
 
 @query
@@ -197,27 +204,29 @@ def verdict_grid(spark, sf_dir):
     return g.select("id", reason.alias("reason"), judge.alias("judge"))
 
 
-def _split():
-    return F.when(F.conv(F.substring(F.sha2("session", 256), 1, 2), 16, 10).cast("long") < 0.1 * 256, "dev").otherwise("train")
-
-
 @query
 def split_assignment(spark, sf_dir):
-    return calls(spark, sf_dir).select("session").distinct().withColumn("split", _split())
+    return calls(spark, sf_dir).select("session").distinct().withColumn("split", stores.split_of())
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hindsight records of the questions about each prefix's calls that are neither pinned nor reduced."""
+    t = transcript(spark, sf_dir)
+    valid = cut(ts.cuts(t), "cuts")
+    decisions = compaction.decided(t.before(valid))
+    asked = prompts.questions(decisions.where("reason = 'rules'")).select(F.col("session").alias("name"), "tool_use_id", "kind")
+    names = valid.select(F.concat_ws("#", "session", "cut").alias("name"), "session", "cut")
+    return stores.hindsight_records(asked.join(names, "name").drop("name"), ts.labels(t))
 
 
 @query
 def record_ids(spark, sf_dir):
-    name = F.concat_ws("|", "session", F.col("cut").cast("string"), "tool_use_id", F.lit("result"), F.col("keep_result").cast("string"))
-    return sessions.labels(calls(spark, sf_dir)).select("session", "cut", "tool_use_id", tx.short_hash(name).alias("record_id"))
+    return records(spark, sf_dir).select("session", "cut", "tool_use_id", "kind", "truth", "record_id")
 
 
 @query
 def dataset_counts(spark, sf_dir):
-    records = sessions.labels(calls(spark, sf_dir)).withColumn("split", _split())
-    return records.groupBy("split").agg(
-        F.count("*").alias("records"), F.count_if("keep_result").alias("results_kept"), F.count_if("keep_call").alias("calls_kept"), F.countDistinct("session").alias("sessions")
-    )
+    return stores.manifest(cut(records(spark, sf_dir), "records"))
 
 
 @query
@@ -264,11 +273,13 @@ def sampled_sessions(spark, sf_dir):
 
 @query
 def gate_check(spark, sf_dir):
+    """The three checks of the gate on figures that SQL can make: facts whose call's result is kept, or kept whole and short."""
+    t = judged(spark, sf_dir)
     both = F.col("input_chars") + F.col("result_chars")
     left = F.when(F.col("reason").isin("pinned", "kept"), both).otherwise(F.col("input_chars") + F.least("result_chars", F.lit(200)))
-    total = judged(spark, sf_dir).agg(F.sum(both).cast("double").alias("before"), F.sum(left).cast("double").alias("after"))
-    rate = (F.col("before") - F.col("after")) / F.col("before")
-    return total.select(F.round(rate, 9).alias("reduction"), (rate >= 0.3 - 0.005).alias("pass"))
+    total = t.agg(F.sum(both).cast("double").alias("before"), F.sum(left).cast("double").alias("after"), F.count("*").alias("n"), F.count_if(F.col("reason").isin("pinned", "kept")).alias("whole"), F.count_if(F.col("reason") != "call_dropped").alias("known"))
+    figures = total.select((F.col("known") / F.col("n")).alias("rate"), (F.col("whole") / F.col("n")).alias("rate_erase"), ((F.col("before") - F.col("after")) / F.col("before")).alias("reduction"))
+    return evaluation.gate(figures, rate=0.7, reduction=0.3)
 
 
 @query
@@ -283,17 +294,17 @@ def event_windows(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.window("ts", "10 minutes").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
-def _family(name: str, pattern: str) -> Query:
+def _family(name: str, pattern: str, ignore_case: bool, label: bool) -> Query:
     def run(spark, sf_dir):
-        redacted = F.regexp_replace("text", pattern, f"[REDACTED:{name}]")
+        java = ("(?i)" if ignore_case else "") + pattern.replace(r"\Z", r"\z")
+        redacted = F.regexp_replace("text", java, ("$1" if label else "") + f"[REDACTED:{name}]")
         return table(spark, sf_dir, "documents").select("doc_id", redacted.alias("redacted"))
 
     return run
 
 
-for _name, _pattern, _ignore, _label in fixed.FAMILIES:
-    if f"redact_family_{_name.replace('-', '_')}" in SQL:
-        QUERIES[f"redact_family_{_name.replace('-', '_')}"] = _family(_name, _pattern)
+for _family_row in fixed.FAMILIES:
+    QUERIES[f"redact_family_{_family_row[0].replace('-', '_')}"] = _family(*_family_row)
 
 
 @query
@@ -301,7 +312,13 @@ def reproducible_calls(spark, sf_dir):
     return calls(spark, sf_dir).select("session", "tool_use_id", tx.reproducible("tool", "input_json").alias("reproducible"))
 
 
-SQL["reproducible_calls"] = f"""with {CALLS} select session, tool_use_id, tool in ('Read', 'Grep') as reproducible from calls"""
+@query
+def command_rules(spark, sf_dir):
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("n"), F.lit(c).alias("command")) for k, c in enumerate(fixed.COMMANDS)])).alias("c")
+    both = table(spark, sf_dir, "nation").select("n_nationkey", each).select("n_nationkey", "c.*")
+    tool = F.when(F.col("n_nationkey") % 3 == 0, "Bash").when(F.col("n_nationkey") % 3 == 1, "shell").otherwise("Write")
+    given = F.to_json(F.struct(F.col("command").alias("command")))
+    return both.select("n_nationkey", "n", tx.reproducible(tool, given).alias("reproducible"), tx.writes_file("command").alias("writes"))
 
 
 @query
@@ -313,27 +330,51 @@ def redact_full(spark, sf_dir):
 
 @query
 def token_values(spark, sf_dir):
-    return budget.token_values(calls(spark, sf_dir)).select("session", "tool_use_id", "token", F.round("p", 6).alias("p"))
+    rows = ts.valued_results(transcript(spark, sf_dir)).select("session", "tool_use_id", F.explode("values").alias("v"))
+    return rows.select("session", "tool_use_id", "v.token", F.round("v.p", 6).alias("p"))
 
 
 @query
 def compact_rules(spark, sf_dir):
-    return compaction.compact(calls(spark, sf_dir)).select("session", "tool_use_id", "tier", "chars_before", "chars_after", "text")
+    done = compaction.compact(transcript(spark, sf_dir))
+    return done.results.join(done.transcript.results.select("session", "tool_use_id", "text"), ["session", "tool_use_id"])
+
+
+@query
+def compact_stats(spark, sf_dir):
+    return compaction.counts(compaction.decided(transcript(spark, sf_dir)))
 
 
 @query
 def lazy_cover_lines(spark, sf_dir):
-    return compaction.tier_lines(calls(spark, sf_dir), tier=2).select("session", "tool_use_id", F.array_join("lines", "\n").alias("lines"))
+    return compaction.tier_lines(transcript(spark, sf_dir), 2).select("session", "tool_use_id", F.array_join("lines", "\n").alias("lines"))
+
+
+@query
+def pooled_lines(spark, sf_dir):
+    return compaction.pooled_lines(transcript(spark, sf_dir), 2).select("session", "tool_use_id", F.array_join("lines", "\n").alias("lines"))
 
 
 @query
 def simulate_windows(spark, sf_dir):
-    return compaction.simulate(calls(spark, sf_dir))
+    return evaluation.simulate(transcript(spark, sf_dir))[0]
 
 
 @query
 def retention_totals(spark, sf_dir):
-    return compaction.retention(calls(spark, sf_dir))
+    return evaluation.totals(evaluation.evaluate(transcript(spark, sf_dir)))
+
+
+@query
+def retention_oracle(spark, sf_dir):
+    return evaluation.totals(evaluation.evaluate(transcript(spark, sf_dir), evaluation.ORACLE))
+
+
+@query
+def synthetic_gate(spark, sf_dir):
+    """The gate on 40 synthetic sessions, against this engine's own baseline."""
+    figures = evaluation.totals(evaluation.evaluate(synthetic.corpus(spark, 40)))
+    return evaluation.gate(figures, **evaluation.BASELINE)
 
 
 @query
@@ -363,7 +404,7 @@ def expired_keys(spark, sf_dir):
 @query
 def judge_probability(spark, sf_dir):
     yes, no = (F.col("event_id") % 11).cast("double") / 2, (F.col("event_id") % 7).cast("double")
-    return table(spark, sf_dir, "events").select("event_id", F.round(1 / (1 + F.exp(no - yes)), 9).alias("p"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(policy.probability_of(yes, no, F.lit("")), 9).alias("p"))
 
 
 @query
@@ -396,28 +437,168 @@ def stub_layouts(spark, sf_dir):
 
 @query
 def evictions(spark, sf_dir):
-    after = F.when(F.col("reduced"), F.least("result_chars", F.lit(1000))).otherwise(F.col("result_chars"))
-    return compaction.evicted(judged(spark, sf_dir).select("session", "k", "tool_use_id", "pinned", F.col("result_chars").alias("chars_before"), after.alias("chars_after")))
+    size = F.when(F.col("reduced"), F.least("result_chars", F.lit(1000))).otherwise(F.col("result_chars"))
+    whole = Window.partitionBy("session")
+    rows = judged(spark, sf_dir).withColumn("size", size).select(
+        "session", F.col("k").alias("place"), "tool_use_id", (~F.col("pinned")).alias("free"), F.col("size").alias("chars"), F.floor(F.col("size") * 0.8).cast("long").alias("first"), F.least(F.floor(F.col("size") * 0.8).cast("long"), F.lit(60)).alias("second"),
+        F.sum("size").over(whole).alias("total"), (F.sum("result_chars").over(whole) * (1 - F.lit(0.3))).alias("need"),
+    )
+    return compaction.evicted(rows)
 
 
 @query
 def questions(spark, sf_dir):
-    return prompts.questions(sessions.paired(calls(spark, sf_dir))).drop("cost")
+    return prompts.questions(sessions.paired(calls(spark, sf_dir))).select("session", "id", "name", "instructions")
 
 
 @query
 def question_batches(spark, sf_dir):
-    return prompts.batched(prompts.questions(sessions.paired(calls(spark, sf_dir))), 300).select("session", "id", "name", "request")
+    t = transcript(spark, sf_dir)
+    found = cut(ts.tool_calls(t), "found")
+    groups, _ = prompts.state_groups(t, found, found.where("not pinned"), 1500)
+    return prompts.requests(cut(groups, "groups"), found, 1900)
 
 
 @query
 def fitted_states(spark, sf_dir):
-    return prompts.fitted_state(prompts.entries(sessions.paired(calls(spark, sf_dir))), 1500)
+    t = transcript(spark, sf_dir)
+    found = cut(ts.tool_calls(t), "found")
+    return prompts.state_groups(t, found, found.where("not pinned"), 1500)[0].select("session", "group", "stage", "tokens", "state", F.size("ids").alias("calls"))
 
 
 @query
-def pooled_lines(spark, sf_dir):
-    return compaction.pooled_lines(calls(spark, sf_dir)).select("session", "tool_use_id", F.array_join("lines", "\n").alias("lines"))
+def decision_texts(spark, sf_dir):
+    """Decisions and training chats as they are put to a model, with documents as states."""
+    said = F.concat(F.lit("Document "), F.col("doc_id").cast("string"), F.lit(" is in "), F.coalesce("lang", F.lit("?")))
+    answer = F.when(F.col("doc_id") % 2 == 0, fixed.TRUE_LABEL).otherwise(fixed.FALSE_LABEL)
+    state_ = F.coalesce(F.regexp_replace(F.left("text", F.lit(80)), r"[^A-Za-z0-9 .,\n]", ""), F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", prompts.decision_json(state_, said).alias("decision"), prompts.sft_json(state_, said, answer).alias("chat"))
+
+
+@query
+def judged_answers(spark, sf_dir):
+    """Answers joined to the calls they are about; one call in nine lacks an answer, one question in seven is asked twice."""
+    found = sessions.paired(calls(spark, sf_dir)).select("session", "id", "tool", "tool_use_id", "result_chars", "event_id")
+    asked = prompts.questions(found)
+    p = F.when((F.col("event_id") % 9 == 0) & (F.col("kind") == "result"), F.lit(None)).otherwise((F.col("event_id") % 10).cast("double") / 10)
+    first = asked.select("session", F.lit(0).alias("request"), "name", p.alias("p"))
+    again = asked.where("event_id % 7 = 0").select("session", F.lit(1).alias("request"), "name", F.lit(0.25).alias("p"))
+    return prompts.answers_of(asked, first.unionByName(again), found).select("session", "tool_use_id", "keep_call", "keep_result", F.col("error").isNotNull().alias("failed"))
+
+
+@query
+def with_outcomes(spark, sf_dir):
+    t = transcript(spark, sf_dir)
+    some = ts.Transcript(t.messages, t.uses, t.results.where("msg_idx % 10 <> 0"))
+    return ts.with_outcomes(some).select("session", "tool_use_id", F.coalesce(F.length("text"), F.lit(-1)).cast("long").alias("chars"), "is_error")
+
+
+@query
+def calls_by_message(spark, sf_dir):
+    found = ts.tool_calls(transcript(spark, sf_dir))
+    return ts.calls_by_message(found).select("session", "msg_idx", F.array_join("ids", " ").alias("ids"))
+
+
+@query
+def session_sizes(spark, sf_dir):
+    t = transcript(spark, sf_dir)
+    return ts.session_chars(t).join(ts.session_tokens(t), "session")
+
+
+@query
+def visible_texts(spark, sf_dir):
+    t = ts.visible_text(transcript(spark, sf_dir))
+    return t.select("session", F.md5(F.col("text").cast("binary")).alias("digest"), F.length("text").cast("long").alias("chars"))
+
+
+@query
+def agent_texts(spark, sf_dir):
+    return ts.written(transcript(spark, sf_dir)).select("session", "msg_idx", "text")
+
+
+@query
+def erased_messages(spark, sf_dir):
+    """The erase rule under stand-in answers: messages, calls and characters left."""
+    t = transcript(spark, sf_dir)
+    h = F.md5(F.col("tool_use_id").cast("binary"))
+    byte = lambda at: F.conv(F.substring(h, at, 2), 16, 10).cast("long") / F.lit(255.0)
+    short = compaction.erased(t, compaction.decided(t, t.uses.select("session", "tool_use_id", byte(3).alias("keep_call"), byte(1).alias("keep_result"))))
+    left = short.messages.groupBy("session").agg(F.count("*").alias("messages")).join(short.uses.groupBy("session").agg(F.count("*").alias("calls")), "session", "left")
+    return left.join(ts.session_chars(short), "session").select("session", "messages", F.coalesce("calls", F.lit(0)).alias("calls"), "chars")
+
+
+@query
+def named_values(spark, sf_dir):
+    """Paths, hexadecimal runs and numbers, and which of them stand apart in the text."""
+    found = tx.named_values("text")
+    apart = F.filter(tx.fact_tokens("text"), lambda x: tx.occurs_apart("text", x))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(found), " ").alias("named"), F.size(apart).cast("long").alias("apart"))
+
+
+@query
+def text_slices(spark, sf_dir):
+    parts = [tx.char_slice("text", 3, 9), tx.char_slice("text", 5, 2), tx.kept_note(F.col("lang")), tx.saved_note(F.col("source")), tx.share_text(F.col("doc_id") % 7, F.col("doc_id") % 5), tx.age_text(F.col("doc_id") * F.col("doc_id") * 977)]
+    return table(spark, sf_dir, "documents").select("doc_id", *[p.alias(n) for p, n in zip(parts, ("inside", "none", "kept", "saved", "share", "age"))])
+
+
+def tool_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls with a few fenced tools and skills among them: tool and skill."""
+    e = F.col("event_id")
+    tool = F.when(e % 53 == 0, "mcp__mail_send").when(e % 59 == 0, "mcp__chat").when(e % 31 == 0, "Skill").otherwise(F.col("tool"))
+    skill = F.when(e % 31 == 0, F.when(e % 2 == 0, "team:inbox").when(e % 3 == 0, "inbox").when(e % 5 == 0, "").otherwise("mailinbox"))
+    return calls(spark, sf_dir).select("session", "k", "event_id", tool.alias("tool"), skill.alias("skill"))
+
+
+@query
+def taint_rules(spark, sf_dir):
+    """Per session: calls that taint it, and the first three distinct tools that did."""
+    return sessions.tainted(tool_refs(spark, sf_dir)).select("session", "hits", F.array_join("sample", ",").alias("sample"))
+
+
+@query
+def taint_records(spark, sf_dir):
+    """Sticky taint: a stored record holds where the scan finds nothing, and is written only where there was none."""
+    e = F.col("user_id")
+    record = F.when(e % 4 == 0, '{"tainted":true,"count":2.7,"sample":["old"],"at":5}').when(e % 4 == 1, '{"tainted":"true"}').when(e % 4 == 2, '{"tainted":false}')
+    stored = table(spark, sf_dir, "events").select("user_id").distinct().select(e.cast("string").alias("session"), record.alias("record"))
+    return sessions.merged_taint(stored, sessions.tainted(tool_refs(spark, sf_dir)), F.lit(1000)).select("session", "tainted", "count", "sticky", "write")
+
+
+@query
+def odds(spark, sf_dir):
+    """Judge probabilities from both letters' log-probabilities, one of them, or the reply's letter."""
+    e = F.col("event_id")
+    yes, no = F.when(e % 3 != 0, -(e % 11) / F.lit(4.0)), F.when(e % 4 != 0, -(e % 7) / F.lit(2.0))
+    reply = F.when(e % 5 == 0, " a").when(e % 5 == 1, "B.").otherwise("?")
+    return table(spark, sf_dir, "events").select("event_id", F.round(policy.probability_of(yes, no, reply), 9).alias("p"))
+
+
+@query
+def option_grid(spark, sf_dir):
+    e = F.col("event_id")
+    raw = F.when(e % 6 == 0, '"text"').when(e % 6 == 1, "12.5").when(e % 6 == 2, "true").when(e % 6 == 3, '{"a":1}').when(e % 6 == 4, "null").otherwise("[1]")
+    number = F.when(e % 4 == 0, "1500.2").when(e % 4 == 1, "-3").when(e % 4 == 2, "x").otherwise(e.cast("string"))
+    gap = policy.rearm_gap(F.when(e % 3 != 0, (e * 13 % 997).cast("double")), F.when(e % 5 == 0, e % 50))
+    return table(spark, sf_dir, "events").select(
+        "event_id", policy.option_text(raw).alias("text"), policy.timeout_ms(number).alias("timeout"), gap.alias("gap"), tx.as_object(raw).alias("object"), policy.taint_key(e.cast("string")).alias("key"),
+        policy.baseline_key(e.cast("string")).alias("baseline"),
+    )
+
+
+@query
+def teacher_ids(spark, sf_dir):
+    """Records from recorded probabilities, which labels stand in for."""
+    rows = table(spark, sf_dir, "labels").select(F.concat(F.lit("s"), (F.col("doc_id") % 50).cast("string")).alias("session"), F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("tool_use_id"), F.lit("result").alias("kind"), ((F.col("doc_id") % 10) / 10).alias("probability"))
+    return stores.teacher_records(rows).select("session", "tool_use_id", "truth", "record_id", "split")
+
+
+@query
+def stub_sums(spark, sf_dir):
+    from trailmill.sources.logs import stub_totals
+
+    stubbed = F.col("event_id") % 19 == 0
+    per = calls(spark, sf_dir).groupBy("session").agg(F.count_if(stubbed).alias("stubbed"), F.count_if(stubbed & F.col("is_error")).alias("broken"))
+    return stub_totals(per)
 
 
 @query
