@@ -88,6 +88,8 @@ def test_url_edges(spark):
         (5, "example.org", "", None, "allow"), (6, "notexample.org", "/es/", "org/", "allow"), (7, "x.com", "/fr/", "com/fr/", "allow"), (8, "x.com", "/FR/", None, "allow"),
         (9, "b:", "//c.com/de/", None, "allow"), (10, "com", "/de/", "com/de/", "block"), (11, "x.com", "", None, "allow"), (11, "x.com", "/de/", "com/de/", "block"),
     ])
+    parts = sorted(tuple(r) for r in judge_urls(pages, rules, ["page_id"], most_bytes=12).collect())
+    assert parts == got  # the same in several classes
     assert judge_urls(pages.limit(0), rules, ["page_id"]).count() == 0
     assert judge_urls(pages, rules.limit(0), ["page_id"]).where("verdict <> 'allow'").count() == 0
 

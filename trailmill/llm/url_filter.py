@@ -7,8 +7,9 @@ until a level makes no mistake.  The universe here is complete: every (host suff
 prefix) key that any URL of the corpus can be matched by.  Each level is hashed anew, so
 no pair of keys collides at all levels.
 
-The filters' size follows the list and its mistakes, not the corpus; `MOST_BYTES` bounds
-what is broadcast, and a longer list is refused rather than cut.
+The filters' size follows the list and its mistakes, not the corpus.  `MOST_BYTES` bounds
+what is broadcast: keys of a longer list are dealt into classes by hash, each with its own
+cascades, and the URLs go through one class after the other.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from trailmill.session import cut
 MOST_BYTES = 256 << 20
 #: False positives of levels after the first.
 LATER_RATE = 0.5
+#: Bits of a filter that are put together and gathered as one value.
+PLANE = 1 << 22
 SEED = 42  # Spark's xxhash64
 
 
@@ -63,8 +66,6 @@ def build_level(keys: DataFrame, name: str, rate: float) -> Level:
     """A filter of the distinct `key` values, put together by a distributed bit-or."""
     n = keys.count()
     bits = max(64, 64 * math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 64))
-    if bits // 8 > MOST_BYTES:
-        raise ValueError(f"a filter of {n} keys needs {bits // 8} bytes; the bound is {MOST_BYTES}")
     probes = max(1, round(bits / max(n, 1) * math.log(2)))
     probes = min(probes, max(1, math.ceil(-math.log2(rate))))
     one = F.xxhash64(F.concat(F.lit(f"{name}a"), "key"))
@@ -73,11 +74,24 @@ def build_level(keys: DataFrame, name: str, rate: float) -> Level:
     # (one + j * two) mod 2^63, as in Level.holds; decimals keep the 64-bit sums exact.
     at = F.expr(f"pmod(pmod(cast(one as decimal(38,0)) + j * cast(two as decimal(38,0)), cast({1 << 63} as decimal(38,0))), cast({bits} as decimal(38,0)))")
     spread = hashed.select("one", "two", F.explode(F.array(*[F.lit(j) for j in range(probes)])).alias("j")).select(at.cast("long").alias("at"))
-    words = spread.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).collect()
-    table = np.zeros(bits // 64, np.uint64)
-    for r in words:
-        table[r.word] = r.bits & ((1 << 64) - 1)
-    return Level(name, bits, probes, table)
+    planes = spread.select("at", F.expr(f"cast(at div {PLANE} as int)").alias("plane")).repartition("plane").mapInArrow(_planes, "plane int, bytes binary").collect()
+    table = np.zeros(-(-bits // PLANE) * (PLANE // 64), np.uint64)
+    for r in planes:  # a plane may come from several tasks
+        table[r.plane * (PLANE // 64) : (r.plane + 1) * (PLANE // 64)] |= np.frombuffer(r.bytes, np.uint64)
+    return Level(name, bits, probes, table[: bits // 64].copy())
+
+
+def _planes(batches):
+    """Bits at `at` of each plane of `PLANE` bits, as bytes."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        at, plane = batch.column("at").to_numpy(), batch.column("plane").to_numpy()
+        for p in np.unique(plane):
+            words = held.setdefault(int(p), np.zeros(PLANE // 64, np.uint64))
+            inside = (at[plane == p] - int(p) * PLANE).astype(np.uint64)
+            np.bitwise_or.at(words, (inside >> np.uint64(6)).astype(np.int64), np.uint64(1) << (inside & np.uint64(63)))
+    for p, words in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([words.tobytes()], pa.binary())], names=["plane", "bytes"])
 
 
 def _passing(level, wanted: bool = True):
@@ -151,7 +165,7 @@ def _judge(allow, block, default: str):
     return run
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, keep: list[str], default: str = "allow") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, keep: list[str], default: str = "allow", most_bytes: int = MOST_BYTES) -> DataFrame:
     """Columns `keep` of `pages` with host, path, rule and verdict of each `url`.
 
     `rules` has verdict (allow or block), host and path.  A rule fits its host and all its
@@ -167,8 +181,24 @@ def judge_urls(pages: DataFrame, rules: DataFrame, keep: list[str], default: str
     host, path = url_parts()
     keyed = pages.select(*keep, host.alias("host"), path.alias("path")).withColumn("_keys", candidate_keys("host", "path", lengths))
     universe = cut(keyed.select(F.explode("_keys").alias("key")).distinct(), "universe")
-    cascades = [
-        spark.sparkContext.broadcast(build_cascade(rules.where(F.col("verdict") == v), universe, v)) for v in ("allow", "block")
-    ]
+    # The first level takes at most ln(10^6) / ln(2)^2 = 29 bits a key; all others together less.
+    classes = max(1, -(-rules.count() * 58 // 8 // most_bytes))
+    part = lambda table, c: table if classes == 1 else table.where(F.pmod(F.xxhash64("key"), F.lit(classes)) == c)
     schema = T.StructType([*keyed.drop("_keys").schema.fields, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
-    return keyed.mapInArrow(_judge(*cascades, default), schema)
+
+    def cascades(c: int) -> list:
+        return [spark.sparkContext.broadcast(build_cascade(part(rules.where(F.col("verdict") == v), c), part(universe, c), f"{v}{c}")) for v in ("allow", "block")]
+
+    if classes == 1:
+        return keyed.mapInArrow(_judge(*cascades(0), default), schema)
+    # Of what the classes find for a host and path, the longest rule holds: the first of its keys.
+    urls = cut(keyed.select("host", "path").distinct().withColumn("_keys", candidate_keys("host", "path", lengths)), "urls")
+    slim = T.StructType([f for f in schema.fields if f.name in ("host", "path", "rule", "verdict")])
+    found = None
+    for c in range(classes):
+        mine = urls.withColumn("_keys", F.filter("_keys", lambda k: F.pmod(F.xxhash64(k), F.lit(classes)) == c)).where(F.size("_keys") > 0)
+        hits = cut(mine.mapInArrow(_judge(*cascades(c), default), slim).where("rule is not null"), "hits")
+        found = hits if found is None else found.unionByName(hits)
+    best = found.join(urls, ["host", "path"]).groupBy("host", "path").agg(F.min_by(F.struct("rule", "verdict"), F.array_position("_keys", F.col("rule"))).alias("best"))
+    out = keyed.drop("_keys").join(best, ["host", "path"], "left")
+    return out.select(*keep, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
