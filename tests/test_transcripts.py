@@ -193,13 +193,13 @@ def test_states_fit_and_cover_all_candidates(spark):
     wanted = calls.where("not pinned")
     ids = {r.tool_use_id for r in wanted.collect()}
     stages = []
-    for limit in (100_000, 5000, 3000, 1600, 900, 300, 20):
+    for limit in (100_000, 3000, 900, 20):
         groups, floor = prompts.state_groups(t, calls, wanted, limit)
         groups, left = groups.collect(), {r.tool_use_id for r in floor.collect()}
         assert {i for g in groups for i in g.ids} | left == ids and sum(len(g.ids) for g in groups) + len(left) == len(ids)
         assert all(g.tokens <= limit and prompts.estimate(g.state) <= limit + 2 * len(g.ids) + 60 for g in groups)
         stages.append((len(groups), len(left), groups[0].stage if groups else None))
-    assert stages[0] == (1, 0, "full") and stages[-1] == (0, len(ids), None) and max(n for n, _, _ in stages) > 2 and len({x for _, _, x in stages}) >= 4
+    assert stages[0] == (1, 0, "full") and stages[-1] == (0, len(ids), None) and max(n for n, _, _ in stages) > 2 and len({x for _, _, x in stages}) >= 3
     groups, _ = prompts.state_groups(t, calls, wanted, 3000)
     dealt = prompts.requests(groups, calls, 3400).collect()
     assert len(dealt) == len(ids) and len({(r.group, r.request) for r in dealt}) > 1
@@ -234,3 +234,75 @@ def test_dataset_is_written_once_with_its_manifest(spark, tmp_path):
     assert len(chats) == 80 and all('"role":"system"' in r.value and "Is this statement true?" in r.value for r in chats)
     with pytest.raises(Exception, match="(?i)exists"):
         stores.write_dataset(records, str(tmp_path / "set"))
+
+
+def test_runs_fall_back_from_the_judge_to_the_rules_to_nothing(spark):
+    from trailmill.operators import runs
+
+    t = transcript(spark, noisy("good", 3) + noisy("down", 3) + noisy("keeps", 3) + noisy("off", 3) + [("tiny", "user", "hello", [], []), ("tiny", "assistant", "hi", [("z", "Bash", "{}")], []), ("tiny", "user", "", [], [("z", "ok", False)])])
+
+    sent = runs.judge_requests(spark.createDataFrame([("s", "all", '{"k":"ghp_abcdefghijklmnop1234"}', 9)], "session string, group string, state string, tokens long"), spark.createDataFrame([("s", "all", "t1", 0)], "session string, group string, id string, request long"), spark.createDataFrame([("s", "t1", 1, "Bash", 5)], "session string, id string, call_no int, tool string, result_chars long"))
+    row = sent.first()
+    assert "ghp_abcdefghijklmnop1234" not in row.state and row.redacted == 1 and "call_t1" in row.questions
+    asked = spark.createDataFrame([("a", "all", 0, "x", '{"call_t1":"?","result_t1":"?"}'), ("b", "all", 0, "boom", '{"call_t1":"?"}'), ("c", "all", 0, "nan", '{"call_t1":"?"}'), ("d", "all", 0, "slow", '{"call_t1":"?"}')], "session string, group string, request long, state string, questions string")
+
+    def moody(state, asked):
+        import time
+
+        if state == "boom":
+            raise ValueError
+        if state == "slow":
+            time.sleep(3)
+        return {"call_t1": float("nan") if state == "nan" else 0.5}
+
+    got = {(r.session, r.name): (r.p, r.error) for r in runs.ask(asked, moody, deadline=1.0).collect()}
+    assert got == {("a", "call_t1"): (0.5, None), ("a", "result_t1"): (None, "missing answer"), ("b", "call_t1"): (None, "judge: ValueError"), ("c", "call_t1"): (None, "missing answer"), ("d", "call_t1"): (None, "deadline")}
+    verdicts = spark.createDataFrame([("good", "model"), ("down", "model"), ("keeps", "model"), ("off", "builtin"), ("tiny", "rules")], "session string, judge string")
+    usage = spark.createDataFrame([], "session string, context_tokens double, trigger_tokens double")
+
+    def mixed(state, asked):
+        tools = state.split('"tool_calls"')[1][:60]
+        if "boom" in tools:
+            raise ValueError
+        return {name: 1.0 if "keep everything" in state else 0.0 for name in asked}
+
+    said = {"down": "boom", "keeps": "keep everything"}
+    messages = t.messages.withColumn("text", F.when((F.col("session") == "keeps") & (F.col("msg_idx") == 0), said["keeps"]).otherwise(F.col("text")))
+    uses = t.uses.withColumn("tool", F.when(F.col("session") == "down", said["down"]).otherwise(F.col("tool")))
+    out, results, answers = runs.run_compaction(ts.Transcript(messages, uses, t.results), usage, verdicts, mixed)
+    by = {r.session: (r.by, r.chars_after < r.chars_before) for r in out.collect()}
+    assert by == {"good": ("model", True), "down": ("rules", True), "keeps": ("rules", True), "off": ("builtin", False), "tiny": ("builtin", False)}
+    assert {r.session for r in results.select("session").distinct().collect()} == {"good", "down", "keeps"}
+    assert answers.where("session = 'good'").count() == 3
+
+
+def test_nudges_wait_for_quiet_and_state_expires():
+    import pandas as pd
+
+    from trailmill.streaming import state as st
+
+    class State:
+        exists, hasTimedOut, value, timer = False, False, None, None
+
+        @property
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value, self.exists = value, True
+
+        def setTimeoutDuration(self, ms):
+            self.timer = ms
+
+        def remove(self):
+            self.value, self.exists = None, False
+
+    run, s = st.nudge_update(5000, 60_000), State()
+    turns = lambda *rows: iter([pd.DataFrame(rows, columns=["ts", "event_id"])])
+    assert sum(len(x) for x in run(("a",), turns((2, 8), (1, 7)), s)) == 0 and s.value == (8, False) and s.timer == 5000
+    list(run(("a",), turns((3, 9)), s))
+    s.hasTimedOut = True
+    first = pd.concat(run(("a",), iter([]), s))
+    assert first[["kind", "event_id"]].values.tolist() == [["nudge", 9]] and s.timer == 55_000
+    second = pd.concat(run(("a",), iter([]), s))
+    assert second["kind"].tolist() == ["expired"] and not s.exists

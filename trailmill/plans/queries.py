@@ -466,6 +466,26 @@ def fitted_states(spark, sf_dir):
     return prompts.state_groups(t, found, found.where("not pinned"), 1500)[0].select("session", "group", "stage", "tokens", "state", F.size("ids").alias("calls"))
 
 
+def hashed_judge(state: str, asked: dict[str, str]) -> dict[str, float]:
+    """A stand-in for a judge: probabilities from a hash of each statement."""
+    import hashlib
+
+    return {name: hashlib.md5(text.encode()).digest()[0] / 255 for name, text in asked.items()}
+
+
+@query
+def judged_runs(spark, sf_dir):
+    """Compaction runs of all sessions: judged, by rules, or left alone, as their verdicts say."""
+    from trailmill.operators import runs
+
+    t = transcript(spark, sf_dir)
+    each = t.messages.select("session").distinct()
+    key = F.pmod(F.crc32("session"), F.lit(7))
+    verdicts = each.select("session", F.when(key == 0, "builtin").when(key < 4, "rules").otherwise("model").alias("judge"))
+    usage = each.select("session", F.when(key != 2, F.lit(120_000.0)).alias("context_tokens"), F.lit(90_000.0).alias("trigger_tokens"))
+    return runs.run_compaction(t, usage, verdicts, hashed_judge)[0]
+
+
 @query
 def decision_texts(spark, sf_dir):
     """Decisions and training chats as they are put to a model, with documents as states."""
