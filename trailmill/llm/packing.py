@@ -127,7 +127,7 @@ def place(plan: PackingPlan, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np
 #: White space as the tokenizers' pattern has it (fixed values).
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Chunks and pieces kept with their ids by one worker: a cache of work, emptied when full.
-CACHED = 400_000
+CACHED = 1_000_000
 #: What byte-level tokenizers cut a text into before they merge.
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
