@@ -176,6 +176,18 @@ def last_texts(text: str, tool_use_id: str) -> tuple[str, str]:
     return first, note if len(note) < len(first) else first
 
 
+def _shortened(rows: DataFrame) -> DataFrame:
+    """`rows` of shown texts with what would be left of each under pressure: chars, first and second."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            texts = [last_texts(x, i) for x, i in zip(part["text"], part["tool_use_id"])]
+            yield part.drop(columns="text").assign(chars=part["text"].str.len(), first=[a for a, _ in texts], second=[b for _, b in texts])
+
+    keep = ("session", "place", "tool_use_id", "pinned", "total", "need")
+    return rows.select(*keep, "text").mapInPandas(run, "session string, place long, tool_use_id string, pinned boolean, total long, need double, chars long, first string, second string")
+
+
 def _each(rows: DataFrame, function, schema: str, options: Options) -> DataFrame:
     """`function(row, Result)` of every row, batch by batch."""
     names = [x.split()[0] for x in schema.split(", ")]
@@ -339,18 +351,16 @@ def compact(t: Transcript, decisions: DataFrame | None = None, goals: DataFrame
         rows = rows.withColumn("rows", F.lit(None).cast("array<int>"))
 
     def render(row, result: Result):
-        text = result.shown(row.tier, None if row.rows is None else list(row.rows))
-        first, second = last_texts(text, row.tool_use_id)
-        return [(row.session, row.tool_use_id, row.place, row.tier, bool(row.pinned), len(result.text), text, first, second)]
+        return [(row.session, row.tool_use_id, row.place, row.tier, bool(row.pinned), len(result.text), result.shown(row.tier, None if row.rows is None else list(row.rows)))]
 
-    shown = cut(_each(rows, render, "session string, tool_use_id string, place long, tier int, pinned boolean, chars_before long, text string, first string, second string", options), "shown")
+    shown = cut(_each(rows, render, "session string, tool_use_id string, place long, tier int, pinned boolean, chars_before long, text string", options), "shown")
     size = F.length("text").cast("long")
     left = shown.groupBy("session").agg(F.sum(F.col("chars_before") - size).alias("gone"))
     need = goal.join(left, "session").withColumns({"total": F.col("before") - F.col("gone"), "need": F.col("before") * (1 - F.col("hard"))}).where("before > 0 and hard > 0 and total > need")
-    pressed = shown.join(need.select("session", "total", "need"), "session").select(
-        "session", "place", "tool_use_id", (~F.col("pinned")).alias("free"), size.alias("chars"), F.length("first").alias("first"), F.length("second").alias("second"), "total", "need"
-    )
-    final = shown.join(evicted(pressed), ["session", "tool_use_id"], "left")
+    pressed = cut(_shortened(shown.join(need.select("session", "total", "need"), "session")), "pressed")
+    sizes = pressed.select("session", "place", "tool_use_id", (~F.col("pinned")).alias("free"), "chars", F.length("first").alias("first"), F.length("second").alias("second"), "total", "need")
+    last = pressed.select("session", "tool_use_id", "first", "second").join(evicted(sizes), ["session", "tool_use_id"])
+    final = shown.join(last, ["session", "tool_use_id"], "left")
     text = F.when(F.col("step") == 2, F.col("second")).when(F.col("step") == 1, F.col("first")).otherwise(F.col("text"))
     final = final.select("session", "tool_use_id", F.when(F.col("step").isNotNull(), LAST_RESORT).otherwise(F.col("tier")).alias("tier"), "chars_before", text.alias("text"))
     final = cut(final.withColumn("chars_after", F.length("text").cast("long")), "compacted")
