@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from trailmill.functions import fixed
@@ -37,6 +38,58 @@ def test_session_log(spark, tmp_path):
     assert sorted((r.id, r.tool_use_id, r.result_index) for r in paired.collect()) == [("t1", "a", 2), ("t2", "b", 2)]
 
 
+def test_lines_keep_their_order_over_splits(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("\n".join(f"line {k}" for k in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        lines = logs.numbered_lines(spark, str(tmp_path))
+        rows = sorted((r.line, r.value) for r in lines.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert rows == [(k, f"line {k}") for k in range(5000)]
+
+
+def test_transcripts_of_any_kind(spark, tmp_path):
+    native = [{"role": "user", "text": "hi"}, {"role": "assistant", "text": "", "toolUses": [{"tool_use_id": "a", "tool": "X", "input": {"z": 1}}]}, {"role": "user", "toolResults": [{"tool_use_id": "a", "text": "out", "isError": True}]}]
+    chat = [{"role": "user", "content": "hi"}, {"role": "assistant", "tool_calls": [{"id": "a", "function": {"name": "X", "arguments": "{}"}}]}, {"role": "tool", "tool_call_id": "a", "content": "out"}]
+    for name, body in (("native", native), ("chat", {"messages": chat})):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "one.json").write_text(json.dumps(body))
+        t = logs.read_transcripts(spark, str(tmp_path / name))
+        assert [r.text for r in t.messages.orderBy("msg_idx").collect()][0] == "hi" and t.messages.first().session == "one"
+        assert [(r.tool_use_id, r.tool) for r in t.uses.collect()] == [("a", "X")] and [r.text for r in t.results.collect()] == ["out"]
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "s.jsonl").write_text("\n".join(LOG))
+    assert logs.read_transcripts(spark, str(tmp_path / "logs")).messages.count() == 4
+    assert logs.sampled(logs.read_transcripts(spark, str(tmp_path / "logs")), least=2).count() == 1
+    (tmp_path / "answers").mkdir()
+    (tmp_path / "answers" / "s1.json").write_text('{"a":{"keepCall":0.5,"keepResult":1},"b":{"keepCall":"x"},"c":7}')
+    assert [tuple(r) for r in logs.stored_answers(spark, str(tmp_path / "answers")).collect()] == [("s1", "a", 0.5, 1.0)]
+    (tmp_path / "native" / "bad.json").write_text("{oops")
+    with pytest.raises(Exception):
+        logs.json_messages(spark, str(tmp_path / "native")).messages.collect()
+
+
+def test_what_answers_report(spark):
+    rows = [("s", 1, None, "b1", {"in": 3, "out": 1}), ("s", 0, None, None, {"in": 2}), ("s", 2, "m2", "b2", None)]
+    answers = spark.createDataFrame(rows, "session string, request int, model string, backend string, usage map<string,int>")
+    assert [tuple(r) for r in logs.observed(answers).collect()] == [("s", "m2", "b1")]
+    assert sorted(tuple(r) for r in logs.usage_totals(answers).collect()) == [("s", "in", 5), ("s", "out", 1)]
+
+
+def test_saved_outputs_are_named_and_expire(spark):
+    from trailmill.functions.text import kept_note
+
+    rows = spark.createDataFrame([("s/1", "a", "x")], "session string, tool_use_id string, text string").withColumn("text", F.concat(F.lit("cut; "), kept_note("tool_use_id")))
+    out = stores.noted(rows, rows).first()
+    assert out.touched and "saved at s_1/a.txt" in out.text
+    old = spark.createDataFrame([("x", 10), ("y", 10**12)], "k string, at long")
+    day = fixed.CLEAN_UP_MS
+    assert stores.expire_outputs(old, 10**12, None).count() == 1 and stores.expire_outputs(old, 10**12, 10**12 - day + 1).count() == 2 and stores.expire_outputs(old, 10**12, 10**13).count() == 2
+    assert stores.worth_saving(spark.createDataFrame([("s", "a", "x" * 199), ("s", "b", "x" * 200)], "session string, tool_use_id string, text string")).count() == 1
+
+
 def test_chat_export(spark):
     chat = [
         {"role": "system", "content": "rules"}, {"role": "user", "content": [{"type": "text", "text": "hi"}]},
