@@ -344,7 +344,7 @@ def stages(spark, sf_dir, tmp_path_factory):
     return made
 
 
-def test_pipeline_stages(spark, stages):
+def test_pipeline_stages(spark, sf_dir, stages):
     from test_jaccard import brute_components, brute_sets
 
     docs, language, near, private, packed = ({r.doc_id: r for r in s.collect()} for s in stages)
@@ -363,20 +363,21 @@ def test_pipeline_stages(spark, stages):
     assert set(packed) == set(private)
 
 
-def test_language_stage_uses_its_prediction(spark, sf_dir):
+def test_language_stage_uses_its_prediction(spark, sf_dir, monkeypatch):
     """Texts that no classifier accepts go unless their label agrees; missing labels are filled in."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*corpus_pipeline.COLUMNS)
     known = docs.where("lang = 'de' and n_chars > 200").first()
     base = 10**7
-    rows = [(base, known.text, None, "s", 1), (base + 1, "Qq.", None, "s", 1), (base + 2, "Qq.", "zz", "s", 1), (base + 3, "12 34", "en", "s", 1), (base + 4, None, "en", "s", 1)]
+    rows = [(base, known.text, None, "s", 1), (base + 1, "Qq.", None, "s", 1), (base + 2, "Re. Der la the.", None, "s", 1), (base + 3, "12 34", "en", "s", 1), (base + 4, None, "en", "s", 1)]
     both = docs.unionByName(spark.createDataFrame(rows, docs.schema))
     found = {r.doc_id: r for r in identify(both, ["doc_id", "lang"]).collect()}
-    assert found[base + 1].lang_score < 0.5
+    monkeypatch.setattr(corpus_pipeline, "ACCEPTED", 0.995)  # a line that some texts of this small table fall short of
     out = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, both, sf_dir).collect()}
-    assert out[base] == "de" and not {base + 1, base + 2, base + 3, base + 4} & set(out)
+    assert out.get(base, "de") == "de" and not {base + 3, base + 4} & set(out)
     for i, r in found.items():
-        kept = r.lang_pred != "und" and (r.lang_score >= 0.5 or r.lang == r.lang_pred)
+        kept = r.lang_pred != "und" and (r.lang_score >= 0.995 or r.lang == r.lang_pred)
         assert (i in out) == kept and (not kept or out[i] == (r.lang or r.lang_pred))
+    assert any(r.lang_pred != "und" and i not in out for i, r in found.items())  # the classifier rejects some
 
 
 def test_pipeline_on_an_empty_table(spark, tmp_path):
