@@ -176,6 +176,12 @@ def last_texts(text: str, tool_use_id: str) -> tuple[str, str]:
     return first, note if len(note) < len(first) else first
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt to all cores: Spark sizes partitions by bytes, but these cost Python time per row."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def _shortened(rows: DataFrame) -> DataFrame:
     """`rows` of shown texts with what would be left of each under pressure: chars, first and second."""
 
@@ -329,7 +335,7 @@ def compact(t: Transcript, decisions: DataFrame | None = None, goals: DataFrame
     if decisions is None:
         decisions = decided(t, options=options)
     decisions = cut(decisions, "decisions")
-    rows = cut(reducible(t, decisions), "results")
+    rows = cut(_spread(reducible(t, decisions)), "results")
 
     def tiers(row, result: Result):
         texts = [result.shown(k) for k in range(len(fixed.TIERS))]
@@ -344,9 +350,9 @@ def compact(t: Transcript, decisions: DataFrame | None = None, goals: DataFrame
     level = taken_steps(steps, goal.select("session", "before", "after", "target"))
     rows = rows.join(level, ["session", "tool_use_id"], "left").withColumn("tier", F.coalesce("tier", F.lit(0)))
     if options.value and options.pool:
-        rows = cut(rows, "levels")
+        rows = cut(_spread(rows), "levels")
         kept = t.results.join(rows.select("session", "tool_use_id"), ["session", "tool_use_id"], "left_anti").select("session", "text")
-        rows = rows.join(pooled(rows, kept, options), ["session", "tool_use_id"], "left")
+        rows = _spread(rows.join(pooled(rows, kept, options), ["session", "tool_use_id"], "left"))
     else:
         rows = rows.withColumn("rows", F.lit(None).cast("array<int>"))
 
@@ -391,7 +397,7 @@ def tier_lines(t: Transcript, tier: int, options: Options = Options()) -> DataFr
 
 def pooled_lines(t: Transcript, tier: int, options: Options = Options()) -> DataFrame:
     """session, tool_use_id, lines that each stub keeps at a tier under one room for its session."""
-    rows = cut(reducible(t, decided(t, options=options)).withColumn("tier", F.lit(tier)), "levels")
+    rows = cut(_spread(reducible(t, decided(t, options=options)).withColumn("tier", F.lit(tier))), "levels")
     others = t.results.join(rows.select("session", "tool_use_id"), ["session", "tool_use_id"], "left_anti").select("session", "text")
     rows = rows.join(pooled(rows, others, options), ["session", "tool_use_id"], "left")
 

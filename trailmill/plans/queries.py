@@ -357,7 +357,7 @@ def pooled_lines(spark, sf_dir):
 
 @query
 def simulate_windows(spark, sf_dir):
-    return evaluation.simulate(transcript(spark, sf_dir))[0]
+    return evaluation.simulate(transcript(spark, sf_dir), lengths=(1.5,))[0]
 
 
 @query
