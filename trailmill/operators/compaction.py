@@ -270,7 +270,8 @@ def pooled(rows: DataFrame, others: DataFrame, options: Options) -> DataFrame:
         kept = {pieces.units[i] for i in value}
         side = "\n".join(x for x in result.shown(row.tier).split("\n") if x not in kept)
         first, rest = set(pre), [i for i in range(len(pieces.units)) if i not in set(pre)]
-        held = {i: pieces.of_unit(i) | ({x for x in result.values if budget.occurs(x, pieces.units[i])} if options.contain else set()) for i in rest}
+        named = pieces.holders(result.values) if options.contain else {}
+        held = {i: pieces.of_unit(i) | named.get(i, set()) for i in rest}
         rest = [i for i in rest if held[i]]
         lists = [sorted(held[i]) for i in rest]
         return [(row.session, row.tool_use_id, row.place, pieces.cost(value), side, sorted(first), rest, [len(pieces.units[i]) for i in rest], lists, [[result.values.get(x, 0.0) for x in xs] for xs in lists])]
