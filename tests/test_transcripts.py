@@ -1,5 +1,6 @@
 """Hindsight, contexts, values and compaction on small transcripts worked out by hand."""
 
+import json
 import math
 
 import pytest
@@ -125,6 +126,66 @@ def greedy(sizes, losses, before, after, target):
     return level
 
 
+def plain_simulation(rows, length, trigger, short):
+    """One session, message by message: compactions, peak fill, facts at stake and kept, summed over compactions."""
+    size = lambda ctx: sum(len(m[0]) + sum(map(len, m[1])) + sum(len(x) for _, x in m[2]) for m in ctx)
+    messages = [(text, [i for _, _, i in calls], [(k, x) for k, x, _ in answers]) for _, _, text, calls, answers in rows]
+    known, uses = {}, {}
+    for i, (_, role, text, calls, answers) in enumerate(rows):
+        for _, x, _ in answers:
+            for token in budget.tokens_of(x):
+                known.setdefault(token, i)
+        if role == "assistant":
+            for token in budget.tokens_of("\n".join([text, *(c[2] for c in calls)])):
+                if known.get(token, i) < i:
+                    uses.setdefault(token, []).append(i)
+    window = size(messages) / length
+    line = rearm = trigger * window
+    ctx, runs, peak, needed, kept = [], 0, 0.0, 0, 0
+    for i, m in enumerate(messages):
+        ctx.append(m)
+        if not m[2] or size(ctx) < rearm:
+            continue
+        ctx = [(text, inputs, [(k, short(x, n, len(ctx))) for k, x in answers]) for n, (text, inputs, answers) in enumerate(ctx)]
+        runs += 1
+        rearm = max(line, size(ctx) + line / 4)
+        shows = "\n".join("\n".join([text, *inputs, *(x for _, x in answers)]) for text, inputs, answers in ctx)
+        stake = [x for x, at in uses.items() if known[x] < i + 1 and max(at) >= i + 1]
+        needed, kept, peak = needed + len(stake), kept + sum(x in shows for x in stake), max(peak, size(ctx) / window)
+    return runs, round(peak, 6), needed, kept
+
+
+def test_repeated_compaction_against_a_plain_loop(spark, monkeypatch):
+    import random
+
+    rng, rows = random.Random(4), []
+    for session, calls in (("p", 12), ("q", 25), ("r#1", 7)):
+        ids = [f"id-{rng.randrange(10**6):06d}" for _ in range(3 * calls)]
+        rows.append((session, "user", "find the fault", [], []))
+        for k in range(calls):
+            told = ids[3 * k : 3 * k + 3]
+            asked = json.dumps({"command": f"look {rng.choice(ids[: 3 * k + 1])}"})
+            body = f"{told[0]} then " + "filler of no use " * rng.randint(1, 30) + f"{told[1]} " + "more filler " * rng.randint(0, 20) + told[2]
+            rows += [(session, "assistant", rng.choice(["", f"I saw {rng.choice(ids[: 3 * k + 1])}."]), [(f"{session}{k}", "Bash", asked)], []), (session, "user", "", [], [(f"{session}{k}", body, False)])]
+            if k % 5 == 4:
+                rows.append((session, "user", "go on", [], []))
+    short = lambda x, n, messages: x if len(x) <= 60 or n + 3 >= messages else x[:50]
+
+    def stand_in(t, decisions, goals, options):
+        total = t.messages.groupBy("session").agg(F.count("*").alias("total"))
+        text = F.when((F.length("text") > 60) & (F.col("msg_idx") + 3 < F.col("total")), F.left("text", F.lit(50))).otherwise(F.col("text"))
+        return compaction.Compacted(ts.Transcript(t.messages, t.uses, t.results.join(total, "session").withColumn("text", text).drop("total")), None, None)
+
+    monkeypatch.setattr(evaluation.compaction, "compact", stand_in)
+    lengths = (0.8, 1.0, 1.2, 1.5)
+    found, totals = evaluation.simulate(transcript(spark, rows), lengths)
+    found = {(r.session, r.length): (r.compactions, r.peak_fill, r.facts, r.kept) for r in found.collect()}
+    expected = {(s, x): plain_simulation([r for r in rows if r[0] == s], x, 0.6, short) for s in ("p", "q", "r#1") for x in lengths}
+    assert found == expected and max(runs for runs, *_ in expected.values()) > 2 and any(kept < stake for _, _, stake, kept in expected.values())
+    pooled = {r.length: (r.compactions, r.facts, r.kept) for r in totals.collect()}
+    assert pooled == {x: tuple(sum(expected[s, x][k] for s in ("p", "q", "r#1")) for k in (0, 2, 3)) for x in lengths}
+
+
 def test_steps_by_a_sort_equal_the_greedy_loop(spark):
     import random
 

@@ -9,6 +9,7 @@ room of a session's lines is greedy over the whole session, and sees numbers alo
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -17,13 +18,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmill.functions import fixed
-from trailmill.functions.text import fact_tokens, matches, reproducible
+from trailmill.functions.text import CONDENSED, fact_tokens, matches, reproducible
 from trailmill.operators import budget
 from trailmill.operators import transcripts as ts
 from trailmill.operators.transcripts import Transcript
 from trailmill.session import cut, discard
 
+#: How notes begin; a text with any mark that `is_condensed` knows is final.
 MARK = "[condensed: omitted "
+_marked = re.compile(CONDENSED).search
 TARGET, HARD = 0.3, 0.3
 LAST_RESORT = len(fixed.TIERS)
 
@@ -107,7 +110,7 @@ class Result:
 
     def __init__(self, text: str, is_error: bool, again: bool, tool_use_id: str, values: dict[str, float], options: Options):
         self.text, self.is_error, self.again, self.id, self.values, self.options = text, is_error, again, tool_use_id, values, options
-        self.final = MARK in text  # reduced already
+        self.final = _marked(text) is not None  # reduced already
         self._middle: dict[tuple[int, int], budget.Pieces] = {}
         self._dense = None
 
@@ -168,7 +171,7 @@ def useful_steps(texts: list[str]) -> list[tuple[int, int, float, float]]:
 
 def last_texts(text: str, tool_use_id: str) -> tuple[str, str]:
     """What is left of a shown result under pressure: its fact lines in a quarter, or one note alone."""
-    notes = [x for x in text.split("\n") if MARK in x] or [f"{MARK}{len(text)} chars: only fact lines kept under pressure; {note_of(tool_use_id)}]"]
+    notes = [x for x in text.split("\n") if _marked(x)] or [f"{MARK}{len(text)} chars: only fact lines kept under pressure; {note_of(tool_use_id)}]"]
     pieces = budget.Pieces.of(text)
     lines = "\n".join([*pieces.lines(pieces.fact_lines(len(text) // 4)), *notes])
     first = lines if len(lines) < len(text) else text
@@ -252,13 +255,13 @@ def _pool_session(part: pd.DataFrame) -> pd.DataFrame:
     return part.iloc[picked][["session", "tool_use_id", "piece"]]
 
 
-def pooled(rows: DataFrame, others: DataFrame, options: Options) -> DataFrame:
+def pooled(rows: DataFrame, others: DataFrame, options: Options, written: list[DataFrame]) -> DataFrame:
     """session, tool_use_id, rows: the pieces that each stub keeps under one room for its whole session.
 
     `rows` are results with their tier, `others` (session, text) what else results show.
     The room is what the stubs would spend on value one by one; what the session shows
     beside those pieces is covered already, and a piece is credited with all tokens it
-    contains if the options say so.
+    contains if the options say so.  Tables that the result still reads are added to `written`.
     """
     schema = "session string, tool_use_id string, place long, room long, side string, pre array<int>, pieces array<int>, chars array<int>, tokens array<array<string>>, prices array<array<double>>"
 
@@ -277,6 +280,7 @@ def pooled(rows: DataFrame, others: DataFrame, options: Options) -> DataFrame:
         return [(row.session, row.tool_use_id, row.place, pieces.cost(value), side, sorted(first), rest, [len(pieces.units[i]) for i in rest], lists, [[result.values.get(x, 0.0) for x in xs] for xs in lists])]
 
     stubs = cut(_each(rows, cut_up, schema, options), "pieces")
+    written.append(stubs)
     sides = stubs.select("session", F.col("side").alias("text")).unionByName(others)
     # What is covered already: tokens of the sides, and tokens that occur in them by themselves.
     each = F.explode(F.arrays_zip("piece", "chars", "tokens", "prices")).alias("x")
@@ -318,11 +322,15 @@ def evicted(shown: DataFrame) -> DataFrame:
 
 
 class Compacted(NamedTuple):
-    """The transcript, and per result of a dropped call: session, tool_use_id, tier, chars_before, chars_after."""
+    """The transcript, and per result of a dropped call: session, tool_use_id, tier, chars_before, chars_after.
+
+    `written` are the tables in the shared folder that these read.
+    """
 
     transcript: Transcript
     results: DataFrame
     decisions: DataFrame
+    written: tuple[DataFrame, ...] = ()
 
 
 def compact(t: Transcript, decisions: DataFrame | None = None, goals: DataFrame | None = None, options: Options = Options(), target: float = TARGET, hard: float = HARD) -> Compacted:
@@ -349,11 +357,13 @@ def compact(t: Transcript, decisions: DataFrame | None = None, goals: DataFrame
     goal = cut(goal.join(saved, "session", "left").withColumn("after", F.col("before") - F.coalesce("loose", F.lit(0))), "goals")
     steps = sized.select("session", "tool_use_id", "place", F.explode("steps").alias("s")).select("session", "tool_use_id", "place", "s.*")
     level = taken_steps(steps, goal.select("session", "before", "after", "target"))
+    written = [rows, sized, goal]
     rows = rows.join(level, ["session", "tool_use_id"], "left").withColumn("tier", F.coalesce("tier", F.lit(0)))
     if options.value and options.pool:
         rows = cut(_spread(rows), "levels")
+        written.append(rows)
         kept = t.results.join(rows.select("session", "tool_use_id"), ["session", "tool_use_id"], "left_anti").select("session", "text")
-        rows = _spread(rows.join(pooled(rows, kept, options), ["session", "tool_use_id"], "left"))
+        rows = _spread(rows.join(pooled(rows, kept, options, written), ["session", "tool_use_id"], "left"))
     else:
         rows = rows.withColumn("rows", F.lit(None).cast("array<int>"))
 
@@ -371,9 +381,9 @@ def compact(t: Transcript, decisions: DataFrame | None = None, goals: DataFrame
     text = F.when(F.col("step") == 2, F.col("second")).when(F.col("step") == 1, F.col("first")).otherwise(F.col("text"))
     final = final.select("session", "tool_use_id", F.when(F.col("step").isNotNull(), LAST_RESORT).otherwise(F.col("tier")).alias("tier"), "chars_before", text.alias("text"))
     final = cut(final.withColumn("chars_after", F.length("text").cast("long")), "compacted")
-    for table in (shown, sized, goal):
+    for table in (*written, shown, pressed):
         discard(table)
-    return Compacted(rebuilt(t, final), final.drop("text"), decisions)
+    return Compacted(rebuilt(t, final), final.drop("text"), decisions, (final, decisions))
 
 
 def reducible(t: Transcript, decisions: DataFrame) -> DataFrame:
@@ -400,7 +410,7 @@ def pooled_lines(t: Transcript, tier: int, options: Options = Options()) -> Data
     """session, tool_use_id, lines that each stub keeps at a tier under one room for its session."""
     rows = cut(_spread(reducible(t, decided(t, options=options)).withColumn("tier", F.lit(tier))), "levels")
     others = t.results.join(rows.select("session", "tool_use_id"), ["session", "tool_use_id"], "left_anti").select("session", "text")
-    rows = rows.join(pooled(rows, others, options), ["session", "tool_use_id"], "left")
+    rows = rows.join(pooled(rows, others, options, []), ["session", "tool_use_id"], "left")
 
     def lines(row, result: Result):
         where = result.place(tier)

@@ -9,14 +9,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmill.functions import fixed
-from trailmill.functions.text import fact_tokens, is_condensed, occurs_apart, token_estimate
-
-#: Messages whose texts are searched together.
-STRETCH = 200
+from trailmill.functions.text import fact_tokens, is_condensed, token_estimate
+from trailmill.operators.search import last_places, with_values
 
 
 class Transcript(NamedTuple):
@@ -129,10 +126,10 @@ def labels(t: Transcript, fractions=(0.5, 0.75)) -> DataFrame:
     needed = facts_at_stake(t, valid).select("session", "cut", F.col("source").alias("tool_use_id"), F.lit(True).alias("needed")).distinct()
     again = t.uses.join(valid, "session").where("msg_idx >= cut").select("session", "cut", "tool", "input_json", F.lit(True).alias("again")).distinct()
     prefix = t.uses.join(valid, "session").where("msg_idx < cut").select("session", "cut", "tool_use_id", "tool", "input_json")
-    stretch = F.floor(F.col("msg_idx") / STRETCH)
-    later = written(t).join(valid, "session").where("msg_idx >= cut").groupBy("session", "cut", stretch).agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("later"))
-    asked = prefix.select("session", "cut", "tool_use_id", fact_tokens("input_json").alias("tokens")).join(later, ["session", "cut"])
-    named = asked.where(F.exists("tokens", lambda x: F.contains("later", x))).select("session", "cut", "tool_use_id", F.lit(True).alias("named")).distinct()
+    argued = t.uses.select("session", "tool_use_id", F.explode(fact_tokens("input_json")).alias("token"))
+    last = last_places(argued, written(t).withColumnRenamed("msg_idx", "at"))
+    later = argued.join(last, ["session", "token"]).groupBy("session", "tool_use_id").agg(F.max("last").alias("last"))
+    named = later.join(valid, "session").where("last >= cut").select("session", "cut", "tool_use_id", F.lit(True).alias("named"))
     out = prefix.join(needed, ["session", "cut", "tool_use_id"], "left").join(again, ["session", "cut", "tool", "input_json"], "left").join(named, ["session", "cut", "tool_use_id"], "left")
     result = F.coalesce("needed", "again", F.lit(False))
     return out.select("session", "cut", "tool_use_id", result.alias("keep_result"), (result | F.coalesce("named", F.lit(False))).alias("keep_call"))
@@ -151,39 +148,21 @@ def contexts(t: Transcript) -> DataFrame:
     return events.join(asked, "session", "left").select("session", "msg_idx", F.col("idx").alias("res_idx"), "tool_use_id", "last_input", F.coalesce("prompt", F.lit("")).alias("prompt"), "distance")
 
 
-def value_features(token: Column) -> list[Column]:
-    """The thirteen features of a token of `text`, beside last_input, prompt, distance and reused."""
-    text, size = F.col("text"), F.length(token)
-    length = F.greatest(F.length(text), F.lit(1)).cast("double")
-    yes = lambda c: c.cast("double")
-    return [
-        yes(token.rlike("[0-9]")), yes(token.rlike(r"[/\\]")), yes(token.rlike(r"\.[A-Za-z]{1,5}\z")), yes(token.rlike(r"(?i)^[0-9a-f]{8,}\z")), F.log(size.cast("double")),
-        F.length(F.regexp_replace(token, "[^0-9]", "")) / size, F.log1p((F.length(text) - F.length(F.replace(text, token, F.lit("")))) / size), yes(F.contains(F.col("last_input"), token)),
-        yes(F.contains(F.col("prompt"), token)), F.log1p(F.col("distance").cast("double")), (F.instr(text, token) - 1) / length, F.log(length), yes(F.array_contains("reused", token)),
-    ]
-
-
-def token_value(token: Column) -> Column:
-    """How likely the agent will write the token again: a logistic model of its features."""
-    z = F.lit(fixed.INTERCEPT)
-    for x, mean, deviation, weight in zip(value_features(token), fixed.MEANS, fixed.DEVIATIONS, fixed.COEFFICIENTS):
-        z = z + F.lit(weight) * (x - F.lit(mean)) / F.lit(deviation)
-    return 1 / (1 + F.exp(-z))
-
-
 def valued_results(t: Transcript) -> DataFrame:
     """Results (first of each id) with `values`, an array of their tokens and p, and their place in the session.
 
-    Texts are not copied per token: features are computed inside the row, and only tokens
-    travel to find those that the agent has reused.
+    Texts are not copied per token: a result's features come from one pass over its text,
+    and only tokens travel to find those that the agent has reused.
     """
-    found = t.results.select("session", "tool_use_id", "msg_idx", "res_idx", F.explode(fact_tokens("text")).alias("token"))
-    again = found.join(facts(t).select("session", "token").distinct(), ["session", "token"])
-    again = again.groupBy("session", "tool_use_id", "msg_idx", "res_idx").agg(F.collect_set("token").alias("reused"))
     keys = ["session", "tool_use_id", "msg_idx", "res_idx"]
-    rows = t.results.join(contexts(t), keys).join(again, keys, "left").withColumn("reused", F.coalesce("reused", F.array().cast("array<string>")))
-    values = F.transform(fact_tokens("text"), lambda x: F.struct(x.alias("token"), token_value(x).alias("p")))
-    return rows.select(*keys, "text", "is_error", values.alias("values"))
+    spark = t.results.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    results = t.results.repartition(parts, *keys).withColumn("tokens", fact_tokens("text"))  # the joins below keep this partitioning
+    found = t.results.select(*keys, F.explode(fact_tokens("text")).alias("token"))
+    again = found.join(facts(t).select("session", "token").distinct(), ["session", "token"])
+    again = again.groupBy(*keys).agg(F.collect_set("token").alias("reused"))
+    rows = results.join(contexts(t), keys).join(again, keys, "left")
+    return with_values(rows, [*keys, "text", "is_error"])
 
 
 def session_chars(t: Transcript) -> DataFrame:
@@ -214,15 +193,10 @@ def visible_text(t: Transcript) -> DataFrame:
     return rows.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("msg_idx", "kind", "idx", "text"))), lambda x: x.text), "\n").alias("text"))
 
 
-def shown(wanted: DataFrame, texts: DataFrame, block: int = 500, apart: bool = False) -> DataFrame:
+def shown(wanted: DataFrame, texts: DataFrame, apart: bool = False) -> DataFrame:
     """Those of `wanted` (session, token) that some text of their session contains.
 
-    A session's tokens are searched in blocks, so that a text is copied once per block.
     With `apart`, a token must stand without a letter or digit on either side.
     """
-    part = F.pmod(F.xxhash64("token"), F.greatest(F.ceil(F.col("n") / F.lit(block)), F.lit(1)))
-    sizes = wanted.groupBy("session").agg(F.countDistinct("token").alias("n"))
-    lists = wanted.join(sizes, "session").groupBy("session", part).agg(F.collect_set("token").alias("tokens")).select("session", "tokens")
-    there = lambda x: F.contains("text", x) & occurs_apart("text", x) if apart else F.contains("text", x)
-    hits = texts.join(lists, "session").select("session", F.explode(F.filter("tokens", there)).alias("token")).distinct()
-    return wanted.join(hits, ["session", "token"], "left_semi")
+    hits = last_places(wanted, texts.select("session", "text", F.lit(0).alias("at")), apart)
+    return wanted.join(hits.select("session", "token"), ["session", "token"], "left_semi")
