@@ -27,7 +27,9 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import uuid
+from array import array
 from itertools import accumulate
 
 import numpy as np
@@ -38,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmill.llm.packing import BYTE_CHARS, CACHED
+from trailmill.llm.packing import BYTE_CHARS
 from trailmill.llm.textkeys import lean
 from trailmill.session import bounded_batches, cut, shared_dir
 
@@ -47,6 +49,8 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 MARKS = regex.compile(r"\p{M}")
 #: Characters whose lower case and composed form are the same in every version of Unicode.
 LATIN = re.compile("[\x00-įĲ-ɏ]+")
+#: Chunks, and pieces, kept with their ids by one worker: a cache of work, emptied when full.
+CACHED = 1_000_000
 #: Bytes of ids that a batch read back holds, about.
 BATCH = 8 << 20
 
@@ -70,6 +74,7 @@ class ChunkEncoder(dict):
 
         super().__init__()
         self.tokenizer, self.kind = Tokenizer.from_file(tokenizer_path), kind
+        self.code = {"<u2": "H", "<u4": "I"}[kind] if sys.byteorder == "little" else None
         self.merge, self.merged = self.tokenizer.model.tokenize, {}
         plan = json.loads(self.tokenizer.to_str())
         steps = [x["type"] for x in (plan["normalizer"] or {}).get("normalizers", [])]
@@ -78,22 +83,29 @@ class ChunkEncoder(dict):
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join(added) or "(?!)", re.IGNORECASE).search if plain else lambda text: True
 
+    def _piece(self, piece: str) -> bytes:
+        found = self.merged.get(piece)
+        if found is None:
+            spelled = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(BYTE_CHARS)
+            found = self.merged[piece] = self.pack([t.id for t in self.merge(spelled)])
+        return found
+
     def __missing__(self, chunk: bytes) -> bytes:
-        text, out = chunk.decode(), []
-        if LATIN.fullmatch(text):
-            for piece in PIECES.findall(text.lower()):
-                ids = self.merged.get(piece)
-                if ids is None:
-                    ids = self.merged[piece] = [t.id for t in self.merge(piece.encode().decode("latin-1").translate(BYTE_CHARS))]
-                out += ids
+        text = chunk.decode()
+        if not text.isascii() and not LATIN.fullmatch(text):
+            found = self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         else:
-            out = self.tokenizer.encode(text, add_special_tokens=False).ids
-        found = self[chunk] = np.array(out, self.kind).tobytes()
+            text = text.lower()
+            found = self._piece(text) if text.isalpha() else b"".join(map(self._piece, PIECES.findall(text)))
+        self[chunk] = found
         return found
 
+    def pack(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes() if self.code else np.array(ids, self.kind).tobytes()
+
     def encode(self, text: str) -> bytes:
         if self.whole(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+            return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         for cache in (self, self.merged):
             if len(cache) > CACHED:
                 cache.clear()
@@ -103,6 +115,18 @@ class ChunkEncoder(dict):
         return b"".join(map(self.__getitem__, raw.split()))
 
 
+_encoders: dict[tuple[str, str], ChunkEncoder] = {}
+
+
+def encoder_of(name: str, kind: str) -> ChunkEncoder:
+    """A worker's encoder for a public vocabulary by its file name; what it has encoded serves the worker's later tasks, too."""
+    import public_tokenizers
+
+    if (name, kind) not in _encoders:
+        _encoders[name, kind] = ChunkEncoder(public_tokenizers.path(name), kind)
+    return _encoders[name, kind]
+
+
 def id_kind(tokenizer_path: str, end: int) -> str:
     """The smallest unsigned type for every id of the vocabulary and the end id."""
     from tokenizers import Tokenizer
@@ -130,8 +154,6 @@ def mapped(uri: str, kind: str) -> np.ndarray:
 
 def _write(folder: str, tokenizer: str, end: int, kind: str):
     def run(batches):
-        import public_tokenizers
-
         encoder, close = None, np.array([end], kind).tobytes()
         width, n, nulls, at = np.dtype(kind).itemsize, 0, 0, 0
         part = TaskContext.get().partitionId()
@@ -142,7 +164,7 @@ def _write(folder: str, tokenizer: str, end: int, kind: str):
                 if batch.num_rows == 0:
                     continue
                 if encoder is None:
-                    encoder = ChunkEncoder(public_tokenizers.path(tokenizer), kind)
+                    encoder = encoder_of(tokenizer, kind)
                     store, path = _store(f"{folder}/{name}")
                     files = [store.open_output_stream(path + x) for x in (".bin", ".off", ".doc")]
                     files[1].write(np.zeros(1, "<u8").tobytes())
