@@ -280,6 +280,38 @@ SQL |= {
     "stub_sums": f"with {CALLS} select count_if(event_id % 19 = 0) as stubbed, count_if(event_id % 19 = 0 and is_error) as broken from calls",
     "sticky_taint_stream": """with e as (select cast(user_id as varchar) as session, event_id, event_type = 'signup' and event_id % 53 = 0 as hit, row_number() over (partition by user_id order by ts, event_id) as n from events)
       select session, event_id, hit, bool_or(hit) over o as tainted, first_value(case when hit then event_id end ignore nulls) over o as first_event from e window o as (partition by session order by n rows between unbounded preceding and current row)""",
+    "session_events": """with recursive m as (
+        select cast(user_id as varchar) as session, event_id as seq, epoch_us(ts) // 1000 as ms, event_type, cast(json_extract(props, '$.k') as int) as k, value from events),
+      e as (select *, row_number() over (partition by session order by ms, seq) as n,
+        case when event_type = 'purchase' then 'turn' when event_type <> 'click' then 'tool' when k < 20 then 'compacted' when k < 40 then 'command' else 'turn_start' end as kind,
+        event_type = 'signup' and k < 3 as mail, event_type = 'error' and k % 10 = 0 as stub, case when k < 25 then 'off' when k < 30 then 'on' else 'status' end as args,
+        case when k % 11 <> 0 then value * 1000 end as tokens, k % 9 = 0 as agent, k % 13 <> 0 as answer, k % 4 = 0 as skipped from m),
+      r as (
+        select session, 0::bigint as n, null::bigint as seq, null::bigint as ms, '' as kind, '' as action, null::varchar as reason, false as tainted, true as enabled, null::double as baseline, null::bigint as due_ms,
+          null::bigint as taint_at, null::double as base, false as pending, null::bigint as base_at, false as running from e where n = 1
+        union all
+        select session, n, seq, ms, kind,
+          case kind when 'tool' then case when stub then 'deny' else 'allow' end when 'command' then args when 'turn_start' then 'none' when 'compacted' then case when agent or skipped then 'none' else 'settled' end
+            else case when why = 'threshold' then 'compact' when arms then 'nudge_armed' else 'wait' end end as action,
+          case kind when 'tool' then case when stub then 'argument_stub' end when 'command' then case when not enabled then 'builtin: switched_off' when tainted then 'rules: tainted' else 'model: ok' end
+            when 'compacted' then case when agent then 'subagent' when skipped then 'skipped' end when 'turn' then why end as reason,
+          tainted, enabled, case when judged then held end as baseline, case when arms then ms + 3300000 end as due_ms, taint_at,
+          case when settles then null when judged and reads then tokens else base end, case when settles then true when judged and reads then false else pending end, case when settles or judged and reads then ms else base_at end,
+          case when kind = 'compacted' and not agent then false when kind = 'turn' and why = 'threshold' then true else running end
+        from (select *, judged and why <> 'threshold' and tokens >= 30000 and not coalesce(held > 0 and tokens < held + 15000, false) as arms from (
+          select *, case when agent then 'subagent' when running then 'busy' when not answer then 'not_an_answer' when not enabled then 'switched_off' when tokens is null then 'no_usage' when tokens < 60000 then 'below_threshold'
+              when held > 0 and tokens < greatest(60000, held + 15000) then 'hysteresis' else 'threshold' end as why,
+            kind = 'turn' and not agent and not running and answer and enabled as judged
+          from (select *, case when reads then tokens when fresh then base end as held, kind = 'compacted' and not agent and not skipped as settles from (
+            select e.*, coalesce(case when e.ms - r.taint_at <= 2592000000 then r.taint_at end, case when e.mail then e.ms end) as taint_at, r.base, r.pending, r.base_at, r.running, coalesce(e.ms - r.base_at <= 2592000000, false) as fresh,
+              r.pending and coalesce(e.ms - r.base_at <= 2592000000, false) and e.tokens is not null as reads,
+              coalesce(e.ms - r.taint_at <= 2592000000, false) or e.mail as tainted, case when e.kind = 'command' and e.args = 'on' then true when e.kind = 'command' and e.args = 'off' then false else r.enabled end as enabled
+            from r join e on e.session = r.session and e.n = r.n + 1))))),
+      quiet as (select a.session, a.seq, a.due_ms, max(s.n) as last from r a join r s on s.session = a.session and s.ms < a.due_ms
+        where a.due_ms <= (select max(ms) from m) and not exists (select 1 from e c where c.session = a.session and c.n > a.n and c.ms < a.due_ms and (c.kind = 'turn_start' or c.kind = 'turn' and not c.agent)) group by all)
+      select session, seq, kind, action, reason, tainted, enabled, baseline, due_ms from r where n > 0
+      union all
+      select q.session, q.seq, 'nudge', 'notify', 'cache_warm', coalesce(q.due_ms - s.taint_at <= 2592000000, false), s.enabled, null, q.due_ms from quiet q join r s on s.session = q.session and s.n = q.last""",
     "turn_verdicts": """with recursive t as (select cast(user_id as varchar) as session, event_id, case when event_id % 11 <> 0 then cast(event_id * 7919 % 120000 as double) end as tokens, row_number() over (partition by user_id order by ts, event_id) as n from events),
       r as (
         select session, 0::bigint as n, null::bigint as event_id, null::double as tokens, null::double as baseline, false as pending, false as run, '' as reason from t where n = 1

@@ -16,6 +16,7 @@ from trailmill.session import cut
 from trailmill.sources import synthetic
 from trailmill.sources.calls import calls, table
 from trailmill.sources.calls import prompts as first_prompts
+from trailmill.streaming import events as session_stream
 from trailmill.streaming import state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -382,6 +383,11 @@ def sticky_taint_stream(spark, sf_dir):
     return state.sticky_taint(spark, sf_dir)
 
 
+@query
+def session_events(spark, sf_dir):
+    return session_stream.replayed(spark, sf_dir)
+
+
 @query
 def scope_grid(spark, sf_dir):
     e = F.col("event_id")
