@@ -228,7 +228,7 @@ class SessionEvents(StatefulProcessor):
         for part in rows:
             events = part.astype(object).where(part.notna(), None).to_dict("records")
             for e in events:
-                at = int(e["at_ms"])
+                at = max(int(e["at_ms"]), 1)  # no timer fires at or before 0, so earlier events share the first
                 e = {k: v for k, v in e.items() if k not in ("session", "at")}
                 here = self.waiting.getValue((at,)) if self.waiting.containsKey((at,)) else None
                 self.waiting.updateValue((at,), (json.dumps([*(json.loads(here[0]) if here else []), e]),))
@@ -242,7 +242,7 @@ class SessionEvents(StatefulProcessor):
         if self.waiting.containsKey((now,)):
             events = json.loads(self.waiting.getValue((now,))[0])
             self.waiting.removeKey((now,))
-            out += [(key[0], e["seq"], *handle(memory, e, self.rules)) for e in sorted(events, key=lambda e: e["seq"])]
+            out += [(key[0], e["seq"], *handle(memory, e, self.rules)) for e in sorted(events, key=lambda e: (e["at_ms"], e["seq"]))]
         for name in ("taint", "baseline"):
             value = self._get(name)
             if value is not None and now - value[-1] > self.rules.keep_ms:
