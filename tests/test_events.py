@@ -72,7 +72,7 @@ def test_stream_out_of_order_equals_a_plain_replay(spark):
 
 def test_taint_and_baseline_expire_over_two_batches(spark):
     rules = ev.Rules()
-    first = [event("s", 1, 0, "tool", tool="mcp__mail"), event("s", 2, 1000, "tool", tool="Read"), event("s", 3, 2000, "compacted"), event("s", 4, 3000, "turn", tokens=50_000.0)]
+    first = [event("s", 1, 1, "tool", tool="mcp__mail"), event("s", 2, 1000, "tool", tool="Read"), event("s", 3, 2000, "compacted"), event("s", 4, 3000, "turn", tokens=50_000.0)]
     second = [event("s", 5, 29 * DAY, "turn", tokens=61_000.0), event("s", 6, 31 * DAY, "turn", tokens=61_000.0), event("s", 7, 31 * DAY + 1, "command", args=""), event("t", 8, 90 * DAY, "turn_start")]
     found = {r[1]: r[2:] for r in run_stream(spark, [first, second], rules)}
     assert found[2][3] is True and found[5][:4] == ("turn", "wait", "hysteresis", True) and found[5][5] == 50_000.0

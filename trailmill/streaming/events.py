@@ -3,7 +3,8 @@
 Events of a session come in any order within a micro-batch, so they wait in a state map under
 their millisecond, with an event-time timer each, and are handled when the watermark passes
 them: timers fire in order of time, one millisecond's events at a time, and no task holds a
-session's events together.  Events behind the watermark are left out, as Spark does.
+session's events together.  Events behind the watermark are left out, as Spark does
+(its first watermark is the epoch).
 
 Between events a session is four values: its taint (count, first tool, when), its baseline
 (tokens after the last compaction, or that they are still to be read, and when), its switch,
