@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from trailmill.functions import fixed
 from trailmill.functions.text import CONDENSED, fact_tokens, matches, reproducible
-from trailmill.operators import budget
+from trailmill.operators import budget, search
 from trailmill.operators import transcripts as ts
 from trailmill.operators.transcripts import Transcript
 from trailmill.session import cut, discard
@@ -180,9 +180,8 @@ def last_texts(text: str, tool_use_id: str) -> tuple[str, str]:
 
 
 def _spread(rows: DataFrame) -> DataFrame:
-    """Rows dealt to all cores: Spark sizes partitions by bytes, but these cost Python time per row."""
-    spark = rows.sparkSession
-    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    """Rows dealt to all cores."""
+    return rows.repartition(search.spread(rows.sparkSession))
 
 
 def _shortened(rows: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmill.functions import fixed
@@ -24,6 +24,11 @@ from trailmill.functions import fixed
 BLOCK, SLICE = 100_000, 32 << 20
 
 
+def spread(spark: SparkSession) -> int:
+    """Partitions for work that costs time per row: Spark would size them by bytes alone."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def automaton_of(tokens):
     """An automaton whose matches give (last place, number of the token), or nothing for no tokens."""
     import ahocorasick
@@ -92,7 +97,7 @@ def last_places(wanted: DataFrame, texts: DataFrame, apart: bool = False) -> Dat
     patterns = wanted.join(sizes, "session").select("session", dealt("token", "blocks").alias("block"), every("slices").alias("slice"), "token", none.alias("text"), F.lit(0).cast("long").alias("at"))
     passed = texts.join(sizes, "session").select("session", dealt("text", "slices").alias("slice"), every("blocks").alias("block"), none.alias("token"), "text", F.col("at").cast("long").alias("at"))
     both = patterns.unionByName(passed).withColumn("key", F.concat_ws("#", "block", "slice", "session"))
-    found = both.repartition("key").sortWithinPartitions("key", F.col("token").isNull()).select("key", "session", "token", "text", "at").mapInArrow(_passes(apart), "session string, token string, last long")
+    found = both.repartition(spread(wanted.sparkSession), "key").sortWithinPartitions("key", F.col("token").isNull()).select("key", "session", "token", "text", "at").mapInArrow(_passes(apart), "session string, token string, last long")
     return found.groupBy("session", "token").agg(F.max("last").alias("last"))
 
 

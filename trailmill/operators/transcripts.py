@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmill.functions.text import fact_tokens, is_condensed, token_estimate
-from trailmill.operators.search import last_places, with_values
+from trailmill.operators.search import last_places, spread, with_values
+from trailmill.session import cut
 
 
 class Transcript(NamedTuple):
@@ -94,9 +95,21 @@ def written(t: Transcript) -> DataFrame:
     return spoken.select("session", "msg_idx", F.concat_ws("\n", "text", "inputs").alias("text"))
 
 
-def facts(t: Transcript) -> DataFrame:
-    """session, token, source, introduced and used (one row per later message that writes it)."""
-    seen = t.results.select("session", F.struct("msg_idx", "res_idx", "tool_use_id").alias("at"), F.explode(fact_tokens("text")).alias("token"))
+KEYS = ["session", "tool_use_id", "msg_idx", "res_idx"]
+
+
+def result_tokens(t: Transcript) -> DataFrame:
+    """The candidate tokens of each result: `KEYS` and tokens."""
+    return t.results.select(*KEYS, fact_tokens("text").alias("tokens"))
+
+
+def facts(t: Transcript, tokens: DataFrame | None = None) -> DataFrame:
+    """session, token, source, introduced and used (one row per later message that writes it).
+
+    `tokens` is `result_tokens`, where it is written already.
+    """
+    tokens = result_tokens(t) if tokens is None else tokens
+    seen = tokens.select("session", F.struct("msg_idx", "res_idx", "tool_use_id").alias("at"), F.explode("tokens").alias("token"))
     first = seen.groupBy("session", "token").agg(F.min("at").alias("at")).select("session", "token", F.col("at.tool_use_id").alias("source"), F.col("at.msg_idx").alias("introduced"))
     wrote = written(t).select("session", F.col("msg_idx").alias("used"), F.explode(fact_tokens("text")).alias("token"))
     return first.join(wrote, ["session", "token"]).where("introduced < used")
@@ -154,15 +167,14 @@ def valued_results(t: Transcript) -> DataFrame:
     Texts are not copied per token: a result's features come from one pass over its text,
     and only tokens travel to find those that the agent has reused.
     """
-    keys = ["session", "tool_use_id", "msg_idx", "res_idx"]
-    spark = t.results.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    results = t.results.repartition(parts, *keys).withColumn("tokens", fact_tokens("text"))  # the joins below keep this partitioning
-    found = t.results.select(*keys, F.explode(fact_tokens("text")).alias("token"))
-    again = found.join(facts(t).select("session", "token").distinct(), ["session", "token"])
-    again = again.groupBy(*keys).agg(F.collect_set("token").alias("reused"))
-    rows = results.join(contexts(t), keys).join(again, keys, "left")
-    return with_values(rows, [*keys, "text", "is_error"])
+    tokens = cut(result_tokens(t), "tokens")
+    parts = spread(t.results.sparkSession)
+    results = t.results.repartition(parts, *KEYS)  # the joins below keep this partitioning
+    found = tokens.select(*KEYS, F.explode("tokens").alias("token"))
+    again = found.join(facts(t, tokens).select("session", "token").distinct(), ["session", "token"])
+    again = again.groupBy(*KEYS).agg(F.collect_set("token").alias("reused"))
+    rows = results.join(tokens, KEYS).join(contexts(t), KEYS).join(again, KEYS, "left")
+    return with_values(rows, [*KEYS, "text", "is_error"])
 
 
 def session_chars(t: Transcript) -> DataFrame:
