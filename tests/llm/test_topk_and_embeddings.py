@@ -144,3 +144,9 @@ def test_embedding_edges(spark):
     alone = [(i, 0, i, True) for i in (9, 10, 11, 12, 13, 14)]
     assert got == sorted([(5, 2, 3, False), (3, 2, 3, True), (3, 2, 3, True), (None, 0, None, False), *alone], key=str)
     assert embedding_components(table(spark, [])).count() == 0
+
+
+def test_embeddings_of_extreme_size(spark):
+    rows = [(1, [1e-200, 0.0]), (2, [3e-200, 1e-210]), (3, [1e200, 0.0]), (4, [1e200, 1e190]), (5, [0.0, 5e-324]), (6, [0.0, 1e300]), (7, [-1e-200, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5), 7: (0, 7)}

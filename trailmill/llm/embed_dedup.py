@@ -97,6 +97,8 @@ class Tables:
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    """Rows over their norms; first over their largest component, as squares of very small or large ones are 0 or infinite."""
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
