@@ -103,6 +103,30 @@ def test_chat_export(spark):
     assert [r.text for r in t["system"].collect()] == ["rules"]
 
 
+def test_a_folder_of_all_kinds(spark, tmp_path):
+    native = [{"role": "user", "text": "a native one says \"content\": x"}, {"role": "assistant", "text": "", "toolUses": [{"tool_use_id": "n", "tool": "X", "input": {"z": 1}}]}, {"role": "user", "toolResults": [{"tool_use_id": "n", "text": "out"}]}]
+    chat = [{"role": "user", "content": "a chat"}, {"role": "assistant", "tool_calls": [{"id": "c", "function": {"name": "X", "arguments": "{}"}}]}, {"role": "tool", "tool_call_id": "c", "content": "out"}]
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "native.json").write_text(json.dumps(native))
+    (tmp_path / "deep" / "chat.json").write_text(json.dumps({"messages": chat}))
+    (tmp_path / "s.jsonl").write_text("\n".join(["not json", *LOG]))
+    t = logs.read_transcripts(spark, str(tmp_path))
+    counts = {r.session.rsplit("/", 1)[-1]: r["count"] for r in t.messages.groupBy("session").count().collect()}
+    assert counts == {"native": 3, "chat": 3, "s.jsonl": 4}
+    assert {"n", "c"} < {r.tool_use_id for r in t.uses.collect()} and {r.text for r in t.results.where("tool_use_id in ('n', 'c')").collect()} == {"out"}
+    (tmp_path / "deep" / "bad.json").write_text('[{"role": "user"')
+    with pytest.raises(Exception):
+        logs.read_transcripts(spark, str(tmp_path)).messages.collect()
+
+
+def test_latest_decision_is_the_last_line(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = [(86_400_500, "s", "first", []), (86_400_900, "s", "second", []), (86_400_100, "s", "last", [])]
+    logs.append_decisions(spark.createDataFrame(rows, logs.DECISION).coalesce(1), path)
+    assert logs.latest_decision(logs.decision_log(spark, path)).first().outcome == "last"
+    assert [r.outcome for r in logs.decision_log(spark, path).orderBy("line").collect()] == ["first", "second", "last"]
+
+
 def test_decision_log_and_answers(spark, tmp_path):
     rows = [
         (86_400_000, "s", "ok", [({"call_t1": 0.2, "result_t1": 0.7, "call_t2": 0.1}, [["t1", "a"], ["t2", "b"]])]),

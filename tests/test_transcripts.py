@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trailmill.functions import fixed
 from trailmill.functions import text as tx
-from trailmill.operators import budget, compaction, evaluation, prompts, sessions, stores
+from trailmill.operators import budget, compaction, evaluation, prompts, runs, sessions, stores
 from trailmill.operators import transcripts as ts
 from trailmill.sources import synthetic
 
@@ -367,3 +367,53 @@ def test_nudges_wait_for_quiet_and_state_expires():
     assert first[["kind", "event_id"]].values.tolist() == [["nudge", 9]] and s.timer == 55_000
     second = pd.concat(run(("a",), iter([]), s))
     assert second["kind"].tolist() == ["expired"] and not s.exists
+
+
+def test_next_fit_against_a_plain_loop(spark):
+    import random
+
+    rng, rows, expected = random.Random(8), [], {}
+    for g in range(12):
+        room, used, request = rng.choice([10, 50, 1000]), 0, 0
+        for place in range(rng.choice([1, 2, 40, 120])):
+            cost = rng.choice([1, 3, 9, 10, 11, 30])
+            rows.append((f"s{g % 4}", f"g{g}", place, f"{g}-{place}", cost, room))
+            if cost > room:
+                expected[f"{g}-{place}"] = None
+                continue
+            if used and used + cost > room:
+                request, used = request + 1, 0
+            used += cost
+            expected[f"{g}-{place}"] = request
+    rng.shuffle(rows)
+    found = prompts.next_fit(spark.createDataFrame(rows, "session string, group string, place int, id string, cost long, room long"))
+    assert {r.id: r.request for r in found.collect()} == expected and max(x or 0 for x in expected.values()) > 20
+    assert prompts.next_fit(found.drop("request").limit(0)).count() == 0
+
+
+def test_a_hung_judge_costs_one_deadline(spark):
+    import time
+
+    rows = [(s, "all", k, f"{s}-{k}", json.dumps({f"call_t{k}": "?"})) for s in ("fine", "hung", "late") for k in range(3)]
+
+    def judge(state, asked):
+        time.sleep(60 if state == "hung-1" else 5 if state == "late-2" else 0)
+        return dict.fromkeys(asked, 0.5)
+
+    began = time.monotonic()
+    found = {(r.session, r.request): (r.p, r.error) for r in runs.ask(spark.createDataFrame(rows, "session string, group string, request long, state string, questions string"), judge, deadline=2.0, at_once=2).collect()}
+    assert time.monotonic() - began < 25
+    assert all(found["fine", k] == (0.5, None) and found["hung", k] == found["late", k] == (None, "deadline") for k in range(3))
+
+
+def test_a_truncated_mark_is_final(spark):
+    body = "x" * 300 + "\n[condensed: truncated 9000 chars of this tool result; run the tool again if needed]\n" + "y 12345678 " * 800
+    t = transcript(spark, [("s", "user", "go", [], []), ("s", "assistant", "", [("a", "Bash", "{}")], []), ("s", "user", "", [], [("a", body, False)]), *[("s", "assistant", "t", [], [])] * 7])
+    done = compaction.compact(t, target=0.9, hard=0.0)
+    assert [r.text for r in done.transcript.results.collect()] == [body]
+
+
+def test_equal_cuts_of_two_fractions_are_both_reported(spark):
+    t = transcript(spark, [("s", "user", f"m{k}", [], []) for k in range(4)])
+    assert [(r.cut, r.times) for r in ts.cuts(t, (0.5, 0.55, 0.75)).orderBy("cut").collect()] == [(2, 2), (3, 1)]
+    assert evaluation.totals(evaluation.evaluate(t, fractions=(0.5, 0.55, 0.75))).first().cuts == 3

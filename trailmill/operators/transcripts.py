@@ -116,10 +116,11 @@ def facts(t: Transcript, tokens: DataFrame | None = None) -> DataFrame:
 
 
 def cuts(t: Transcript, fractions=(0.5, 0.75)) -> DataFrame:
-    """session, messages, cut: the valid cut positions."""
+    """session, messages, cut, times: the valid cut positions, and how many of the fractions come to each."""
     total = t.messages.groupBy("session").agg(F.count("*").alias("messages"))
-    at = F.explode(F.array_distinct(F.array(*[F.round(F.col("messages") * F.lit(float(f))).cast("long") for f in fractions])))
-    return total.select("session", "messages", at.alias("cut")).where("cut >= 2 and cut < messages")
+    at = F.explode(F.array(*[F.round(F.col("messages") * F.lit(float(f))).cast("long") for f in fractions]))
+    each = total.select("session", "messages", at.alias("cut")).where("cut >= 2 and cut < messages")
+    return each.groupBy("session", "messages", "cut").agg(F.count("*").cast("int").alias("times"))
 
 
 def facts_at_stake(t: Transcript, valid: DataFrame) -> DataFrame:

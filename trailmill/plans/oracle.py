@@ -112,7 +112,7 @@ SQL: dict[str, str] = {
     "facts_at_cut": f"with {LABELS} select v.session, cast(v.cut as bigint) as cut, count(distinct f.token) as at_stake from valid v join facts f on f.session = v.session and f.introduced < v.cut and f.used >= v.cut group by v.session, v.cut",
     "hindsight_labels": f"with {LABELS} select session, cast(cut as bigint) as cut, tool_use_id, keep_result, keep_call from labels",
     "call_pairs": f"with {CALLS}, {SIZES} select c.session, concat('t', cast(row_number() over (partition by c.session order by c.k) as varchar)) as id, c.tool_use_id, c.tool, cast(2 * c.k - 1 as bigint) as call_index, cast(2 * c.k as bigint) as result_index, cast(length(c.result_text) as bigint) as result_chars, c.is_error, 2 * c.k + 6 >= s.messages as pinned from calls c join sizes s on s.session = c.session",
-    "candidates": f"with {JUDGED} select session, tool_use_id from judged where not pinned and not reduced and keep_result < 0.9",
+    "candidates": f"with {JUDGED} select session, tool_use_id from judged where not pinned and keep_result < 0.9",
     "token_estimate": f"select doc_id, {estimate('text')} as tokens from documents",
     "token_estimate_by_session": f"with {CALLS} select session, cast(sum({estimate('input_json')} + {estimate('result_text')}) as bigint) as tokens, cast(sum(length(input_json) + length(result_text)) as bigint) as chars from calls group by session",
     "fact_score_hist": f"with {CALLS}, lines as (select unnest(string_split(result_text, chr(10))) as line from calls) select cast({score('line')} as int) as score, count(*) as lines from lines group by 1",
@@ -124,16 +124,18 @@ SQL: dict[str, str] = {
       r as (select c.session, c.tool_use_id, c.input_json, c.result_text as x, p.text as prompt, row_number() over (partition by c.session order by c.k desc) as distance from calls c join prompts p on p.session = c.session),
       t as (select *, unnest({tokens('x')}) as token from r), f as (select t.*, u.token is not null as again from t left join reused u on u.session = t.session and u.token = t.token)
       select session, tool_use_id, token, round(1 / (1 + exp(-({VALUE}))), 6) as p from f""",
-    "goal_prompts": """with p as (select conv_id, turn, substr(text, 1, 500) as text, row_number() over (partition by conv_id order by turn desc) as n from conversations where role = 'user' and trim(text) <> '')
-      select conv_id, string_agg(text, chr(10) order by turn) as goal from p where n <= 3 group by conv_id""",
+    "goal_prompts": """with p as (select conv_id, turn, substr(text, 1, 500) as text, row_number() over (partition by conv_id order by turn desc) as n from conversations where role = 'user' and trim(text) <> ''),
+      g as (select conv_id, string_agg(text, chr(10) order by turn) as goal from p where n <= 3 group by conv_id)
+      select distinct c.conv_id, coalesce(goal, '') as goal from conversations c left join g using (conv_id)""",
     "observation_reads": f"with {CALLS} select session, tool_use_id, {has('result_text', fixed.OBSERVATION, True)} as observed from calls where tool in ('Read', 'Grep')",
     "abridged_texts": "select doc_id, case when length(text) <= 590 then text else concat(left(text, 400), chr(10), '[… ', cast(length(text) - 550 as varchar), ' chars omitted …]', chr(10), right(text, 150)) end as short from documents",
     "truncated_inputs": f"with {CALLS} select tool_use_id, case when length(input_json) <= 40 then input_json else concat(left(input_json, 39), '…') end as shown from calls",
     "judged_decisions": f"with {JUDGED} select session, tool_use_id, {DECISION} as reason, case when {DECISION} in ('pinned', 'kept') then 'keep' when {DECISION} = 'call_dropped' then 'drop_call' else 'drop_result' end as action from judged",
-    "rules_decisions": f"with {JUDGED} select session, case when pinned then 'pinned' when reduced then 'reduced' else 'rules' end as reason, count(*) as calls from judged group by 1, 2",
-    "erase_baseline": f"""with {JUDGED}, d as (select *, {DECISION} as reason from judged)
-      select session, cast(sum(input_chars + result_chars) as bigint) as chars_before,
-        cast(sum(case reason when 'call_dropped' then 0 when 'pinned' then input_chars + result_chars when 'kept' then input_chars + result_chars else input_chars + least(result_chars, 200) end) as bigint) as chars_after from d group by session""",
+    "rules_decisions": f"with {JUDGED} select session, case when pinned then 'pinned' else 'rules' end as reason, count(*) as calls from judged group by 1, 2",
+    "erase_baseline": f"""with {JUDGED}, {PROMPTS}, d as (select *, case when pinned or keep_result >= 0.5 then 'keep' when keep_call >= 0.5 then 'drop_result' else 'drop_call' end as action from judged),
+      e as (select session, input_chars + result_chars as n, case action when 'keep' then input_chars + result_chars when 'drop_call' then 0 else input_chars + case when result_chars > 420
+        then 300 + length(concat('x[condensed: truncated ', cast(result_chars - 300 as varchar), ' chars of this tool result; run the tool again if needed]')) else result_chars end end as left_over from d)
+      select session, cast(sum(n) + any_value(length(p.text)) as bigint) as chars_before, cast(sum(left_over) + any_value(length(p.text)) as bigint) as chars_after from e join prompts p using (session) group by session""",
     "session_taint": f"""with {CALLS}, hit as (select session, tool_use_id, k from calls where tool = 'Grep' and event_id % 53 = 0)
       select session, count(*) as hits, arg_min(tool_use_id, k) as first_call from hit group by session""",
     "sticky_taint": f"with {CALLS} select session, k, bool_or(tool = 'Grep' and event_id % 53 = 0) over (partition by session order by k) as tainted from calls",
@@ -157,19 +159,31 @@ SQL: dict[str, str] = {
       union all select 'labels', concat(split, '/hindsight'), count(*) from records group by 1, 2
       union all select 'transcripts', s.split, count(distinct r.session) from (values ('train'), ('dev')) s(split) left join records r on r.split = s.split group by 1, 2""",
     "stub_ranking": f"with {CALLS} select session, count_if(event_id % 19 = 0) as stubbed, count_if(event_id % 19 = 0 and is_error) as broken from calls group by session order by broken desc, stubbed desc, session limit 12",
-    "answers_capped": """with a as (select user_id, event_id % 40 as item, event_id, row_number() over (partition by user_id, event_id % 40 order by event_id desc) as newest from events),
-      b as (select *, row_number() over (partition by user_id order by event_id desc) as place from a where newest = 1) select user_id, cast(item as bigint) as item, event_id from b where place <= 20""",
-    "latest_decision": "select user_id, arg_max(event_type, event_id) as event_type, max(event_id) as event_id from events group by user_id",
-    "keep_refs": f"""with {JUDGED} select session, k, case when {DECISION} in ('pinned', 'kept') then concat('{{"keep":', cast(2 * k as varchar), '}}') else concat('{{"id":"', tool_use_id, '","chars":', cast(result_chars as varchar), '}}') end as ref from judged""",
+    "answers_capped": """with a as (select user_id, event_id % 40 as item, max(event_id) as event_id from events group by 1, 2),
+      b as (select *, row_number() over (partition by user_id order by event_id desc) as place from a) select user_id, cast(item as bigint) as item, event_id from b where place <= 20""",
+    "latest_decision": "select cast(user_id as varchar) as session, event_type as outcome, epoch_us(ts) // 1000 as ts_ms, strftime(ts, '%Y-%m-%d') as day from events order by ts desc limit 1",
+    "keep_refs": f"""with {JUDGED}, d as (select *, not pinned and keep_result < 0.5 and keep_call >= 0.5 and result_chars > 100 as short from judged)
+      select distinct session, 0::bigint as msg_idx, 0::bigint as keep, null::varchar as tool_use_id, null::bigint as chars from d
+      union all select session, 2 * k - 1, 2 * k - 1, null, null from d
+      union all select session, 2 * k, case when not short then 2 * k end, case when short then tool_use_id end, case when short then 100 end from d""",
     "sanitised_names": "with n as (select page_id, regexp_replace(left(url, 200), '[^A-Za-z0-9_.-]', '_', 'g') as x from pages) select page_id, case when x = '' then '_' else regexp_replace(x, '^[.]', '_') end as name from n",
     "utc_day_files": "select event_id, concat(strftime(ts, '%Y-%m-%d'), '.jsonl') as file from events",
-    "sampled_sessions": f"with {CALLS}, s as (select session, count(*) as n from calls group by session) select session, sha256(concat('seed0', session)) as place from s where n >= 15 order by 2 limit 40",
+    "sampled_sessions": f"""with {CALLS}, s as (select session, count(*) as n from calls group by session)
+      select session, concat('cc-', left(sha256(session), 12)) as name, sha256(unhex('0000000000000000') || encode(session)) as place from s where n >= 15 order by place limit 40""",
     "gate_check": f"""with {JUDGED}, d as (select *, {DECISION} as reason from judged), t as (select cast(sum(input_chars + result_chars) as double) as before, cast(sum(case when reason in ('pinned', 'kept') then input_chars + result_chars else input_chars + least(result_chars, 200) end) as double) as after,
         count(*) as n, count_if(reason in ('pinned', 'kept')) as whole, count_if(reason <> 'call_dropped') as known from d),
       f as (select known / n as rate, whole / n as rate_erase, (before - after) / before as reduction from t),
       c as (select 'fact_rate' as name, rate as x, 0.7::double - 0.005::double as least from f union all select 'reduction', reduction, 0.3::double - 0.005::double from f union all select 'erase_rule', rate, rate_erase from f)
       select name as "check", round(x, 9) as figure, round(least, 9) as at_least, x >= least as pass from c""",
-    "tier_fact_loss": f"with {CALLS} select tool_use_id, cast(len(list_filter({tokens('result_text')}, lambda t: not list_contains({tokens('left(result_text, 200)')}, t))) as bigint) as lost from calls where event_id % 10 = 0".replace(" where event_id % 10 = 0", ""),
+    "tier_fact_loss": f"""with {CALLS}, v as (select tool_use_id, result_text as t, case when length(result_text) <= 590 then result_text
+        else concat(left(result_text, 400), chr(10), '[… ', cast(length(result_text) - 550 as varchar), ' chars omitted …]', chr(10), right(result_text, 150)) end as short from calls),
+      n as (select tool_use_id, list_distinct(regexp_extract_all(t, {quoted('(?i)' + fixed.FACT_TOKEN)})) as a, regexp_extract_all(short, {quoted('(?i)' + fixed.FACT_TOKEN)}) as b from v)
+      select tool_use_id, cast(len(list_filter(a, lambda x: not list_contains(b, x))) as bigint) as lost from n""",
+    "next_fit_batches": f"""with recursive {CALLS}, c as (select session, k, tool_use_id, {estimate('input_json')} as cost from calls),
+      f as (select *, row_number() over (partition by session order by k) as n from c where cost <= 60),
+      r as (select session, n, k, cost as used, 0::bigint as request from f where n = 1
+        union all select f.session, f.n, f.k, case when r.used + f.cost > 60 then f.cost else r.used + f.cost end, r.request + case when r.used + f.cost > 60 then 1 else 0 end from r join f on f.session = r.session and f.n = r.n + 1)
+      select c.session, c.tool_use_id, r.request from c left join r on r.session = c.session and r.k = c.k""",
     "scope_grid": """with g as (select event_id as id, case when event_id % 5 = 0 then '' when event_id % 5 = 1 then 'agent' end as agent, case when event_id % 3 = 0 then 'precompute' else 'auto' end as trigger, case when event_id % 2 = 0 then 'answer' else 'tool' end as reason from events)
       select id, case when coalesce(agent, '') <> '' then 'subagent' when trigger = 'precompute' then 'precompute' else 'main' end as scope, coalesce(agent, '') = '' and reason = 'answer' as may_trigger from g""",
     "expired_keys": """with k as (select user_id, concat(case when event_id % 2 = 0 then 'taint:' when event_id % 3 = 0 then 'baseline:' else 'other:' end, cast(event_id as varchar)) as key, case when event_id % 13 = 0 then null else event_id * 1000 end as seen_at from events)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,11 +10,11 @@ from pyspark.sql import functions as F
 
 from trailmill.functions import fixed, policy
 from trailmill.functions import text as tx
-from trailmill.operators import compaction, evaluation, prompts, sessions, stores
+from trailmill.operators import compaction, evaluation, prompts, runs, sessions, stores
 from trailmill.operators import transcripts as ts
 from trailmill.plans.oracle import SQL
-from trailmill.session import cut
-from trailmill.sources import synthetic
+from trailmill.session import cut, shared_dir
+from trailmill.sources import logs, synthetic
 from trailmill.sources.calls import calls, table
 from trailmill.sources.calls import prompts as first_prompts
 from trailmill.streaming import events as session_stream
@@ -42,16 +43,22 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     }).withColumn("reason", sessions.decision_reason())
 
 
+def stand_in_answers(t: ts.Transcript) -> DataFrame:
+    """Answers for every call: bytes of the id's hash as probabilities."""
+    h = F.md5(F.col("tool_use_id").cast("binary"))
+    byte = lambda at: F.conv(F.substring(h, at, 2), 16, 10).cast("long") / F.lit(255.0)
+    return t.uses.select("session", "tool_use_id", byte(3).alias("keep_call"), byte(1).alias("keep_result"))
+
+
 @query
 def facts_reused(spark, sf_dir):
-    return sessions.facts(calls(spark, sf_dir)).select("session", "token", "introduced", "used")
+    return ts.facts(ts.from_calls(calls(spark, sf_dir), first_prompts(spark, sf_dir))).select("session", "token", "introduced", "used")
 
 
 @query
 def facts_at_cut(spark, sf_dir):
-    c = calls(spark, sf_dir)
-    found = sessions.facts(c).join(sessions.cuts(c), "session").where("introduced < cut and used >= cut")
-    return found.groupBy("session", "cut").agg(F.countDistinct("token").alias("at_stake"))
+    t = transcript(spark, sf_dir)
+    return ts.facts_at_stake(t, ts.cuts(t)).groupBy("session", "cut").agg(F.countDistinct("token").alias("at_stake"))
 
 
 @query
@@ -61,12 +68,14 @@ def hindsight_labels(spark, sf_dir):
 
 @query
 def call_pairs(spark, sf_dir):
-    return sessions.paired(calls(spark, sf_dir)).select("session", "id", "tool_use_id", "tool", "call_index", "result_index", "result_chars", "is_error", "pinned")
+    return ts.tool_calls(transcript(spark, sf_dir)).select("session", "id", "tool_use_id", "tool", "call_index", "result_index", "result_chars", "is_error", "pinned")
 
 
 @query
 def candidates(spark, sf_dir):
-    return judged(spark, sf_dir).where("not pinned and not reduced and keep_result < 0.9").select("session", "tool_use_id")
+    """What a judge is asked about, where calls with a high stand-in answer have been answered before."""
+    t = transcript(spark, sf_dir)
+    return runs.open_calls(ts.tool_calls(t), ts.reduced_calls(t), stand_in_answers(t).where("keep_result >= 0.9")).select("session", "tool_use_id")
 
 
 @query
@@ -102,10 +111,9 @@ def value_contexts(spark, sf_dir):
 
 @query
 def goal_prompts(spark, sf_dir):
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
-    asked = table(spark, sf_dir, "conversations").where("role = 'user' and trim(text) <> ''").withColumn("n", place).where("n <= 3")
-    parts = F.array_sort(F.collect_list(F.struct("turn", F.left("text", F.lit(500)).alias("text"))))
-    return asked.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x.text), "\n").alias("goal"))
+    said = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("msg_idx"), "role", "text")
+    none = said.select("session", "msg_idx").limit(0)
+    return prompts.goals(ts.Transcript(said, none, none)).select(F.col("session").cast("long").alias("conv_id"), "goal")
 
 
 @query
@@ -131,15 +139,15 @@ def judged_decisions(spark, sf_dir):
 
 @query
 def rules_decisions(spark, sf_dir):
-    reason = F.when(F.col("pinned"), "pinned").when(F.col("reduced"), "reduced").otherwise("rules")
-    return judged(spark, sf_dir).groupBy("session", reason.alias("reason")).agg(F.count("*").alias("calls"))
+    return compaction.decided(transcript(spark, sf_dir)).groupBy("session", "reason").agg(F.count("*").alias("calls"))
 
 
 @query
 def erase_baseline(spark, sf_dir):
-    both = F.col("input_chars") + F.col("result_chars")
-    left = F.when(F.col("reason") == "call_dropped", 0).when(F.col("reason").isin("pinned", "kept"), both).otherwise(F.col("input_chars") + F.least("result_chars", F.lit(200)))
-    return judged(spark, sf_dir).groupBy("session").agg(F.sum(both).cast("long").alias("chars_before"), F.sum(left).cast("long").alias("chars_after"))
+    t = transcript(spark, sf_dir)
+    short = compaction.erased(t, compaction.decided(t, stand_in_answers(t)))
+    after = ts.session_chars(short).withColumnRenamed("chars", "chars_after")
+    return ts.session_chars(t).withColumnRenamed("chars", "chars_before").join(after, "session")
 
 
 #: Which calls taint a session.
@@ -177,17 +185,10 @@ def nudge_grid(spark, sf_dir):
 def pressure_grid(spark, sf_dir):
     key = F.col("c_custkey")
     g = table(spark, sf_dir, "customer").select(
-        key.alias("id"), F.when(key % 9 != 0, (key * 1013 % 240000).cast("double")).alias("tokens"), (key * 577 % 150000).cast("double").alias("line"), (key * 733 % 160000).alias("est")
-    )
-    ok = F.coalesce(F.expr("tokens > 0 and line > 0 and est > 0"), F.lit(False))
-    need = lambda line: 1 - (line - F.greatest(F.col("tokens") - F.col("est"), F.lit(0.0))) / F.col("est")
-    clamp = lambda x, low: F.least(F.greatest(x, F.lit(low)), F.lit(0.9))
-    g = g.withColumn("ok", ok).withColumn("est", F.when(F.col("ok"), F.col("est")))
-    hard = clamp(need(F.col("line")), 0.0)
-    return g.select(
-        "id", F.round(F.when(F.col("ok"), clamp(need(F.col("line") * 5 / 6), 0.05)).otherwise(0.3), 9).alias("target"),
-        F.round(F.when(F.col("ok"), hard).otherwise(0.3), 9).alias("hard"), F.round(F.when(F.col("ok"), hard).otherwise(0.25), 9).alias("gate"),
+        key.cast("string").alias("session"), F.when(key % 9 != 0, (key * 1013 % 240000).cast("double")).alias("context_tokens"), (key * 577 % 150000).cast("double").alias("trigger_tokens"), (key * 733 % 160000).alias("tokens")
     )
+    found = runs.pressure(g.drop("tokens"), g.select("session", "tokens"))
+    return found.select(F.col("session").cast("long").alias("id"), *[F.round(c, 9).alias(c) for c in ("target", "hard", "gate")])
 
 
 @query
@@ -239,21 +240,34 @@ def stub_ranking(spark, sf_dir):
 
 @query
 def answers_capped(spark, sf_dir):
-    latest = table(spark, sf_dir, "events").groupBy("user_id", (F.col("event_id") % 40).alias("item")).agg(F.max("event_id").alias("event_id"))
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("event_id")))
-    return latest.withColumn("place", place).where("place <= 20").select("user_id", "item", "event_id")
+    """Stored events as remembered answers: clicks are the old ones, the rest is new."""
+    answers = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), (F.col("event_id") % 40).alias("tool_use_id"), F.col("event_id").alias("seq"), "event_type")
+    old, new = answers.where("event_type = 'click'").drop("event_type"), answers.where("event_type <> 'click'").drop("event_type")
+    return stores.merged_answers(old, new, 20).select(F.col("session").alias("user_id"), F.col("tool_use_id").alias("item"), F.col("seq").alias("event_id"))
 
 
 @query
 def latest_decision(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"), F.max("event_id").alias("event_id"))
+    """The stored events as a decision log, written in order of time, and its last line."""
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").select(
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.col("user_id").cast("string").alias("session"), F.col("event_type").alias("outcome"),
+        F.array().cast("array<struct<answers:map<string,double>,calls:array<array<string>>>>").alias("requests"),
+    )
+    logs.append_decisions(events.orderBy("ts_ms").coalesce(1), path)
+    return logs.latest_decision(logs.decision_log(spark, path)).select("session", "outcome", "ts_ms", F.col("day").cast("string").alias("day"))
 
 
 @query
 def keep_refs(spark, sf_dir):
-    kept = F.to_json(F.struct((2 * F.col("k")).alias("keep")))
-    full = F.to_json(F.struct(F.col("tool_use_id").alias("id"), F.col("result_chars").alias("chars")))
-    return judged(spark, sf_dir).select("session", "k", F.when(F.col("reason").isin("pinned", "kept"), kept).otherwise(full).alias("ref"))
+    """Which messages of a compacted transcript are referred to, and which calls' results are given anew."""
+    t = transcript(spark, sf_dir)
+    dropped = compaction.decided(t, stand_in_answers(t)).where("action = 'drop_result'").select("session", "tool_use_id")
+    short = t.results.join(dropped, ["session", "tool_use_id"]).select("session", "tool_use_id", F.left("text", F.lit(100)).alias("text"))
+    field = lambda path: F.get_json_object("entry", path)
+    return compaction.keep_list(compaction.rebuilt(t, short)).select(
+        "session", "msg_idx", field("$.keep").cast("long").alias("keep"), field("$.results[0].tool_use_id").alias("tool_use_id"), F.length(field("$.results[0].text")).cast("long").alias("chars")
+    )
 
 
 @query
@@ -268,8 +282,7 @@ def utc_day_files(spark, sf_dir):
 
 @query
 def sampled_sessions(spark, sf_dir):
-    long = calls(spark, sf_dir).groupBy("session").agg(F.count("*").alias("n")).where("n >= 15")
-    return long.select("session", F.sha2(F.concat(F.lit("seed0"), "session"), 256).alias("place")).orderBy("place").limit(40)
+    return logs.sampled(ts.from_calls(calls(spark, sf_dir), first_prompts(spark, sf_dir)))
 
 
 @query
@@ -285,7 +298,8 @@ def gate_check(spark, sf_dir):
 
 @query
 def tier_fact_loss(spark, sf_dir):
-    lost = F.array_except(tx.fact_tokens("result_text"), tx.fact_tokens(F.left("result_text", F.lit(200))))
+    """Named values of each whole result that its abridged text no longer names."""
+    lost = F.array_except(tx.named_values("result_text"), tx.named_values(tx.abridged("result_text", 400, 150)))
     return calls(spark, sf_dir).select("tool_use_id", F.size(lost).cast("long").alias("lost"))
 
 
@@ -479,6 +493,13 @@ def hashed_judge(state: str, asked: dict[str, str]) -> dict[str, float]:
     return {name: hashlib.md5(text.encode()).digest()[0] / 255 for name, text in asked.items()}
 
 
+@query
+def next_fit_batches(spark, sf_dir):
+    """The calls of each session dealt to batches of 60 estimated tokens of arguments, in order."""
+    cost = calls(spark, sf_dir).select("session", F.lit("all").alias("group"), F.col("k").alias("place"), "tool_use_id", tx.token_estimate("input_json").alias("cost"), F.lit(60).cast("long").alias("room"))
+    return prompts.next_fit(cost).select("session", "tool_use_id", "request")
+
+
 @query
 def judged_runs(spark, sf_dir):
     """Compaction runs of all sessions: judged, by rules, or left alone, as their verdicts say."""
