@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from trailmill.session import shared_dir
+from trailmill.functions.trees import has_stub
 from trailmill.streaming import events as ev
 
 DAY = 86_400_000
@@ -81,5 +82,5 @@ def test_taint_and_baseline_expire_over_two_batches(spark):
 
 
 def test_stubs_are_found_in_values_not_in_keys():
-    assert ev.has_stub(json.loads('{"a":[{"b":"x…[7 chars]"}]}')) and not ev.has_stub({"x…[7 chars]": "y"}) and not ev.has_stub("… [7 chars]")
+    assert has_stub(json.loads('{"a":[{"b":"x…[7 chars]"}]}')) and not has_stub({"x…[7 chars]": "y"}) and not has_stub("… [7 chars]")
     assert ev.taints("mcp__mail_send", None, ev.Rules()) and not ev.taints("Skill", None, ev.Rules()) and ev.taints("Skill", "own:inbox", ev.Rules()) and not ev.taints("Skill", "", ev.Rules())

@@ -164,3 +164,45 @@ def test_stores(spark, tmp_path):
     assert [r.k for r in kept.collect()] == ["x"]
     compacted = spark.createDataFrame([("s", "a", "short [mark]"), ("s", "b", "plain")], "session string, tool_use_id string, text string")
     assert [r.tool_use_id for r in stores.offloaded(compacted, results, "[mark]").collect()] == ["a"]
+
+
+def test_a_failed_dataset_leaves_nothing(spark, tmp_path):
+    import hashlib
+    import os
+
+    labels = spark.createDataFrame([(f"s{i}", 4, "a", i % 2 == 0, True) for i in range(20)], "session string, cut long, tool_use_id string, keep_result boolean, keep_call boolean")
+    asked = spark.createDataFrame([(f"s{i}", 4, "a", "call", "{}", "It holds") for i in range(20)], "session string, cut long, tool_use_id string, kind string, state string, instructions string")
+    taught = stores.teacher_records(spark.createDataFrame([("s1", "b", "call", 0.9)], "session string, tool_use_id string, kind string, probability double"))
+    records = stores.merged_records(stores.hindsight_records(asked, labels), taught.drop("probability"))
+    assert {r.label for r in records.collect()} == {"hindsight", "teacher"}
+    with pytest.raises(Exception):
+        stores.write_dataset(records.withColumn("truth", F.when(F.col("session") == "s3", F.raise_error(F.lit("boom")).cast("boolean")).otherwise(F.col("truth"))), str(tmp_path / "set"))
+    assert os.listdir(tmp_path) == []
+    out = [r for r in stores.write_dataset(records, str(tmp_path / "set")).collect() if r.what == "files"]
+    assert os.listdir(tmp_path) == ["set"] and {r.name.split("/")[0] for r in out} == {"records", "sft"}
+    for r in out:
+        body = (tmp_path / "set" / r.name).read_bytes()
+        assert (r.n, r.digest) == (len(body), hashlib.sha256(body).hexdigest())
+    with pytest.raises(FileExistsError):
+        stores.write_dataset(records, str(tmp_path / "set"))
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "log")
+    first = spark.createDataFrame([(1, "s", "one", []), (86_400_001, "s", "two", [])], logs.DECISION)
+    second = spark.createDataFrame([(2, "s", "three", [])], logs.DECISION)
+    for batch, rows in ((0, first), (1, second), (1, second), (0, first)):
+        logs.append_decisions(rows, path, batch)
+    assert sorted(r.outcome for r in logs.decision_log(spark, path).collect()) == ["one", "three", "two"]
+
+    store = stores.AnswerStore(spark, str(tmp_path / "answers"), most=2)
+    answers = lambda *rows: spark.createDataFrame(rows, "session string, tool_use_id string, keep_call double, keep_result double")
+    assert store.load().count() == 0
+    store.save(answers(("s", "a", 0.1, 0.1), ("s", "b", 0.2, 0.2)), 10)
+    store.save(answers(("s", "a", 0.3, 0.3)), 11)
+    store.save(answers(("s", "a", 0.9, 0.9)), 10)
+    with pytest.raises(Exception):
+        store.save(answers(("s", "c", 0.5, 0.5)).withColumn("keep_call", F.raise_error(F.lit("boom")).cast("double")), 12)
+    assert sorted((r.tool_use_id, r.keep_call) for r in store.load().collect()) == [("a", 0.3), ("b", 0.2)]
+    store.upsert(answers(("s", "c", 0.5, 0.5), ("t", "a", 0.6, 0.6)), 12)
+    assert sorted((r.session, r.tool_use_id) for r in stores.AnswerStore(spark, str(tmp_path / "answers")).load().collect()) == [("s", "a"), ("s", "c"), ("t", "a")]

@@ -210,7 +210,7 @@ SQL: dict[str, str] = {
         case event_id % 5 when 0 then ' 12.5 ' when 1 then 'inf' when 2 then 'x' when 3 then 'NaN' else cast(event_id as varchar) end as number from events),
       k as (select *, nullif(lower(trim(word)), '') as w from g)
       select id, case when w in ('on', 'enable', '1', 'true') then 'on' when w in ('off', 'disable', '0', 'false') then 'off' when w is null or w = 'status' then 'status' else 'help' end as switch,
-        case when w = 'full' then 'full' else 'metadata' end as egress,
+        case when w is null or w = 'full' then 'full' else 'metadata' end as egress,
         coalesce(stored, case when w in ('on', 'enable', '1', 'true') then true when w in ('off', 'disable', '0', 'false') then false end, true) as enabled,
         case when explicit > 0 then cast(explicit as double) when limits > 0 then 3600.0::double when has_key then 300.0::double else 3600.0::double end as ttl,
         coalesce(tokens >= 300 and (case when baseline > 0 then tokens >= baseline + 50 else true end), false) as nudge,
@@ -294,6 +294,11 @@ SQL |= {
     "stub_sums": f"with {CALLS} select count_if(event_id % 19 = 0) as stubbed, count_if(event_id % 19 = 0 and is_error) as broken from calls",
     "sticky_taint_stream": """with e as (select cast(user_id as varchar) as session, event_id, event_type = 'signup' and event_id % 53 = 0 as hit, row_number() over (partition by user_id order by ts, event_id) as n from events)
       select session, event_id, hit, bool_or(hit) over o as tainted, first_value(case when hit then event_id end ignore nulls) over o as first_event from e window o as (partition by session order by n rows between unbounded preceding and current row)""",
+    "argument_stubs": f"""with {CALLS}, t as (select tool_use_id, case event_id % 10
+        when 0 then concat('{{"given":', input_json, ',"edits":[1,{{"new":"x…[', cast(event_id as varchar), ' chars]"}}]}}') when 1 then concat('{{"x…[', cast(event_id as varchar), ' chars]":', input_json, '}}') else input_json end as x from calls),
+      hits as (select distinct tool_use_id from t, json_tree(x) j where j.type = 'VARCHAR' and regexp_matches(j.atom, '…\\[[0-9]+ chars\\]'))
+      select tool_use_id, h.tool_use_id is not null as stub from t left join hits h using (tool_use_id)""",
+    "tool_references": """select event_id, case event_id % 4 when 0 then event_type when 1 then cast(event_id as varchar) else '' end as tool, case event_id % 4 when 1 then 'true' when 2 then event_type end as skill from events""",
     "session_events": """with recursive m as (
         select cast(user_id as varchar) as session, event_id as seq, epoch_us(ts) // 1000 as ms, event_type, cast(json_extract(props, '$.k') as int) as k, value from events),
       e as (select *, row_number() over (partition by session order by ms, seq) as n,

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailmill.functions import fixed, policy
+from trailmill.functions import fixed, policy, trees
 from trailmill.functions import text as tx
 from trailmill.operators import compaction, evaluation, prompts, runs, sessions, stores
 from trailmill.operators import transcripts as ts
@@ -197,13 +197,8 @@ def verdict_grid(spark, sf_dir):
     g = table(spark, sf_dir, "orders").select(
         k.alias("id"), (k % 2 == 0).alias("enabled"), (k % 3 > 0).alias("credentials"), (k % 5 == 0).alias("tainted"), (k % 7 < 3).alias("near"), (k % 11 < 6).alias("rules")
     )
-    fallback = F.when(F.col("rules"), "rules").otherwise("builtin")
-    reason = (
-        F.when(~F.col("enabled"), "switched_off").when(~F.col("credentials"), "no_key").when(F.col("tainted") & F.col("near"), "ok_local")
-        .when(F.col("tainted"), "tainted").otherwise("ok")
-    )
-    judge = F.when(~F.col("enabled"), "builtin").when(~F.col("credentials") | (F.col("tainted") & ~F.col("near")), fallback).otherwise("model")
-    return g.select("id", reason.alias("reason"), judge.alias("judge"))
+    found = policy.verdict(F.col("enabled"), F.col("credentials"), F.col("tainted"), F.col("near"), F.when(F.col("rules"), "rules").otherwise("summary"))
+    return g.select("id", found.alias("v")).select("id", "v.reason", "v.judge")
 
 
 @query
@@ -418,7 +413,26 @@ def expired_keys(spark, sf_dir):
     e = F.col("event_id")
     kind = F.when(e % 2 == 0, "taint:").when(e % 3 == 0, "baseline:").otherwise("other:")
     k = table(spark, sf_dir, "events").select(F.concat(kind, e.cast("string")).alias("key"), F.when(e % 13 != 0, e * 1000).alias("at"))
-    return k.where("key rlike '^(taint|baseline):' and (at is null or 9000000 - at > 5000000)").select("key")
+    return k.where(policy.expired("key", F.col("at"), F.lit(9_000_000), 5_000_000)).select("key")
+
+
+@query
+def argument_stubs(spark, sf_dir):
+    """Which arguments hold a stub in a text at some depth; calls of every tenth event have one there, the next tenth have one in a key."""
+    n = F.col("event_id")
+    mark = F.concat(F.lit("x…["), n.cast("string"), F.lit(" chars]"))
+    tree = F.when(n % 10 == 0, F.concat(F.lit('{"given":'), F.col("input_json"), F.lit(',"edits":[1,{"new":"'), mark, F.lit('"}]}'))).when(n % 10 == 1, F.concat(F.lit('{"'), mark, F.lit('":'), F.col("input_json"), F.lit("}")))
+    return calls(spark, sf_dir).select("tool_use_id", trees.argument_stub(F.coalesce(tree, "input_json")).alias("stub"))
+
+
+@query
+def tool_references(spark, sf_dir):
+    """Tools and skills of events' properties, whatever kind of value they are."""
+    e = F.col("event_id")
+    raw = F.when(e % 4 == 0, F.concat(F.lit('{"tool":"'), F.col("event_type"), F.lit('","skill":'), F.col("props"), F.lit("}"))).when(e % 4 == 1, F.concat(F.lit('{"tool":'), e.cast("string"), F.lit(',"skill":true}'))).when(
+        e % 4 == 2, F.concat(F.lit('{"skill":"'), F.col("event_type"), F.lit('"}'))).otherwise(F.col("props"))
+    found = trees.tool_reference(raw)
+    return table(spark, sf_dir, "events").select("event_id", found.alias("r")).select("event_id", "r.tool", "r.skill")
 
 
 @query

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import json
 import math
-import re
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any, NamedTuple
@@ -27,15 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from trailmill.functions import fixed, policy
+from trailmill.functions.trees import text_has_stub
 from trailmill.session import shared_dir
 
 INPUT = "session string, seq long, at timestamp, kind string, tool string, skill string, input_json string, args string, tokens double, window double, agent string, reason string, skipped boolean"
 OUTPUT = "session string, seq long, kind string, action string, reason string, tainted boolean, enabled boolean, baseline double, due_ms long"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-#: A call's text that repeats how a condensed argument once looked.
-ARGUMENT_STUB = re.compile(r"…\[\d+ chars\]")
-
 
 class Rules(NamedTuple):
     """What taints, when to compact, how long to wait before a nudge and what it does, and who may judge."""
@@ -67,24 +64,6 @@ class Memory:
         return None if value is None or now - value[-1] > rules.keep_ms else value
 
 
-def has_stub(value: Any) -> bool:
-    """Whether a text within a JSON value, at any depth but not a key, holds the mark of a shortened argument."""
-    if isinstance(value, str):
-        return ARGUMENT_STUB.search(value) is not None
-    if isinstance(value, dict):
-        return any(map(has_stub, value.values()))
-    return isinstance(value, list) and any(map(has_stub, value))
-
-
-def _argument_stub(text: str | None) -> bool:
-    if not text or "…" not in text and "\\u2026" not in text:
-        return False
-    try:
-        return has_stub(json.loads(text))
-    except ValueError:
-        return has_stub(text)
-
-
 def taints(tool: str | None, skill: str | None, rules: Rules) -> bool:
     """A tool with a listed prefix, or the use of a listed skill, alone or as the last part of a qualified name."""
     if tool is not None and tool != "Skill":
@@ -127,7 +106,7 @@ def handle(memory: Memory, e: dict, rules: Rules) -> tuple:
         if taint is None and taints(tool, skill, rules):
             taint = (1, tool or "Skill", now)
             memory.put("taint", taint)
-        deny = _argument_stub(e["input_json"])
+        deny = text_has_stub(e["input_json"])
         return kind, "deny" if deny else "allow", "argument_stub" if deny else None, taint is not None, enabled, None, None
     if kind == "command":
         word = (e["args"] or "").strip().lower()
