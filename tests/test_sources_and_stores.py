@@ -206,3 +206,16 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     assert sorted((r.tool_use_id, r.keep_call) for r in store.load().collect()) == [("a", 0.3), ("b", 0.2)]
     store.upsert(answers(("s", "c", 0.5, 0.5), ("t", "a", 0.6, 0.6)), 12)
     assert sorted((r.session, r.tool_use_id) for r in stores.AnswerStore(spark, str(tmp_path / "answers")).load().collect()) == [("s", "a"), ("s", "c"), ("t", "a")]
+
+
+def test_whole_outputs_are_written_and_named(spark, tmp_path):
+    note = lambda i: f"[condensed: omitted 9 chars; the full output stays in the transcript under `{i}`]"
+    originals = spark.createDataFrame([("s", "a", "whole a"), ("s", "b", f"already {note('b')}"), ("s", "c", "short"), ("t", "a", "of t")], "session string, tool_use_id string, text string")
+    results = spark.createDataFrame([("s", "a", f"wh {note('a')}"), ("s", "b", f"al {note('b')}"), ("s", "c", "short"), ("t", "a", f"o {note('a')}")], "session string, tool_use_id string, text string")
+    path = str(tmp_path / "outputs")
+    for _ in range(2):  # once more replaces what was written
+        done = {(r.session, r.tool_use_id): (r.text, r.touched) for r in stores.offload(results, originals, path).collect()}
+    assert "saved at s/a.txt" in done["s", "a"][0] and "saved at t/a.txt" in done["t", "a"][0] and done["s", "b"] == (f"al {note('b')}", False) and done["s", "c"] == ("short", False)
+    assert sorted((r.session, r.tool_use_id, r.text) for r in spark.read.parquet(path).collect()) == [("s", "a", "whole a"), ("t", "a", "of t")]
+    saved, told = stores.summary_instructions("/out", 6, originals)
+    assert saved.count() == 2 and "/out" in told and stores.summary_instructions("/out", 1000, originals)[1] is None

@@ -167,7 +167,10 @@ SQL: dict[str, str] = {
       union all select session, 2 * k - 1, 2 * k - 1, null, null from d
       union all select session, 2 * k, case when not short then 2 * k end, case when short then tool_use_id end, case when short then 100 end from d""",
     "sanitised_names": "with n as (select page_id, regexp_replace(left(url, 200), '[^A-Za-z0-9_.-]', '_', 'g') as x from pages) select page_id, case when x = '' then '_' else regexp_replace(x, '^[.]', '_') end as name from n",
-    "utc_day_files": "select event_id, concat(strftime(ts, '%Y-%m-%d'), '.jsonl') as file from events",
+    "utc_day_files": "select event_id, concat(strftime(case when event_id % 5 = 0 then timestamp '1970-01-01' else ts end, '%Y-%m-%d'), '.jsonl') as file from events",
+    "transcripts_from_logs": f"with {CALLS} select session, cast(2 * k - 2 as bigint) as msg_idx, cast(2 * k - 1 as bigint) as answered, tool_use_id, tool, input_json, md5(result_text) as digest, is_error from calls",
+    "chat_messages": """select conv_id, cast(row_number() over (partition by conv_id order by turn) - 1 as bigint) as msg_idx, role, text from conversations where role <> 'system'
+      union all select conv_id, -1, 'system', text from conversations where role = 'system'""",
     "sampled_sessions": f"""with {CALLS}, s as (select session, count(*) as n from calls group by session)
       select session, concat('cc-', left(sha256(session), 12)) as name, sha256(unhex('0000000000000000') || encode(session)) as place from s where n >= 15 order by place limit 40""",
     "gate_check": f"""with {JUDGED}, d as (select *, {DECISION} as reason from judged), t as (select cast(sum(input_chars + result_chars) as double) as before, cast(sum(case when reason in ('pinned', 'kept') then input_chars + result_chars else input_chars + least(result_chars, 200) end) as double) as after,

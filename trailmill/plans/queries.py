@@ -272,7 +272,9 @@ def sanitised_names(spark, sf_dir):
 
 @query
 def utc_day_files(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit(".jsonl")).alias("file"))
+    """The day's file of each event in a log, also for events moved to before 1970, which count as its first day."""
+    ms = F.unix_millis(F.col("ts").cast("timestamp")) - F.when(F.col("event_id") % 5 == 0, F.lit(2_000_000_000_000)).otherwise(0)
+    return table(spark, sf_dir, "events").select("event_id", F.concat(logs.day_of(ms), F.lit(".jsonl")).alias("file"))
 
 
 @query
@@ -435,6 +437,34 @@ def tool_references(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", found.alias("r")).select("event_id", "r.tool", "r.skill")
 
 
+@query
+def transcripts_from_logs(spark, sf_dir):
+    """The calls written as session logs, a file a session, and read back as transcripts."""
+    none = F.lit(None).cast("string")
+    part = lambda **x: F.array(F.struct(*[x.get(n, none).alias(n) for n in ("type", "id", "name", "tool_use_id", "content")], x.get("is_error", F.lit(None).cast("boolean")).alias("is_error"), x.get("input", F.lit(None).cast("variant")).alias("input")))
+    entry = lambda role, who, content: F.to_json(F.struct(F.lit(role).alias("type"), F.struct(who.alias("id"), F.lit(role).alias("role"), content.alias("content")).alias("message")))
+    asked = entry("assistant", F.concat(F.lit("m"), F.col("k").cast("string")), part(type=F.lit("tool_use"), id=F.col("tool_use_id"), name=F.col("tool"), input=F.parse_json("input_json")))
+    told = entry("user", none, part(type=F.lit("tool_result"), tool_use_id=F.col("tool_use_id"), content=F.col("result_text"), is_error=F.col("is_error")))
+    lines = calls(spark, sf_dir).select("session", F.posexplode(F.array(asked, told)).alias("at", "value"), "k")
+    path = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    dealt = lines.repartition("session").sortWithinPartitions("session", "k", "at")
+    dealt.select("session", "value").write.partitionBy("session").text(path)
+    read = logs.numbered_lines(spark, path, "*.txt")
+    t = logs.session_log(read.withColumn("session", F.regexp_extract("session", "session=([^/]+)/", 1)))
+    both = t["tool_uses"].join(t["tool_results"].withColumnRenamed("msg_idx", "answered"), ["session", "tool_use_id"])
+    return both.select("session", "msg_idx", "answered", "tool_use_id", "tool", "input_json", F.md5("text").alias("digest"), "is_error")
+
+
+@query
+def chat_messages(spark, sf_dir):
+    """Conversations as chat exports, one JSON array each, and read back as messages."""
+    said = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.struct("turn", "role", F.col("text").alias("content")).alias("m"))
+    whole = said.groupBy("session").agg(F.to_json(F.transform(F.array_sort(F.collect_list("m")), lambda m: F.struct(m.role.alias("role"), m.content.alias("content")))).alias("value"))
+    t = logs.chat_export(whole)
+    system = t["system"].select("session", F.lit(-1).cast("long").alias("msg_idx"), F.lit("system").alias("role"), "text")
+    return t["messages"].select("session", "msg_idx", "role", "text").unionByName(system).withColumnRenamed("session", "conv_id")
+
+
 @query
 def judge_probability(spark, sf_dir):
     yes, no = (F.col("event_id") % 11).cast("double") / 2, (F.col("event_id") % 7).cast("double")
