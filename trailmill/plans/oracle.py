@@ -13,6 +13,13 @@ def has(text: str, pattern: str, ignore_case: bool = False) -> str:
     return f"regexp_matches({text}, {quoted(pattern)}, '{'i' if ignore_case else 'c'}')"
 
 
+#: Shell commands for the query about reads: plain ones, chains and pipes, prefixes, redirects, listings, and such as change or follow something.
+COMMANDS = [
+    "jq .items data/list.json | sort | uniq", "sort names.txt > sorted.txt", "printf done >> notes.md", "md5sum dist/app.bin 2>&1", "find lib -name '*.ts' 2>/dev/null", "stat package.json", "tail -n 3 logs/today.txt",
+    "LC_ALL=C B=2 timeout 9s egrep -c todo lib; git diff --stat", "ls -hl lib", "ls lib", "sed --in-place s/x/y/ conf.ini", "sed 4q conf.ini", "jq .script pkg.json | bash", "uniq names.txt | tee again.txt", "   ", "tree lib && dirname lib/x",
+    "git blame lib/x.ts", "git commit -m done", "kubectl logs pod-7", "basename lib/x.ts", "make all", "realpath lib || cut -d, -f2 t.csv", "command head -2 t.csv", "df -h", "tr a-z A-Z < t.csv", "file lib/x.ts\nsha1sum lib/x.ts", "cat server.out",
+]
+
 CALLS = """
 calls as (
   with e as (
@@ -257,13 +264,13 @@ def reads(table: str) -> str:
 
 
 SQL |= {
-    "command_rules": f"""with c as (select n, command from (values {', '.join(f'({k}, {quoted(c)})' for k, c in enumerate(fixed.COMMANDS))}) v(n, command)),
+    "command_rules": f"""with c as (select n, command from (values {', '.join(f'({k}, {quoted(c)})' for k, c in enumerate(COMMANDS))}) v(n, command)),
       b as (select concat(n_nationkey, '/', n) as key, n_nationkey, n, command, case n_nationkey % 3 when 0 then 'Bash' when 1 then 'shell' else 'Write' end as tool, to_json({{'command': command}})::varchar as source from nation, c),
       {reads('b')} select n_nationkey, cast(n as int) as n, reproducible, regexp_matches(command, {quoted(fixed.FILE_REDIRECT)}) as writes from b join reads using (key)""",
     "reproducible_calls": f"""with {CALLS}, b as (select tool_use_id as key, session, tool_use_id, tool, input_json as source, coalesce(json_extract_string(input_json, '$.command'), '') as command from calls), {reads('b')}
       select session, tool_use_id, reproducible from b join reads using (key)""",
     "compact_stats": f"""with {CALLS}, {SIZES} select c.session, count(*) as calls, 0::bigint as kept, 0::bigint as result_dropped, 0::bigint as call_dropped, count_if(2 * k + 6 >= messages) as pinned, count_if(2 * k + 6 < messages) as rules, 0::bigint as reduced from calls c join sizes s on s.session = c.session group by c.session""",
-    "decision_texts": f"""with d as (select doc_id, coalesce(regexp_replace(left(text, 80), '[^A-Za-z0-9 .,\n]', '', 'g'), '') as state, concat('Document ', cast(doc_id as varchar), ' is in ', coalesce(lang, '?')) as said from documents),
+    "decision_texts": f"""with d as (select doc_id, coalesce(text, '') as state, concat('Document ', cast(doc_id as varchar), ' is in ', coalesce(lang, '?')) as said from documents),
       e as (select *, concat('{{"state":', to_json(state), ',"question":', to_json(concat(said, {quoted(fixed.QUESTION_END)})), ',"options":', {quoted(fixed.OPTIONS_JSON)}, '}}') as decision from d)
       select doc_id, decision, concat('{{"messages":[{{"role":"system","content":', to_json({quoted(fixed.SYSTEM_PROMPT)}), '}},{{"role":"user","content":', to_json(decision), '}},{{"role":"assistant","content":"', case when doc_id % 2 = 0 then 'A' else 'B' end, '"}}]}}') as chat from e""",
     "judged_answers": f"""with {CALLS}, a as (select session, tool_use_id, case when event_id % 7 = 0 then 0.25::double else (event_id % 10) / 10 end as keep_call, case when event_id % 7 = 0 then 0.25::double when event_id % 9 = 0 then null else (event_id % 10) / 10 end as keep_result from calls)

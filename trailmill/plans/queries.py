@@ -12,7 +12,7 @@ from trailmill.functions import fixed, policy, trees
 from trailmill.functions import text as tx
 from trailmill.operators import compaction, evaluation, prompts, runs, sessions, stores
 from trailmill.operators import transcripts as ts
-from trailmill.plans.oracle import SQL
+from trailmill.plans.oracle import COMMANDS, SQL
 from trailmill.session import cut, shared_dir
 from trailmill.sources import logs, synthetic
 from trailmill.sources.calls import calls, table
@@ -326,7 +326,7 @@ def reproducible_calls(spark, sf_dir):
 
 @query
 def command_rules(spark, sf_dir):
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("n"), F.lit(c).alias("command")) for k, c in enumerate(fixed.COMMANDS)])).alias("c")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("n"), F.lit(c).alias("command")) for k, c in enumerate(COMMANDS)])).alias("c")
     both = table(spark, sf_dir, "nation").select("n_nationkey", each).select("n_nationkey", "c.*")
     tool = F.when(F.col("n_nationkey") % 3 == 0, "Bash").when(F.col("n_nationkey") % 3 == 1, "shell").otherwise("Write")
     given = F.to_json(F.struct(F.col("command").alias("command")))
@@ -562,7 +562,7 @@ def decision_texts(spark, sf_dir):
     """Decisions and training chats as they are put to a model, with documents as states."""
     said = F.concat(F.lit("Document "), F.col("doc_id").cast("string"), F.lit(" is in "), F.coalesce("lang", F.lit("?")))
     answer = F.when(F.col("doc_id") % 2 == 0, fixed.TRUE_LABEL).otherwise(fixed.FALSE_LABEL)
-    state_ = F.coalesce(F.regexp_replace(F.left("text", F.lit(80)), r"[^A-Za-z0-9 .,\n]", ""), F.lit(""))
+    state_ = F.coalesce("text", F.lit(""))
     return table(spark, sf_dir, "documents").select("doc_id", prompts.decision_json(state_, said).alias("decision"), prompts.sft_json(state_, said, answer).alias("chat"))
 
 
