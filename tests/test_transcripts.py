@@ -337,38 +337,6 @@ def test_runs_fall_back_from_the_judge_to_the_rules_to_nothing(spark):
     assert answers.where("session = 'good'").count() == 3
 
 
-def test_nudges_wait_for_quiet_and_state_expires():
-    import pandas as pd
-
-    from trailmill.streaming import state as st
-
-    class State:
-        exists, hasTimedOut, value, timer = False, False, None, None
-
-        @property
-        def get(self):
-            return self.value
-
-        def update(self, value):
-            self.value, self.exists = value, True
-
-        def setTimeoutDuration(self, ms):
-            self.timer = ms
-
-        def remove(self):
-            self.value, self.exists = None, False
-
-    run, s = st.nudge_update(5000, 60_000), State()
-    turns = lambda *rows: iter([pd.DataFrame(rows, columns=["ts", "event_id"])])
-    assert sum(len(x) for x in run(("a",), turns((2, 8), (1, 7)), s)) == 0 and s.value == (8, False) and s.timer == 5000
-    list(run(("a",), turns((3, 9)), s))
-    s.hasTimedOut = True
-    first = pd.concat(run(("a",), iter([]), s))
-    assert first[["kind", "event_id"]].values.tolist() == [["nudge", 9]] and s.timer == 55_000
-    second = pd.concat(run(("a",), iter([]), s))
-    assert second["kind"].tolist() == ["expired"] and not s.exists
-
-
 def test_next_fit_against_a_plain_loop(spark):
     import random
 

@@ -173,36 +173,45 @@ def nudged(memory: Memory, now: int, rules: Rules) -> tuple[int, tuple] | None:
     return armed[0], ("nudge", "compact" if rules.nudge == "compact" else "notify", "cache_warm", memory.fresh("taint", now, rules) is not None, switch[0] if switch else rules.on, None, armed[1])
 
 
-class SessionEvents(StatefulProcessor):
-    """`handle` and `nudged` over state variables and event-time timers."""
+class Ordered(StatefulProcessor):
+    """Handles the events of a key in order of (at_ms, seq), one millisecond's at a time.
 
-    SCHEMAS = {
-        "taint": "count long, sample string, at long", "baseline": "tokens double, pending boolean, at long", "switch": "enabled boolean", "running": "running boolean", "nudge": "seq long, due long",
-    }
-    COLUMNS = [x.split()[0] for x in OUTPUT.split(", ")]
+    A subclass names its state variables, which of them expire (their last entry is when
+    they were written), its output columns, and what an event leads to.
+    """
 
-    def __init__(self, rules: Rules):
-        self.rules = rules
+    SCHEMAS: dict[str, str] = {}
+    EXPIRING: tuple[str, ...] = ()
+    OUTPUT = ""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def step(self, memory: Memory, e: dict) -> tuple:
+        """The output row of an event, without the key."""
+        raise NotImplementedError
+
+    def due(self, memory: Memory, now: int) -> list[tuple]:
+        """Output rows of what was to happen by now, before the events of this millisecond."""
+        return []
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.values = {name: handle.getValueState(name, schema) for name, schema in self.SCHEMAS.items()}
         self.waiting = handle.getMapState("waiting", "at long", "events string")
 
-    def _get(self, name: str) -> tuple | None:
+    def get(self, name: str) -> tuple | None:
         state = self.values[name]
         return tuple(state.get()) if state.exists() else None
 
-    def _put(self, name: str, value: tuple | None) -> None:
+    def put(self, name: str, value: tuple | None) -> None:
         state = self.values[name]
         if value is None:
             state.clear()
             return
         state.update(value)
-        if name == "nudge":
-            self.handle.registerTimer(value[1])
-        elif name in ("taint", "baseline"):
-            self.handle.registerTimer(value[-1] + self.rules.keep_ms + 1)
+        if name in self.EXPIRING:
+            self.handle.registerTimer(value[-1] + self.keep_ms + 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for part in rows:
@@ -216,32 +225,60 @@ class SessionEvents(StatefulProcessor):
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, memory, out = expiredTimerInfo.getExpiryTimeInMs(), Memory(self._get, self._put), []
-        if (due := nudged(memory, now, self.rules)) is not None:
-            out.append((key[0], due[0], *due[1]))
+        now, memory = expiredTimerInfo.getExpiryTimeInMs(), Memory(self.get, self.put)
+        out = [(key[0], *row) for row in self.due(memory, now)]
         if self.waiting.containsKey((now,)):
             events = json.loads(self.waiting.getValue((now,))[0])
             self.waiting.removeKey((now,))
-            out += [(key[0], e["seq"], *handle(memory, e, self.rules)) for e in sorted(events, key=lambda e: e["seq"])]
-        for name in ("taint", "baseline"):
-            value = self._get(name)
-            if value is not None and now - value[-1] > self.rules.keep_ms:
+            out += [(key[0], *self.step(memory, e)) for e in sorted(events, key=lambda e: e["seq"])]
+        for name in self.EXPIRING:
+            value = self.get(name)
+            if value is not None and now - value[-1] > self.keep_ms:
                 self.values[name].clear()
         if out:
-            frame = pd.DataFrame(out, columns=self.COLUMNS)
-            yield frame.astype({"seq": "int64", "due_ms": "Int64", "baseline": "float64", "tainted": "bool", "enabled": "bool"})
+            kinds = {"long": "Int64", "double": "float64", "boolean": "boolean", "string": object}
+            fields = [x.split() for x in self.OUTPUT.split(", ")]
+            yield pd.DataFrame(out, columns=[n for n, _ in fields]).astype({n: kinds[k] for n, k in fields})
 
     def close(self) -> None:
         pass
 
 
-def session_events(events: DataFrame, rules: Rules = Rules(), late: str = "0 seconds") -> DataFrame:
-    """A stream of events (`INPUT`) as a stream of what they lead to (`OUTPUT`), in order of (at, seq) within a session.
+class SessionEvents(Ordered):
+    """`handle` and `nudged` over state variables and event-time timers."""
 
-    Start it with the RocksDB state store (`with_rocks`).
-    """
-    ready = events.select(*[x.split()[0] for x in INPUT.split(", ")]).withColumn("at_ms", F.unix_millis("at")).withWatermark("at", late)
-    return ready.groupBy("session").transformWithStateInPandas(statefulProcessor=SessionEvents(rules), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
+    SCHEMAS = {
+        "taint": "count long, sample string, at long", "baseline": "tokens double, pending boolean, at long", "switch": "enabled boolean", "running": "running boolean", "nudge": "seq long, due long",
+    }
+    EXPIRING = ("taint", "baseline")
+    OUTPUT = OUTPUT
+
+    def __init__(self, rules: Rules):
+        super().__init__(rules.keep_ms)
+        self.rules = rules
+
+    def put(self, name: str, value: tuple | None) -> None:
+        super().put(name, value)
+        if name == "nudge" and value is not None:
+            self.handle.registerTimer(value[1])
+
+    def step(self, memory: Memory, e: dict) -> tuple:
+        return (e["seq"], *handle(memory, e, self.rules))
+
+    def due(self, memory: Memory, now: int) -> list[tuple]:
+        found = nudged(memory, now, self.rules)
+        return [] if found is None else [(found[0], *found[1])]
+
+
+def ordered(events: DataFrame, processor: Ordered, late: str = "0 seconds") -> DataFrame:
+    """A stream of events (session, seq, at and others) through a processor; start it with the RocksDB state store (`with_rocks`)."""
+    ready = events.withColumn("at_ms", F.unix_millis("at")).withWatermark("at", late)
+    return ready.groupBy("session").transformWithStateInPandas(statefulProcessor=processor, outputStructType=processor.OUTPUT, outputMode="Append", timeMode="EventTime")
+
+
+def session_events(events: DataFrame, rules: Rules = Rules(), late: str = "0 seconds") -> DataFrame:
+    """A stream of events (`INPUT`) as a stream of what they lead to (`OUTPUT`), in order of (at, seq) within a session."""
+    return ordered(events.select(*[x.split()[0] for x in INPUT.split(", ")]), SessionEvents(rules), late)
 
 
 def with_rocks(spark: SparkSession, start: Callable[[], Any]) -> Any:
@@ -275,12 +312,17 @@ def stored_events(events: DataFrame) -> DataFrame:
     )
 
 
-def replayed(spark: SparkSession, sf_dir: str, rules: Rules = QUERY_RULES) -> DataFrame:
-    """Run the stream over all stored events once and read back what it wrote."""
+def run_once(spark: SparkSession, sf_dir: str, stream: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Run a stream over all stored events once and read back what it wrote."""
     path = f"{sf_dir}/events.parquet"
+    # As a pattern, since a stream takes a folder or a pattern but not the path of one file.
     events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
-    out = f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}"
-    done = session_events(stored_events(events), rules)
+    out = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    done = stream(events)
     write = done.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True)
     with_rocks(spark, write.start).awaitTermination()
-    return spark.read.schema(OUTPUT).parquet(f"{out}/rows")
+    return spark.read.schema(done.schema).parquet(f"{out}/rows")
+
+
+def replayed(spark: SparkSession, sf_dir: str, rules: Rules = QUERY_RULES) -> DataFrame:
+    return run_once(spark, sf_dir, lambda events: session_events(stored_events(events), rules), "sessions")
