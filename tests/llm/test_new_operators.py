@@ -120,6 +120,21 @@ def test_groups_over_many_batches():
         assert back == list(range(200))
 
 
+def test_conversations_over_many_arrow_batches(spark):
+    rng = random.Random(9)
+    rows = [(c, t, rng.choice(["system", "user", "assistant"]), rng.choice(["a.", "b", "c!", "", f"t{t}."])) for c in range(4) for t in range(40)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    expected = sorted(conv.repaired_digests(frame).collect())
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert sorted(conv.repaired_digests(frame).collect()) == expected and len(expected) == 4
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for r in expected:
+        assert r.repaired_sha256 == hashlib.sha256(applied([(role, text) for c, _, role, text in rows if c == r.conv_id], r.audit).encode()).hexdigest()
+
+
 def test_damage_drops_whole_conversations(spark, tmp_path):
     lost = next(c for c in range(999) if zlib.crc32(f"{c}:0".encode()) % 20 == 0)
     again = next(c for c in range(999) if zlib.crc32(f"{c}:0".encode()) % 20 == 3)
