@@ -5,7 +5,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from trailmill.llm.sp_lattice import decode, log_inclusion, load_vocabulary, sample_segmentations, sample_texts, vocabulary_path
+from trailmill.llm import sp_lattice
+from trailmill.llm.sp_lattice import build_lattice, decode, log_inclusion, load_vocabulary, sample_segmentations, sample_texts, vocabulary_path
+from trailmill.llm.textkeys import mix
 
 DOCS = "doc_id long, text string, ids string, sample int"
 
@@ -114,3 +116,15 @@ def test_edges(spark):
     assert all(r.text == strange.replace("▁", " ") for r in by[3] + by[None])
     assert all(r.text == "ab " * 30_000 for r in by[4])
     assert sample_segmentations(frame.limit(0)).count() == 0
+
+
+def test_a_step_is_drawn_by_one_hash(vocabulary, monkeypatch):
+    """The hash of the row, the sample and the unit is made once for all steps of a unit."""
+    sizes = []
+    monkeypatch.setattr(sp_lattice, "mix", lambda x: sizes.append(len(x)) or mix(x))
+    unit = np.zeros(1, np.int64)
+    lattice = build_lattice(np.array([97 + k * k % 26 for k in range(400)]), unit, vocabulary)
+    search = sp_lattice.Search(lattice, unit, np.array([0, 1]), np.array([5]))
+    sizes.clear()
+    edges = search.walk(unit, unit, unit, 0)[-1]
+    assert len(edges) > 100 and sum(sizes) <= len(edges) + 4

@@ -49,6 +49,7 @@ class Vocabulary:
 
     table: np.ndarray  # hash slots of (node, char) keys
     child: np.ndarray
+    root: np.ndarray  # the start's child by code point, or -1
     piece: np.ndarray  # piece of a node, or -1
     weight: np.ndarray  # log weight by piece
     longest: int
@@ -111,9 +112,13 @@ def load_vocabulary(path: str) -> Vocabulary:
         while table[slot]:
             slot = (slot + 1) & (slots - 1)
         table[slot], child[slot] = key + 1, value
+    root = np.full(0x110000, -1, np.int32)
+    for (node, char), value in nodes.items():
+        if node == 0:
+            root[char] = value
     joined = np.unique(np.array([ord(c) for _, n in usable if len(n) > 1 for c in n], np.int64))
     return Vocabulary(
-        table, child, np.array(piece), weight, max((len(n) for _, n in usable), default=1), byte_ids, -np.log(len(usable) + ZIPF_SHIFT),
+        table, child, root, np.array(piece), weight, max((len(n) for _, n in usable), default=1), byte_ids, -np.log(len(usable) + ZIPF_SHIFT),
         joined, np.frombuffer(b"".join(names), np.uint8), np.concatenate([[0], np.cumsum([len(n) for n in names])]).astype(np.int64),
     )
 
@@ -137,58 +142,65 @@ def build_lattice(chars: np.ndarray, starts: np.ndarray, vocabulary: Vocabulary)
     n = len(chars)
     ends = np.append(starts[1:], n)[: len(starts)]
     left = np.repeat(ends, ends - starts) - np.arange(n)  # characters to the unit's end
-    at, node = np.arange(n), np.zeros(n, np.int64)
-    froms, lengths, pieces = [], [], []
+    at, node, found = np.arange(n), vocabulary.root[chars], []
     for length in range(1, vocabulary.longest + 1):
-        node = vocabulary.step(node, chars[at + length - 1])
+        if length > 1:
+            node = vocabulary.step(node, chars[at + length - 1])
         alive = node >= 0
         at, node = at[alive], node[alive]
-        found = vocabulary.piece[node]
-        whole = found >= 0
-        froms.append(at[whole])
-        lengths.append(np.full(int(whole.sum()), length))
-        pieces.append(found[whole])
-        if length == 1:
-            lone = np.setdiff1d(np.arange(n), at[whole], assume_unique=True)
-            froms.append(lone)
-            lengths.append(np.ones(len(lone), np.int64))
-            pieces.append(-1 - chars[lone])
+        piece = vocabulary.piece[node]
+        whole = piece >= 0
+        found.append((at[whole], piece[whole]))
         more = left[at] > length
         at, node = at[more], node[more]
         if not len(at):
             break
-    froms, lengths, pieces = (np.concatenate(x) for x in (froms, lengths, pieces))
-    order = np.argsort(froms * 32 + 31 - lengths, kind="stable")  # long pieces are likely: first
-    froms, lengths, pieces = froms[order], lengths[order], pieces[order]
-    first = np.searchsorted(froms, np.arange(n + 1))
-    code = -1 - pieces
-    size = 1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)
-    weight = np.where(pieces >= 0, vocabulary.weight[np.maximum(pieces, 0)], size * vocabulary.byte_weight)
+    # A position's first character is an edge always; longer ones are likely and come before it.
+    counts = np.ones(n, np.int64)
+    for at, _ in found[1:]:
+        counts[at] += 1
+    first = np.concatenate([[0], np.cumsum(counts)])
+    pieces, lengths, free = np.empty(first[-1], np.int64), np.ones(first[-1], np.int64), first[:-1].copy()
+    for length in range(len(found), 1, -1):
+        at, piece = found[length - 1]
+        place = free[at]
+        pieces[place], lengths[place], free[at] = piece, length, place + 1
+    pieces[free] = -1 - chars
+    at, piece = found[0]
+    pieces[free[at]] = piece
+    froms = np.repeat(np.arange(n), counts)
+    weight = vocabulary.weight[np.maximum(pieces, 0)]
+    lone = np.flatnonzero(pieces < 0)
+    code = -1 - pieces[lone]
+    weight[lone] = (1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)) * vocabulary.byte_weight
     target = froms + lengths
-    done = target == froms + left[froms]
+    done = lengths == left[froms]
+    target[done] = n
     # Backward sums, all units at once: positions by their distance from the unit's end.
     beta = np.zeros(n + 1)
-    by_left = np.argsort(left, kind="stable")
-    bounds = np.searchsorted(left[by_left], np.arange(1, left.max() + 2)) if n else np.zeros(1, np.int64)
-    total = np.empty(len(froms))
+    most = int(left.max()) if n else 0
+    by_left = np.argsort(left.astype(np.uint16) if most < 1 << 16 else left, kind="stable")
+    bounds = np.searchsorted(left[by_left], np.arange(1, most + 2))
+    share, probability = np.empty(len(froms)), np.empty(len(froms))
     for a, b in zip(bounds[:-1], bounds[1:]):
         rows = by_left[a:b]
-        counts = first[rows + 1] - first[rows]
-        heads = np.cumsum(counts) - counts
-        edges = np.repeat(first[rows] - heads, counts) + np.arange(counts.sum())
-        value = weight[edges] + np.where(done[edges], 0.0, beta[target[edges]])
+        size = counts[rows]
+        heads = np.cumsum(size) - size
+        row = np.repeat(np.arange(len(rows)), size)
+        edges = (first[rows] - heads)[row] + np.arange(len(row))
+        value = weight[edges] + beta[target[edges]]
         top = np.maximum.reduceat(value, heads)
-        beta[rows] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, counts)), heads))
-        total[edges] = value
-    share = total - beta[froms]
-    probability = np.exp(share)
-    run = np.cumsum(probability)
-    before = np.concatenate([[0.0], run])[first[froms]]
-    within = np.clip((run - before) * 2**32, 0, 2**32 - 1).astype(np.uint32)
-    last = np.zeros(len(froms), bool)
-    last[first[1:] - 1] = True
-    within[last] = 2**32 - 1
-    share[last & (np.diff(first)[froms] == 1)] = 0.0
+        value -= top[row]
+        part = np.exp(value)
+        total = np.add.reduceat(part, heads)
+        log_total = np.log(total)
+        beta[rows] = top + log_total
+        share[edges] = value - log_total[row]
+        probability[edges] = part / total[row]
+    run = np.concatenate([[0.0], np.cumsum(probability)])
+    within = np.clip((run[1:] - np.repeat(run[first[:-1]], counts)) * 2**32, 0, 2**32 - 1).astype(np.uint32)
+    within[first[1:] - 1] = 2**32 - 1
+    share[first[:-1][counts == 1]] = 0.0
     target[done] = -1
     return Lattice(first, target, pieces, share, within)
 
@@ -226,14 +238,22 @@ def _unit_keys(chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 # --- search ---------------------------------------------------------------
 
 
-def uniform(*parts) -> np.ndarray:
-    """Numbers in (0, 1) from integer parts."""
-    key = np.zeros(1, U)
+def folded(key: np.ndarray, *parts) -> np.ndarray:
+    """A hash of `key` and integer parts, one after another."""
     for part in parts:
         key = mix(key * U(0x9E3779B97F4A7C15) + np.asarray(part).astype(np.int64).view(U) + U(1))
+    return key
+
+
+def fraction(key: np.ndarray) -> np.ndarray:
     return ((key >> U(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
+def uniform(*parts) -> np.ndarray:
+    """Numbers in (0, 1) from integer parts."""
+    return fraction(folded(np.zeros(1, U), *parts))
+
+
 def truncated(location: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
     """A Gumbel variable at `location`, given that it is below `bound`."""
     with np.errstate(over="ignore", divide="ignore"):
@@ -267,23 +287,27 @@ class Search:
         self.unit_in_doc = np.arange(len(head)) - unit_ends[:-1][self.doc_of_unit]
 
     def walk(self, unit: np.ndarray, position: np.ndarray, step: np.ndarray, sample: int):
-        """Draw from each position to the end of its unit: (segment, unit, position, edge) in order."""
-        lattice, out, segment = self.lattice, [], np.arange(len(unit))
-        while len(unit):
-            u = uniform(self.keys[self.doc_of_unit[unit]], sample, self.unit_in_doc[unit], step)
-            edge, level, todo = lattice.first[position], (u * 2**32).astype(np.uint32), np.arange(len(unit))
+        """Draw from each position to the end of its unit: (unit, position, edge) in order."""
+        lattice, out, segment, units = self.lattice, [], np.arange(len(unit)), unit
+        taken = np.zeros(len(unit), np.int64)
+        key = folded(np.zeros(1, U), self.keys[self.doc_of_unit[unit]], sample, self.unit_in_doc[unit])
+        while len(segment):
+            level = (fraction(folded(key, step)) * 2**32).astype(np.uint32)
+            edge, todo = lattice.first[position], np.arange(len(segment))
             while len(todo):
                 todo = todo[lattice.ladder[edge[todo]] < level[todo]]
                 edge[todo] += 1
-            out.append((segment, unit, position, edge))
+            out.append((segment, position, edge))
+            taken[segment] += 1
             target = lattice.target[edge]
             go = target >= 0
-            segment, unit, position, step = segment[go], unit[go], target[go], step[go] + 1
-        if not out:
-            return tuple(np.zeros(0, np.int64) for _ in range(4))
-        flat = [np.concatenate(x) for x in zip(*out)]
-        order = np.argsort(flat[0], kind="stable")
-        return tuple(x[order] for x in flat)
+            segment, key, position, step = segment[go], key[go], target[go], step[go] + 1
+        positions, edges = np.empty(taken.sum(), np.int64), np.empty(taken.sum(), np.int64)
+        first = np.cumsum(taken) - taken
+        for k, (segment, position, edge) in enumerate(out):
+            place = first[segment] + k
+            positions[place], edges[place] = position, edge
+        return np.repeat(units, taken), positions, edges
 
     def aside(self, ends, unit, position, edge, bound, sample: int, fresh=None) -> Paths:
         """A path with the values of what each of its steps leaves aside, all below `bound`.
@@ -295,21 +319,20 @@ class Search:
         run = np.concatenate([[0.0], np.cumsum(share)])
         doc = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
         before = run[:-1] - run[ends[:-1]][doc]
-        mass = -np.expm1(share)
-        mass[lattice.first[position + 1] - lattice.first[position] == 1] = 0.0
-        if fresh is not None:
-            mass[~fresh] = 0.0
-        with np.errstate(divide="ignore"):
-            location = before + np.log(mass)
+        # A position's only edge has share 0 and leaves nothing.
+        open_ = np.flatnonzero(share < 0 if fresh is None else (share < 0) & fresh)
+        mass, location = np.zeros(len(edge)), np.full(len(edge), NONE)
+        mass[open_] = -np.expm1(share[open_])
+        location[open_] = before[open_] + np.log(mass[open_])
         # -log(-log u) is at most FURTHEST, so a step far below the others can't be the best
-        # and needs no number.
+        # and needs no number.  What is sure of a step's value grows with its location.
         limit = np.full(len(ends) - 1, NONE)
         full = np.diff(ends) > 0
         if full.any():
+            top = np.maximum.reduceat(location, ends[:-1][full])
             with np.errstate(over="ignore", invalid="ignore"):
-                least = np.where(mass > 0, location - np.logaddexp(location - bound[doc], np.log(FURTHEST)), NONE)
-            limit[full] = np.maximum.reduceat(least, ends[:-1][full])
-        can = np.flatnonzero((mass > 0) & (location + FURTHEST >= limit[doc]))
+                limit[full] = np.where(top > NONE, top - np.logaddexp(top - bound[full], np.log(FURTHEST)), NONE)
+        can = open_[location[open_] + FURTHEST >= limit[doc[open_]]]
         value = np.full(len(edge), NONE)
         u = uniform(self.keys[doc[can]], sample, self.unit_in_doc[unit[can]], (position - self.head[unit])[can], 7)
         value[can] = truncated(location[can], bound[doc[can]], u)
@@ -317,7 +340,7 @@ class Search:
 
     def first_paths(self) -> tuple[Paths, np.ndarray]:
         top = -np.log(-np.log(uniform(self.keys, 0, -1, -1)))
-        segment, unit, position, edge = self.walk(np.arange(len(self.head)), self.head, np.zeros(len(self.head), np.int64), 0)
+        unit, position, edge = self.walk(np.arange(len(self.head)), self.head, np.zeros(len(self.head), np.int64), 0)
         ends = np.searchsorted(unit, self.unit_ends)
         return self.aside(ends, unit, position, edge, top, 0), top
 
@@ -366,7 +389,7 @@ class Search:
             seg_unit.append(rest)
             seg_pos.append(self.head[rest])
             seg_step.append(np.zeros(len(rest), np.int64))
-            _, u2, p2, e2 = self.walk(*(np.concatenate(x) for x in (seg_unit, seg_pos, seg_step)), sample)
+            u2, p2, e2 = self.walk(*(np.concatenate(x) for x in (seg_unit, seg_pos, seg_step)), sample)
             parts.append((u2, p2, e2, np.ones(len(u2), bool)))
         if not parts:
             empty = np.zeros(0, np.int64)
