@@ -138,6 +138,20 @@ def test_what_the_index_leaves_out_loses_no_pair():
             assert len(np.intersect1d(*kept)) >= 1
 
 
+@pytest.mark.parametrize("percent", [20, 35, 50])
+def test_low_thresholds_lose_no_link(spark, percent):
+    """Below one half a prefix would be longer than its set, so the matches asked for are fewer."""
+    rng = np.random.default_rng(percent)
+    texts = []
+    for g in range(40):
+        n = int(rng.integers(5, 60))
+        for _ in range(3):
+            gone = int(n * rng.random() * 0.8)
+            texts.append(" ".join([f"g{g}w{k}" for k in range(gone, n)] + [f"x{k}" for k in rng.integers(0, 10**6, gone)]))
+    got = {r.doc_id: r.component_id for r in jaccard_components(frame(spark, list(enumerate(texts))), 1, percent).collect()}
+    assert got == brute_components(list(range(len(texts))), brute_sets(texts, 1), percent)
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(200, 200), (300, 301), (301, 300)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}

@@ -3,12 +3,12 @@
 Every document becomes its set of distinct word shingles, rare ones first in one global
 order.  Of two sets of Jaccard similarity t, the prefixes of ``p + m - 1`` shingles, with
 ``p = n - ceil(t n) + 1``, share at least m.  Each document lengthens its own prefix: it
-picks an m from p on, at which reading the longer prefix and verifying what then remains
+picks an m from p on (below one half, from ceil(t n) on), at which reading the longer prefix and verifying what then remains
 is estimated to cost least from the counts of its shingles.  A pair must share the
 smaller m of the two before it is verified.
 
-So a pair shares G = p(smaller n) shingles at least, whatever the two chose.  Each
-document can therefore leave the ``p(ceil(t n)) - 1`` shingles of its prefix that most
+So a pair shares G = p(smaller n) shingles at least, whatever the two chose (below one
+half, ceil(t n) where that is less).  Each document can therefore leave the ``G(ceil(t n)) - 1`` shingles of its prefix that most
 documents index out of the index: of G shared ones, the rarest is left out by neither.
 
 1. *profile*: one pass over the texts gives each document's set size and set key, and a
@@ -139,11 +139,16 @@ def prefix_lengths(n: np.ndarray, percent: int) -> np.ndarray:
 
 def left_out(n: np.ndarray, percent: int) -> np.ndarray:
     """How many of a prefix's most-indexed shingles the index can do without."""
-    return np.maximum(prefix_lengths(-(-percent * n // 100), percent) - 1, 0)
+    return np.maximum(fewest_matches(-(-percent * n // 100), percent) - 1, 0)
+
+
+def fewest_matches(n: np.ndarray, percent: int) -> np.ndarray:
+    """The least m of a set: p, or below one half what the whole set must share."""
+    return np.minimum(prefix_lengths(n, percent), -(-percent * n // 100))
 
 
 def choose_matches(counts: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
-    """m of each row: the cheapest, from p on, of reading a longer prefix and verifying fewer pairs.
+    """m of each row: the cheapest, from the least on, of reading a longer prefix and verifying fewer pairs.
 
     Reading costs the sum of the counts under the prefix, and at most that sum / m
     candidates can share m of its shingles.
@@ -151,9 +156,10 @@ def choose_matches(counts: np.ndarray, at: np.ndarray, percent: int) -> np.ndarr
     n = np.diff(at)
     base = prefix_lengths(n, percent)
     run = np.concatenate([[0.0], np.cumsum(counts)])
-    best, cheapest = np.maximum(base, 1), np.full(len(n), np.inf)
+    least = np.maximum(fewest_matches(n, percent), 1)
+    best, cheapest = least.copy(), np.full(len(n), np.inf)
     for more in range(MOST_MATCHES + 1):
-        m = np.maximum(base, 1) + more
+        m = least + more
         end = np.minimum(base + m - 1, n)
         read = run[at[:-1] + end] - run[at[:-1]]
         cost = np.where((more == 0) | (base + m - 1 <= n), read + VERIFY_COST * read / m, np.inf)
@@ -263,7 +269,10 @@ def shared_postings(postings: DataFrame, percent: int) -> DataFrame:
     each = Window.partitionBy("node", "n")
     rank = F.row_number().over(each.orderBy("df", "shingle")) + F.col("whole") - F.count("*").over(each)
     small = F.expr(f"({percent} * cast(n as long) + 99) div 100")
-    left = F.greatest(small - F.expr(f"({percent} * ({percent} * cast(n as long) + 99) div 100 + 99) div 100"), F.lit(0))
+    both = F.expr(f"({percent} * ({percent} * cast(n as long) + 99) div 100 + 99) div 100")
+    # Below one half, sets of the smallest size that links must share `needed`, less than their p.
+    needed = F.expr(f"({percent} * (({percent} * cast(n as long) + 99) div 100) + 99) div 100")
+    left = F.greatest(F.least(small - both, needed - 1), F.lit(0))
     shared = cut(rows.withColumn("rank", rank).where(F.col("rank") <= F.col("whole") - left).select("shingle", "node", "n"), "shared")
     discard(one)
     return shared
