@@ -167,3 +167,25 @@ def test_a_chain_of_weak_links_is_one_component_and_its_unlike_ends_are_not_comp
     got = {r.doc_id: r.component_id for r in jaccard_components(frame(spark, rows), 4, 85).collect()}
     assert {got[k] for k in range(1200)} == {0}
     assert all(got[5000 + k] == 5000 + k for k in range(300))
+
+
+def test_a_task_holds_one_python_worker(spark, monkeypatch):
+    """No table is cut from rows of a Python list, and texts are filtered and cut into sets in different tasks."""
+    from trailmill.llm import components, jaccard
+
+    plans, cut = [], jaccard.cut
+
+    def kept(df, name="cut"):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return cut(df, name)
+
+    monkeypatch.setattr(jaccard, "cut", kept)
+    monkeypatch.setattr(components, "cut", kept)
+    rows = [(k, " ".join([*(f"w{k % 4}_{j}" for j in range(60)), f"x{k}"])) for k in range(24)]
+    got = {r.doc_id: r.component_id for r in jaccard_components(frame(spark, rows), 5, 80).collect()}
+    assert got == {k: k % 4 for k in range(24)}
+    assert {"sets", "edges"} <= {name for name, _ in plans}
+    listed = "ExistingRDD"  # a test's own rows are a Python list
+    assert not [name for name, plan in plans if name in ("edges", "active", "offers", "members", "tiles", "verified") and listed in plan]
+    sets = [plan for name, plan in plans if name == "sets"]
+    assert all(plan.count("MapInArrow") == 2 and "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan for plan in sets)

@@ -190,6 +190,19 @@ def test_words_are_encoded_as_whole_texts_are(sf_dir):
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_an_encoder_does_not_hold_the_vocabulary_twice():
+    """Python's part of a worker's encoder, at its peak: the pattern's settings, not the plan of 50,000 tokens."""
+    import tracemalloc
+
+    first = byte_bpe_encoder()  # imports
+    tracemalloc.start()
+    again = byte_bpe_encoder()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not first.whole("a plain text") and again.encode("a plain text") == first.encode("a plain text")
+    assert peak < 4 << 20
+
+
 def test_fullest_combination():
     rng = np.random.default_rng(3)
     for _ in range(40):

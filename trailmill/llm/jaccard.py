@@ -413,7 +413,8 @@ def verified(members: DataFrame, tiles: DataFrame, docs: DataFrame, codes, width
     likely = docs.sparkSession.sparkContext.broadcast(member_filter(members))
     texts = docs.where("doc_id is not null").withColumn("at", F.xxhash64("doc_id", "text_key"))
     texts = texts.mapInArrow(lean(_members(likely)), "doc_id long, text_key long, text string")
-    sets = texts.join(members.drop("comp", "block"), ["doc_id", "text_key"]).select("node", "text").mapInArrow(lean(_sets(codes, width, percent)), "node long, need int, shingles binary")
+    # Merged, not broadcast: a task that filtered and cut texts at once would hold two workers, and a core keeps both.
+    sets = texts.join(members.drop("comp", "block").hint("merge"), ["doc_id", "text_key"]).select("node", "text").mapInArrow(lean(_sets(codes, width, percent)), "node long, need int, shingles binary")
     sets = cut(sets, "sets")
     sides = tiles.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")).join(members.select("block", "node", "comp"), "block")
     dealt = sides.join(sets, "node").repartition("i", "j").sortWithinPartitions("i", "j")
@@ -467,8 +468,9 @@ def judged_rows(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     active = cut(with_pivots(shared.withColumn("comp", F.col("node"))), "active")
     discard(shared)
     nodes = classes.select(F.col("key1").alias("node"), "n", F.col("rep").alias("doc_id"), F.col("rep_key").alias("text_key"))
-    links = spark.createDataFrame([], "src long, dst long")
-    found = spark.createDataFrame([], "id long, component long")
+    # Rows of a Python list, even of none, would take Python workers of their own in every job.
+    links = spark.range(0).select(F.col("id").alias("src"), F.col("id").alias("dst"))
+    found = spark.range(0).select("id", F.col("id").alias("component"))
     for turn in itertools.count(1):
         made = cut(offers(active, percent).coalesce(files), "offers")
         offered = made.count()

@@ -153,9 +153,9 @@ class WordEncoder(dict):
         self.chunks = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.merge, self.merged = self.tokenizer.model.tokenize, {}
-        plan = json.loads(self.tokenizer.to_str())
-        before = plan["pre_tokenizer"] or {}
-        plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and plan["normalizer"] is None
+        # The pattern's own settings: the whole plan would be the vocabulary once more.
+        before = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and self.tokenizer.normalizer is None
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join(map(re.escape, added)) or r"(?!)").search if plain else lambda text: True
 
