@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trailmill.llm import pii, queries
+from trailmill.llm import packing, pii, queries
 from trailmill.llm.langid import identify
 from trailmill.llm.packing import byte_bpe_encoder, fullest, pack_documents, plan_packing
 
@@ -190,6 +190,37 @@ def test_words_are_encoded_as_whole_texts_are(sf_dir):
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_words_are_cut_at_any_white_space_as_whole_texts_are():
+    """Made texts of few characters, so that every run of white space stands beside every kind of character, in any order of caching."""
+    rng = np.random.default_rng(8)
+    whole, encoder = whole_tokenizer(), byte_bpe_encoder()
+    marks = list("  \n\n\t\r\x0b\x1c\x85\xa0\u2009\u3000ab'sted1²ªßŉé\u0301日.,'!&-_\x00\U0001F600")
+    short = ["", " ", "\n", " \t", "\t", " \n", "a \t \t b", "a \n", "a\n \nb", "a   b", "a\n\n\nb", "word word, word. word's 'word' word", "\nword", "x" * 500 + " " + "x" * 500]
+    made = ["".join(rng.choice(marks, int(n))) for n in rng.integers(1, 40, 6000)]
+    plain = [" ".join("".join(rng.choice(list("abé1,.'!\n"), int(n))) for n in rng.integers(1, 6, 12)) for _ in range(1000)]
+    for t in [*short, *made, *plain, *short]:
+        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_plain_words_are_neither_cut_by_the_pattern_nor_kept_twice(monkeypatch):
+    """What a word costs when it is first seen: words of letters, with marks behind them or not, are not searched for pieces."""
+    encoder, searched = byte_bpe_encoder(), []
+
+    class Counted:
+        def findall(self, chunk, findall=packing.PIECES.findall):
+            searched.append(chunk)
+            return findall(chunk)
+
+    monkeypatch.setattr(packing, "PIECES", Counted())
+    words = [f"wörd{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(500)]
+    text = "Here " + " ".join(words) + " " + ", ".join(words) + "."
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == whole_tokenizer().encode(text, add_special_tokens=False).ids
+    assert searched == ["Here"]
+    assert len(encoder) + len(encoder.merged) <= 2 * len(words) + 3  # the words, those with a mark, two marks and the first word
+    encoder.encode("word " * 3 + "y" * 5000)
+    assert max(map(len, [*encoder, *encoder.merged])) < 5000
+
+
 def test_an_encoder_does_not_hold_the_vocabulary_twice():
     """Python's part of a worker's encoder, at its peak: the pattern's settings, not the plan of 50,000 tokens."""
     import tracemalloc

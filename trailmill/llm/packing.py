@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -126,31 +128,46 @@ def place(plan: PackingPlan, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np
 
 #: White space as the tokenizers' pattern has it (fixed values).
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Chunks and pieces kept with their ids by one worker: a cache of work, emptied when full.
+#: Words, and pieces without a space, kept with their ids by one worker: a cache of work, emptied when full.
 CACHED = 1_000_000
+#: Longer ones are not kept.
+CACHED_LENGTH = 200
 #: What byte-level tokenizers cut a text into before they merge.
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: White space that is a token of its own: a run up to its last character, which stays before the word, or up to the text's end.
+GAPS = re.compile(f"([{WHITE}]+(?=[{WHITE}][^{WHITE}])|[{WHITE}]+\\Z)")
+#: Nothing, or white space, after the space or line feed that a word stands behind.
+BLANK = re.compile(f"\n?+(?:[{WHITE}]|\\Z)").match
+#: What ends words: neither letter nor number, and no apostrophe.
+MARKS = '.,;:!?"()[]{}<>*#%&$|+-=_~/'
+#: Letters in every version of Unicode, if str.isalpha() says so.
+LATIN = re.compile("[\x00-ɏ]+").fullmatch
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Bytes as the characters that byte-level vocabularies write them with.
 BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
+class Uneven(Exception):
+    """A text with more than one white space in a row, or with white space at its end."""
+
+
 class WordEncoder(dict):
     """ids (little-endian uint32 bytes) of a text, as `Tokenizer.encode(text, add_special_tokens=False)` has them.
 
     The byte-level pattern never joins a token across the border between a non-space and
-    the white space after it, so the ids of a text are those of its (space, word) chunks in
-    a row, and frequent chunks need encoding once.  A chunk is cut as the tokenizer cuts
-    it, and each piece is merged by the tokenizer's own model.  A text that spells one of
-    the vocabulary's added tokens is encoded whole, as such a token is found before the
-    pattern is applied; so is every text of a vocabulary that is not plainly byte-level.
+    the white space after it, and takes the last space before a word with the word.  So a
+    text without runs of white space is cut before each space and line feed, other texts
+    are first cut at their runs, and frequent words need encoding once.  A word is cut as
+    the tokenizer cuts it, and each piece is merged by the tokenizer's own model.  Keys are
+    words without the space before them; a line feed stays.  A text that spells one of the
+    vocabulary's added tokens is encoded whole, as such a token is found before the pattern
+    is applied; so is every text of a vocabulary that is not plainly byte-level.
     """
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.chunks = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.merge, self.merged = self.tokenizer.model.tokenize, {}
         # The pattern's own settings: the whole plan would be the vocabulary once more.
@@ -159,24 +176,53 @@ class WordEncoder(dict):
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join(map(re.escape, added)) or r"(?!)").search if plain else lambda text: True
 
-    def __missing__(self, chunk: str) -> bytes:
-        out = []
-        for piece in PIECES.findall(chunk):
-            ids = self.merged.get(piece)
-            if ids is None:
-                spelled = piece.encode().decode("latin-1").translate(BYTE_CHARS)
-                ids = self.merged[piece] = np.array([t.id for t in self.merge(spelled)], "<u4").tobytes()
-            out.append(ids)
-        ids = self[chunk] = b"".join(out)
+    def _merged(self, piece: str) -> bytes:
+        spelled = piece.encode().decode("latin-1").translate(BYTE_CHARS)
+        ids = array("I", [t.id for t in self.merge(spelled)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """ids of a piece; that of a word behind a space is found, and kept, under the word."""
+        behind = piece[0] == " " and not piece.isspace()
+        kept, key = (self, piece[1:]) if behind else (self.merged, piece)
+        ids = kept.get(key)
+        if ids is None:
+            ids = self._merged(piece)
+            if len(key) <= CACHED_LENGTH:
+                kept[key] = ids
         return ids
 
+    def _pieces(self, chunk: str) -> bytes:
+        return b"".join(map(self._piece, PIECES.findall(chunk)))
+
+    def __missing__(self, word: str) -> bytes:
+        letters = word.rstrip(MARKS)
+        if letters.isalpha() and (letters.isascii() or LATIN(letters)):  # one piece, and one of the marks
+            ids = self._merged(" " + word) if letters == word else self[letters] + self._piece(word[len(letters) :])
+        elif BLANK(word):
+            raise Uneven
+        else:
+            ids = self._pieces(word if word[0] == "\n" else " " + word)
+        if len(word) <= CACHED_LENGTH:
+            self[word] = ids
+        return ids
+
+    def _even(self, text: str) -> bytes:
+        first, *words = text.replace("\n", " \n").split(" ")
+        return self._pieces(first) + b"".join(map(self.__getitem__, words))
+
     def encode(self, text: str) -> bytes:
         if self.whole(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         for cache in (self, self.merged):
             if len(cache) > CACHED:
                 cache.clear()
-        return b"".join(map(self.__getitem__, self.chunks(text)))
+        try:
+            return self._even(text)
+        except Uneven:
+            return b"".join(self._piece(x) if k % 2 else self._even(x) for k, x in enumerate(GAPS.split(text)))
 
 
 def byte_bpe_encoder(name: str = "byte_bpe_50k.json") -> WordEncoder:
