@@ -385,3 +385,17 @@ def test_equal_cuts_of_two_fractions_are_both_reported(spark):
     t = transcript(spark, [("s", "user", f"m{k}", [], []) for k in range(4)])
     assert [(r.cut, r.times) for r in ts.cuts(t, (0.5, 0.55, 0.75)).orderBy("cut").collect()] == [(2, 2), (3, 1)]
     assert evaluation.totals(evaluation.evaluate(t, fractions=(0.5, 0.55, 0.75))).first().cuts == 3
+
+
+def test_lengths_and_heads_need_no_copy_of_the_texts(spark, sf_dir, monkeypatch):
+    from trailmill.operators import compaction
+    from trailmill.plans import queries
+
+    def refused(df, name="cut"):
+        raise AssertionError(name)
+
+    monkeypatch.setattr(queries, "cut", refused)
+    assert all(queries.QUERIES[n](spark, sf_dir).count() for n in ("call_pairs", "erase_baseline", "erased_messages", "keep_refs"))
+    t = queries.unwritten(spark, sf_dir)
+    short = compaction.erased(t, compaction.decided(t, queries.stand_in_answers(t)))
+    assert short.results.where("chars <> length(text)").count() == 0 < short.results.where("text like '%[condensed: truncated %'").count()
