@@ -399,3 +399,13 @@ def test_lengths_and_heads_need_no_copy_of_the_texts(spark, sf_dir, monkeypatch)
     t = queries.unwritten(spark, sf_dir)
     short = compaction.erased(t, compaction.decided(t, queries.stand_in_answers(t)))
     assert short.results.where("chars <> length(text)").count() == 0 < short.results.where("text like '%[condensed: truncated %'").count()
+
+
+def test_values_are_found_without_dealing_texts(spark, sf_dir):
+    from trailmill.operators.search import places_of
+    from trailmill.plans import queries
+
+    assert "text" not in ts.valued_results(queries.unwritten(spark, sf_dir)).columns
+    text = "ab-1234 xab-1234ab-1234 req-77 aaaa1aaaa1"
+    tokens = ["ab-1234", "req-77", "absent", "aaaa1", "b-12"]
+    assert places_of(tokens, text) == ([text.find(x) for x in tokens], [text.count(x) for x in tokens]) and places_of([], text) == ([], [])
